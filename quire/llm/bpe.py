@@ -27,12 +27,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices
+from .hashing import Spans, text_buffer
 
 #: Slots of a worker's table of pieces, a power of two, and pieces after which it starts anew.
 SLOT_BITS = 21
@@ -44,30 +44,6 @@ _SPACE = np.isin(_BYTES, [*range(9, 14), *range(28, 33)])
 _CUT_SPACE = np.isin(_BYTES, [10, 32])
 _LETTER = ((_BYTES | 32) >= 97) & ((_BYTES | 32) <= 122)
 _PUNCTUATION = (_BYTES > 32) & (_BYTES < 127) & ~_LETTER & ~((_BYTES >= 48) & (_BYTES <= 57))
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A finalizer for 64-bit hashes."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTE_HASH = mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _ODD)
-
-
-@lru_cache(maxsize=4)
-def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """2 ** bits powers of an odd number modulo 2 ** 64, and of its inverse."""
-    base = 0x5851F42D4C957F2D
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for x in (base, inverse):
-        factors = np.full(1 << bits, x, np.uint64)
-        factors[0] = 1
-        out.append(np.cumprod(factors))
-    return tuple(out)
 
 
 def piece_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -153,10 +129,7 @@ class PieceEncoder:
             self.reset()
         starts = piece_starts(data, bounds[:-1][np.diff(bounds) > 0])
         ends = np.append(starts[1:], len(data))
-        up, down = powers(max(16, int(len(data)).bit_length()))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_HASH[data] * up[: len(data)], out=sums[1:])
-        keys = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+        keys = Spans(data).hashes(starts, ends)
         keys[keys == 0] = 1
         found = self._find(keys)
         missing = np.flatnonzero(found < 0)
@@ -176,19 +149,13 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of each text's ids; null: none."""
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        if not len(texts):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
-        raw = texts.buffers()[2]
-        data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw is not None else np.zeros(0, np.uint8)
-        bounds = bounds - bounds[0]
+        data, bounds = text_buffer(texts)
         if self.specials and self.pattern.search(data):
             return self._with_specials(data.tobytes(), bounds)
         return self._encode(data, bounds)
 
     def _with_specials(self, raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        plain, owner, special, kept = [], [], [], []
+        plain, owner, special = [], [], []
         for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
             at = a
             for m in self.pattern.finditer(raw[a:b]):
