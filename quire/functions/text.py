@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 WS = r"[\t-\r \x85\xA0  -     　]"
 NOT_WS = "[^" + WS[1:]
 #: The same without the no-break spaces.
-WS_BREAKING = r"[\t-\r \x85  -  -    　]"
+WS_BREAKING = r"[\t-\r \x85  -    　]"
 
 #: Schemes of external links.
 SCHEMES = ("http://", "https://", "ftp://", "ftps://", "mailto:")

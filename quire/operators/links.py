@@ -38,10 +38,9 @@ def broken(links: DataFrame, ids: DataFrame, target: str, id: str, by: list[str]
 
 def repaired(links: DataFrame, ids: DataFrame, by: list[str]) -> DataFrame:
     """links (by, seq, href, text) with `kind` and the text that replaces a broken one. Repeating it changes nothing."""
-    known = ids.select(*by, F.col("xml_id").alias("__id")).distinct()
-    t = links.withColumn("kind", link_class(F.col("href"))).withColumn("__target", F.regexp_replace("href", "^#", ""))
-    t = t.join(known, [*(t[b] == known[b] for b in by), t["__target"] == known["__id"]], "left").drop(*(known[b] for b in by))
-    bad = F.col("kind").isin("empty", "broken") | ((F.col("kind") == "internal") & F.col("__id").isNull())
+    known = ids.select(*by, F.col("xml_id").alias("__target")).distinct().withColumn("__known", F.lit(True))
+    t = links.withColumn("kind", link_class(F.col("href"))).withColumn("__target", F.regexp_replace("href", "^#", "")).join(known, [*by, "__target"], "left")
+    bad = F.col("kind").isin("empty", "broken") | ((F.col("kind") == "internal") & F.col("__known").isNull())
     return t.select(*(c for c in links.columns if c not in ("href", "text")), F.when(bad, None).otherwise(F.col("href")).alias("href"), F.when(bad, broken_link_text(F.col("__target"), F.col("text"), F.col("kind"))).otherwise(F.col("text")).alias("text"), "kind", bad.alias("was_broken"))
 
 

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import language, text, values
 from ..operators import links, sequences, trees
+from ..sinks import render
+from ..sources import books as book_source
+from ..sources import styles
+from ..streaming import ingest
+from . import books
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -416,6 +421,51 @@ def ordered_lists(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderpriority")).alias("priorities"))
 
 
+LINES = "SELECT doc_id::VARCHAR AS book_id, ls AS lines FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)"
+
+
+@query("SELECT doc_id::VARCHAR AS book_id, (len(string_split(text, chr(10))))::BIGINT AS paragraphs, length(replace(text, chr(10), ''))::BIGINT AS chars FROM documents")
+def book_paragraphs(spark, d):
+    n = book_source.nodes(book_source.from_texts(table(spark, d, "documents"), "doc_id", "text"))
+    return n.groupBy("book_id").agg(F.count_if(F.col("kind") == "p").alias("paragraphs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+
+
+@query(f"SELECT book_id, md5(array_to_string(list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, '{W}+', ' ', 'g'))), x -> x <> ''), chr(10) || chr(10))) AS digest FROM ({LINES})")
+def book_text(spark, d):
+    n = book_source.nodes(book_source.from_texts(table(spark, d, "documents"), "doc_id", "text"))
+    return render.plain_text(n).select("book_id", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id::VARCHAR AS book_id, 'unknown/' || doc_id || '.txt' AS path FROM documents")
+def book_paths(spark, d):
+    return render.output_paths(book_source.metadata(book_source.from_texts(table(spark, d, "documents"), "doc_id", "text")), ".txt")
+
+
+@query("SELECT doc_id::VARCHAR AS book_id, 1::BIGINT AS seq, 'sect_1' AS xml_id FROM documents")
+def book_section_ids(spark, d):
+    n = book_source.nodes(book_source.from_texts(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"))
+    return books.section_ids(n)
+
+
+CSS = "p { margin: 0; color: red } .Brand-11, .x { color: blue } p.Brand-23 { margin: 2em } a > b { color: black } @media print { p { color: white } }"
+
+
+@query(
+    """SELECT p_partkey, property, value FROM (SELECT p_partkey, 'margin' AS property, CASE WHEN p_brand = 'Brand#23' THEN '2em' ELSE '0' END AS value FROM part
+    UNION ALL SELECT p_partkey, 'color', CASE WHEN p_brand = 'Brand#11' THEN 'blue' ELSE 'red' END FROM part)"""
+)
+def style_cascade(spark, d):
+    rules = styles.rules(spark.createDataFrame([("s", CSS)], "sheet_id string, css string")).where(styles.media_applies("media", "screen"))
+    e = table(spark, d, "part").select("p_partkey", F.lit("p").alias("element"), F.array(F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("classes"))
+    return styles.cascade(e, rules, ["p_partkey"])
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    t = ingest.windowed_events(table(spark, d, "events"))
+    return t.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 @query()
 def transliterate(spark, d):
     return table(spark, d, "documents").select("doc_id", language.transliterate(F.col("text")).alias("text"))
