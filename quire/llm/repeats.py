@@ -12,9 +12,11 @@ Consecutive windows with one owner form a segment (some 85 windows on average).
 2. Tasks read those files and tell each segment's owner hash and the hash of all bytes it covers.
    Sorted by both, neighbours decide: an equal neighbour in both means all windows of the segment
    repeat; no neighbour with that owner hash means none does; else the segment stays open.
-3. Open segments (and one or two of the repeated ones beside them) tell the hash of each window.
-   Sorted, an equal neighbour means that the window repeats.
-4. Tasks read the files again and cut the repeated runs out.
+3. Open segments (and one or two of the repeated ones beside them) are told again in groups of GROUP
+   windows, aligned by their distance from the owner: a hash of what all windows of the group have
+   in common and one of all their bytes. Sorted by both, neighbours decide as before.
+4. Open groups are told window by window, and decided alike.
+5. Tasks read the files again and cut the repeated runs out.
 
 Sorting streams through tasks with a row's neighbours in hand, so no group is ever gathered. Rows
 carry hashes and places, never texts. Equality rests on two 64-bit hashes together.
@@ -37,9 +39,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import file_system, shared_folder, slices, written
-from .hashing import Spans, text_buffer
+from .hashing import ODD, Spans, mixed, text_buffer
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM, GROUP = 200, 32, 8
 #: Texts are worked on in buffers of about so many bytes; longer texts in pieces that overlap.
 BUFFER, PIECE = 1 << 20, 8 << 20
 _LOW = np.uint64(24)
@@ -57,8 +59,8 @@ def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """text, first window's place in it, number of windows, owner hash and content hash of each segment."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
+    """text, first window's place in it, number of windows, the owner's place and hash, and the content hash of each segment."""
+    none = tuple(np.zeros(0, np.int64) for _ in range(6))
     gram = min(GRAM, length)
     if len(data) < length:
         return none
@@ -78,7 +80,7 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tupl
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(s)) - 1
     a, b = s[first], s[last]
-    return text[first], a - bounds[text[first]], b - a + 1, grams[owner[a]].view(np.int64), spans.hashes(a, b + length).view(np.int64)
+    return text[first], a - bounds[text[first]], b - a + 1, owner[a] - bounds[text[first]], grams[owner[a]].view(np.int64), spans.hashes(a, b + length).view(np.int64)
 
 
 def in_pieces(data: np.ndarray, bounds: np.ndarray, length: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -91,6 +93,13 @@ def in_pieces(data: np.ndarray, bounds: np.ndarray, length: int, piece: int = PI
         yield part, np.array([0, len(part)]), k
 
 
+def told(part, content, home, row, first, n, place, owner, whole) -> pa.RecordBatch:
+    """Rows of segments, groups or windows: two hashes, of what they share and of all their bytes, and where they are."""
+    columns = [np.asarray(x, np.int64) for x in (part, content, row, first, n, place, owner)]
+    columns.insert(2, np.full(len(columns[0]), home, np.int32))
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(whole)], ["part", "content", "home", "row", "first", "n", "place", "owner", "whole"])
+
+
 def _home_rows(root: str, homes_batches: Iterator[pa.RecordBatch], work: Callable) -> Iterator[pa.RecordBatch]:
     """For sorted rows (home, ...), each home's rows together: work(home file's batches, rows as a table)."""
     held: list[pa.RecordBatch] = []
@@ -192,51 +201,66 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
             own = np.flatnonzero(goes[at : at + batch.num_rows])
             data, bounds = text_buffer(batch.column(text).take(pa.array(own)))
             for part, edges, offset in in_pieces(data, bounds, length):
-                doc, first, n, owner, content = segments(part, edges, length)
+                doc, first, n, place, owner, content = segments(part, edges, length)
                 if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(content), pa.array(np.full(len(doc), home, np.int32)), pa.array((own[doc] + at).astype(np.int32)), pa.array(first + offset), pa.array(n.astype(np.int32))], ["owner", "content", "home", "row", "first", "n"])
+                    yield told(owner, content, home, own[doc] + at, first + offset, n, place + offset, owner, np.zeros(len(doc), bool))
             at += batch.num_rows
 
     by_home = lambda df, *order: df.repartitionByRange("home").sortWithinPartitions("home", *order)
-    found = by_home(rows, "row").mapInArrow(lambda it: _home_rows(root, it, tell_segments), "owner long, content long, home int, row int, first long, n int")
-
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, (owner_back, both_back), (owner_fore, both_fore) in _neighbours(batches, ["owner", "content"]):
-            whole = both_back | both_fore
-            beside = (owner_back & ~both_back) | (owner_fore & ~both_fore)
-            keep = pa.array(whole | beside)
-            x = pa.RecordBatch.from_arrays([x.column(c) for c in ("home", "row", "first", "n", "owner")] + [pa.array(whole), pa.array(beside)], ["home", "row", "first", "n", "owner", "whole", "beside"])
-            yield x.filter(keep)
-
-    judged = found.repartition("owner").sortWithinPartitions("owner", "content", "home", "row", "first").mapInArrow(judge, "home int, row int, first long, n int, owner long, whole boolean, beside boolean")
-    judged = written(judged, folder, "judged")
-
-    def tell_windows(home: int, stored: Iterator[pa.RecordBatch], wanted: pa.Table) -> Iterator[pa.RecordBatch]:
-        at, row = 0, wanted["row"].to_numpy()
-        first, n, owner, whole = (wanted[c].to_numpy() for c in ("first", "n", "owner", "whole"))
-        for batch in stored:
-            a, b = np.searchsorted(row, [at, at + batch.num_rows])
-            if b > a:
-                own, which = np.unique(row[a:b] - at, return_inverse=True)
-                data, bounds = text_buffer(batch.column(text).take(pa.array(own)))
-                spans, counts = Spans(data), n[a:b].astype(np.int64)
-                place = np.repeat(first[a:b], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                starts = place + np.repeat(bounds[which], counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(owner[a:b], counts)), pa.array(spans.hashes(starts, starts + length).view(np.int64)), pa.array(np.full(len(starts), home, np.int32)), pa.array(np.repeat(row[a:b], counts)), pa.array(place), pa.array(np.repeat(whole[a:b], counts))],
-                    ["owner", "content", "home", "row", "first", "whole"],
-                )
-            at += batch.num_rows
-
-    windows = by_home(judged.where("beside"), "row", "first").mapInArrow(lambda it: _home_rows(root, it, tell_windows), "owner long, content long, home int, row int, first long, whole boolean")
-
-    def judge_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, (_, back), (_, fore) in _neighbours(batches, ["owner", "content"]):
-            keep = pa.array((back | fore) & ~x.column("whole").to_numpy(zero_copy_only=False))
-            yield x.select(["home", "row", "first"]).filter(keep)
-
-    single = windows.repartition("owner", "content").sortWithinPartitions("owner", "content").mapInArrow(judge_windows, "home int, row int, first long")
-    marks = judged.where("whole").select("home", F.col("row").cast("long").alias("row"), "first", F.col("n").cast("long").alias("n")).union(single.select("home", F.col("row").cast("long"), "first", F.lit(1).cast("long")))
+        for x, (part_back, all_back), (part_fore, all_fore) in _neighbours(batches, ["part", "content"]):
+            old = x.column("whole").to_numpy(zero_copy_only=False)
+            whole = all_back | all_fore
+            beside = (part_back & ~all_back) | (part_fore & ~all_fore)
+            kept = pa.array((whole & ~old) | beside)
+            columns = [x.column(c) for c in ("home", "row", "first", "n", "place", "owner")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(whole | old), pa.array(whole & ~old), pa.array(beside)], ["home", "row", "first", "n", "place", "owner", "whole", "marked", "beside"]).filter(kept)
+
+    def judged(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        schema = "home int, row long, first long, n long, place long, owner long, whole boolean, marked boolean, beside boolean"
+        return written(df.repartition(*keys).sortWithinPartitions("part", "content", "home", "row", "first").mapInArrow(judge, schema), folder, name)
+
+    def finer(tell: Callable) -> Callable:
+        """For the wanted rows of a home, what `tell` says about their texts."""
+
+        def work(home: int, stored: Iterator[pa.RecordBatch], wanted: pa.Table) -> Iterator[pa.RecordBatch]:
+            at, row = 0, wanted["row"].to_numpy()
+            rest = [wanted[c].to_numpy() for c in ("first", "n", "place", "owner", "whole")]
+            for batch in stored:
+                a, b = np.searchsorted(row, [at, at + batch.num_rows])
+                if b > a:
+                    own, which = np.unique(row[a:b] - at, return_inverse=True)
+                    data, bounds = text_buffer(batch.column(text).take(pa.array(own)))
+                    first, n, place, owner, whole = (x[a:b] for x in rest)
+                    i, part, content, first, n = tell(Spans(data), bounds[which], bounds[which + 1], first, n, place, owner, mixed(np.uint64(home << 40) + row[a:b].astype(np.uint64)))
+                    yield told(part, content, home, row[a:b][i], first, n, place[i], owner[i], whole[i])
+                at += batch.num_rows
+
+        return work
+
+    def groups(spans: Spans, begin: np.ndarray, end: np.ndarray, first: np.ndarray, n: np.ndarray, place: np.ndarray, owner: np.ndarray, tag: np.ndarray):
+        low, high = (place - first - n + 1) // GROUP, (place - first) // GROUP
+        counts = high - low + 1
+        i = np.repeat(np.arange(len(first)), counts)
+        far = place[i] - GROUP * (low[i] + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts))  # its last window
+        a, b = np.maximum(first[i], far - GROUP + 1), np.minimum(first[i] + n[i] - 1, far)
+        common = spans.hashes(begin[i] + far, begin[i] + far - GROUP + 1 + length)
+        inside = (far - GROUP + 1 >= 0) & (begin[i] + far + length <= end[i])
+        x, y = np.where(inside, begin[i] + far - GROUP + 1, 0), np.where(inside, begin[i] + far + length, 0)
+        # what reaches out of its text is like nothing else
+        content = np.where(inside, spans.hashes(x, y), mixed(common + tag[i] + far.astype(np.uint64) * ODD))
+        return i, mixed(common + owner[i].view(np.uint64)).view(np.int64), content.view(np.int64), a, b - a + 1
+
+    def windows(spans: Spans, begin: np.ndarray, end: np.ndarray, first: np.ndarray, n: np.ndarray, place: np.ndarray, owner: np.ndarray, tag: np.ndarray):
+        i = np.repeat(np.arange(len(first)), n)
+        s = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        return i, owner[i], spans.hashes(begin[i] + s, begin[i] + s + length).view(np.int64), s, np.ones(len(i), np.int64)
+
+    schema = "part long, content long, home int, row long, first long, n long, place long, owner long, whole boolean"
+    one = judged(by_home(rows, "row").mapInArrow(lambda it: _home_rows(root, it, tell_segments), schema), ["part"], "segments")
+    two = judged(by_home(one.where("beside"), "row", "first").mapInArrow(lambda it: _home_rows(root, it, finer(groups)), schema), ["part"], "groups")
+    three = judged(by_home(two.where("beside"), "row", "first").mapInArrow(lambda it: _home_rows(root, it, finer(windows)), schema), ["part", "content"], "windows")
+    marks = one.union(two).union(three).where("marked").select("home", "row", "first", "n")
     marks = marks.union(rows.select("home", "row", F.lit(-1).cast("long"), F.col("copied").cast("long")))  # at least one row for each text
     schema = T.StructType([*docs.schema, T.StructField("__n_bytes", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__n_spans", T.LongType())])
     names, column = docs.columns, docs.columns.index(text)
