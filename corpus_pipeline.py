@@ -14,13 +14,13 @@ from quire.llm.bpe import decode, encode, tokenizer_path
 from quire.llm.common import shared_folder, written
 from quire.llm.minhash import near_duplicates
 from quire.llm.mixing import mix, text_size
-from quire.llm.quality import score_documents, trusted_ids
+from quire.llm.quality import keep_documents, trusted_ids
 from quire.llm.repeats import remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return score_documents(docs, trusted_ids(spark, sf_dir)).where("kept").select("row.*")
+    return keep_documents(docs, trusted_ids(spark, sf_dir))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,10 +116,20 @@ def score_documents(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", tex
     one, two = f"{table}[CAST(pmod(__words[%s], {n}) AS INT)]", f"{table}[CAST(pmod(xxhash64(__words[i], __words[i + 1]), {n}) AS INT)]"
     total = f"IF(n_words < 2, 0D, aggregate(sequence(0, size(__words) - 2), 0D, (a, i) -> a + {one % 'i'} + {two}))"
     score = F.expr(f"CASE WHEN n_words = 0 THEN 0D ELSE ({total} + {one % 'size(__words) - 1'}) / (2 * n_words - 1) END")
-    t = t.select("row", *counts, failed.alias("base_failed"), score.alias("score"))
+    t = t.select("row", *counts, failed.alias("base_failed"), score.alias("score"), F.monotonically_increasing_id().alias("place"))
     return t.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
+def keep_documents(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are kept.
+
+    The filter also names `place`, which isn't deterministic, so the optimizer leaves it above the
+    scores. Pushed below, it would be written out in terms of the text, with the words split anew
+    for each place of a window.
+    """
+    return score_documents(docs, trusted, id, text, threshold).where("kept AND place >= 0").select("row.*")
+
+
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
 

@@ -10,11 +10,15 @@ from tests.llm.test_repeats import brute as repeats_brute
 D = "/root/testdata/sf0.001"
 
 
-def test_stages(spark):
+def test_stages(spark, tmp_path):
     from tokenizers import Tokenizer
 
     from quire.llm.bpe import tokenizer_path
 
+    def kept_as(name, df):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
     docs = spark.read.parquet(f"{D}/documents.parquet")
     trusted = {r[0] for r in spark.read.parquet(f"{D}/labels.parquet").where("quality = 1").collect()}
     rows = {r.doc_id: r for r in docs.collect()}
@@ -22,20 +26,20 @@ def test_stages(spark):
     assert list(stages) == ["quality", "near_duplicates", "repeats", "mixing", "bpe"]
 
     kept = {x[0] for x in quality_brute([(i, r.text) for i, r in rows.items()], trusted) if x[7]}
-    one = stages["quality"](spark, docs, D).localCheckpoint()
+    one = kept_as("one", stages["quality"](spark, docs, D))
     assert {r.doc_id: r for r in one.collect()} == {i: rows[i] for i in kept} and one.columns == docs.columns
 
     alone = {x[0] for x in near_brute([(i, rows[i].text) for i in sorted(kept)], 5) if x[3]}
-    two = stages["near_duplicates"](spark, one, D).localCheckpoint()
+    two = kept_as("two", stages["near_duplicates"](spark, one, D))
     assert {r.doc_id: r for r in two.collect()} == {i: rows[i] for i in alone} and two.columns == docs.columns
 
-    three = stages["repeats"](spark, two, D).localCheckpoint()
+    three = kept_as("three", stages["repeats"](spark, two, D))
     left = {r.doc_id: r for r in three.collect()}
     for i, (n, gone, _, _) in zip(sorted(alone), repeats_brute([rows[i].text for i in sorted(alone)])):
         assert len(left[i].text.encode()) <= n - gone and (gone or left[i] == rows[i]) and left[i].n_chars == len(left[i].text)
     assert set(left) == alone and three.columns == docs.columns
 
-    four = stages["mixing"](spark, three, D).localCheckpoint()
+    four = kept_as("four", stages["mixing"](spark, three, D))
     copies = Counter(r.doc_id for r in four.collect())
     assert max(copies.values()) <= 3 and all(left[r.doc_id] == r for r in four.collect()) and four.columns == docs.columns
 
@@ -44,6 +48,3 @@ def test_stages(spark):
     assert Counter(r.doc_id for r in five) == copies
     assert all(r.text == left[r.doc_id].text and r.n_tokens == len(tok.encode(r.text, add_special_tokens=False).ids) for r in five)
 
-
-def test_run_is_its_stages(spark):
-    assert corpus_pipeline.run(spark, D).count() > 50
