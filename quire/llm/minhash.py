@@ -6,9 +6,10 @@ A document's set holds 64-bit hashes of its distinct word shingles. HASHES unive
 
 Equal sets form a class, of which only the smallest id goes on. In each bucket every member is held
 against the smallest id: sizes and signatures sort out what cannot reach the threshold, then the
-full sets decide. Components of these links come from alternating stars. Buckets that still hold
-several components then give all their pairs across components, which are decided alike; most
-buckets hold one by then, so a large group of copies never gives all its pairs.
+full sets decide. Components of these links come from alternating stars. Where buckets still hold
+several components, these form groups (components again, of buckets in common), and every pair of
+documents of a group from different components is decided by counting, in pairs of blocks of
+bounded size that give a forest of links. No pair of documents is ever a row of its own there.
 
 Null or empty text and text without words has an empty set, linked with nothing. Rows with a null
 id are kept, linked with nothing, and have a null component. Rows that repeat an id are one node
@@ -36,6 +37,8 @@ HASHES = BANDS * ROWS
 #: Pairs whose signatures agree in a smaller part are not held against each other in full. At the
 #: threshold the part has a standard deviation of 0.03.
 LEAST_AGREEMENT = 0.6
+#: Shingles in a block of a group.
+BLOCK = 400_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -122,10 +125,8 @@ def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return t.select("a", "b", "a_digest", "b_digest", "a_s", "b_s").mapInArrow(run, "a long, b long, a_digest binary, b_digest binary").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, folder: str, name: str) -> DataFrame:
-    """Pairs whose full sets reach the threshold. A row of pairs names a set by id and digest."""
-    pairs = written(pairs, folder, f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def full_sets(docs: DataFrame, wanted: DataFrame, k: int, folder: str, name: str) -> DataFrame:
+    """doc_id, digest and sorted shingle hashes of the documents that `wanted` names."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
@@ -133,7 +134,95 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, folder: s
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "digest", "items"])
 
-    held = written(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, digest binary, items binary"), folder, f"{name}-sets")
+    named = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
+    return written(named.mapInArrow(sets, "doc_id long, digest binary, items binary"), folder, f"{name}-sets")
+
+
+class Block:
+    """Links among the documents of two blocks of a group, or of one, between different components."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.rows: list[tuple[int, int, bool, bytes, np.ndarray]] = []
+
+    def links(self) -> list[tuple[int, int]]:
+        """A forest of links that joins what the blocks' links join."""
+        first = [r for r in self.rows if r[2]]
+        second = [r for r in self.rows if not r[2]] or first
+        parent = {r[1]: r[1] for r in self.rows}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        signs = np.frombuffer(b"".join(r[3] for r in second), np.uint8).reshape(-1, HASHES)
+        sizes = np.array([len(r[4]) for r in second])
+        flat = np.concatenate([r[4] for r in second])
+        vocabulary, flat = np.unique(flat, return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        mark = np.zeros(len(vocabulary), np.int32)
+        out = []
+        for i, (a, c, _, sign, items) in enumerate(first):
+            may = (signs == np.frombuffer(sign, np.uint8)).mean(axis=1) >= LEAST_AGREEMENT
+            may &= 100 * np.minimum(sizes, len(items)) >= self.percent * np.maximum(sizes, len(items))
+            if second is first:
+                may[: i + 1] = False
+            if not any(root(second[j][1]) != root(c) for j in np.flatnonzero(may)):
+                continue
+            at = np.searchsorted(vocabulary, items)
+            at = at[(at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == items)]
+            mark[at] = 1
+            both = np.add.reduceat(mark[flat], starts)
+            mark[at] = 0
+            for j in np.flatnonzero(may & (100 * both >= self.percent * (sizes + len(items) - both))):
+                if (x := root(c)) != (y := root(second[j][1])):
+                    parent[max(x, y)] = min(x, y)
+                    out.append((a, second[j][0]))
+        return out
+
+
+def links_across(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, folder: str) -> DataFrame:
+    """Links between components within groups. members: id, c (component), g (group).
+
+    A group is cut into blocks of about BLOCK shingles by a hash of the id; each pair of blocks is one
+    unit of work, decided by counting, and gives a forest of links. So no pair is a row of a join,
+    and a unit's size is bounded whatever the group's.
+    """
+    t = members.join(reps.select(F.col("doc_id").alias("id"), "digest", "n_shingles", "signature"), "id")
+    size = t.groupBy("g").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
+    t = t.join(size, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sets = full_sets(docs, members.select(F.col("id").alias("doc_id")).distinct(), k, folder, "across").dropDuplicates(["doc_id", "digest"])
+    t = t.join(sets.select(F.col("doc_id").alias("id"), "digest", "items"), ["id", "digest"])
+    t = t.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("o"))
+    t = t.select("g", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), (F.col("b") <= F.col("o")).alias("first"), "id", "c", "signature", "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, None
+
+        def out():
+            found = block.links()
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            items = batch.column("items")
+            for i, (g, x, y, first, id_, c, sign) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("g", "x", "y", "first", "id", "c", "signature")), strict=True)):
+                if (g, x, y) != now:
+                    if now is not None:
+                        yield out()
+                    now, block = (g, x, y), Block(percent)
+                block.rows.append((id_, c, first, sign, np.frombuffer(items[i].as_py(), np.uint64)))
+        if now is not None:
+            yield out()
+
+    return t.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, folder: str, name: str) -> DataFrame:
+    """Pairs whose full sets reach the threshold. A row of pairs names a set by id and digest."""
+    pairs = written(pairs, folder, f"{name}-pairs")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    held = full_sets(docs, wanted, k, folder, name)
     held = held.dropDuplicates(["doc_id", "digest"])
     side = lambda x: held.select(F.col("doc_id").alias(x), F.col("digest").alias(f"{x}_digest"), F.col("items").alias(f"{x}_items"))
 
@@ -170,14 +259,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     links = written(confirmed(agreeing(stars, reps, percent), docs, k, percent, folder, "stars").union(same), folder, "links")
     found = written(connected_components(links, f"{folder}/first"), folder, "components")
 
-    placed = rows.join(leads.where("n > 2"), "key").join(found, F.col("id") == F.col("node"), "left").select("key", "id", "a", F.coalesce("component", "id").alias("c"))
+    placed = rows.join(leads.where("n > 2").select("key"), "key").join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     placed = written(placed, folder, "placed")
-    mixed_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    left = placed.join(mixed_, "key", "left_semi")
-    x, y = left.where("id <> a").select("key", F.col("id").alias("a"), F.col("c").alias("ac")), left.where("id <> a").select("key", F.col("id").alias("b"), F.col("c").alias("bc"))
-    across = x.join(y, "key").where("ac < bc").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(confirmed(agreeing(across, reps, percent), docs, k, percent, folder, "across"), folder, "more")
-    if not more.isEmpty():
+    several_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    left = written(placed.join(several_, "key").select("id", "c", "low").distinct(), folder, "left")
+    if not left.isEmpty():
+        near = connected_components(left.select(F.col("c").alias("a"), F.col("low").alias("b")), f"{folder}/groups")
+        members = written(left.select("id", "c").distinct().join(near, F.col("c") == F.col("node")).select("id", "c", F.col("component").alias("g")), folder, "group-members")
+        more = written(links_across(members, reps, docs, k, percent, folder), folder, "more")
         found = written(connected_components(links.union(more), f"{folder}/second"), folder, "all-components")
     whole = member.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(found, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = all_.select("doc_id", "n_shingles").join(whole, "doc_id", "left")
