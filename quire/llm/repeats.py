@@ -93,11 +93,15 @@ def in_pieces(data: np.ndarray, bounds: np.ndarray, length: int, piece: int = PI
         yield part, np.array([0, len(part)]), k
 
 
-def told(part, content, home, row, first, n, place, owner, whole) -> pa.RecordBatch:
-    """Rows of segments, groups or windows: two hashes, of what they share and of all their bytes, and where they are."""
+def told(part, content, home, row, first, n, place, owner, whole, others=None) -> pa.RecordBatch:
+    """Rows of segments, groups or windows: two hashes, of what they share and of all their bytes, and where they are.
+
+    others: pairs (row, first) of equal ones in the same home, as bytes, or null.
+    """
     columns = [np.asarray(x, np.int64) for x in (part, content, row, first, n, place, owner)]
     columns.insert(2, np.full(len(columns[0]), home, np.int32))
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(whole)], ["part", "content", "home", "row", "first", "n", "place", "owner", "whole"])
+    others = pa.nulls(len(whole), pa.binary()) if others is None else pa.array(others, pa.binary())
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(whole), others], ["part", "content", "home", "row", "first", "n", "place", "owner", "whole", "others"])
 
 
 def _home_rows(root: str, homes_batches: Iterator[pa.RecordBatch], work: Callable) -> Iterator[pa.RecordBatch]:
@@ -197,27 +201,43 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
         at = 0
         goes = np.zeros(int(pc.max(wanted["row"]).as_py()) + 1, bool)
         goes[wanted["row"].to_numpy()] = wanted["goes_on"].to_numpy()
+        found: list[tuple[np.ndarray, ...]] = []
         for batch in stored:
             own = np.flatnonzero(goes[at : at + batch.num_rows])
             data, bounds = text_buffer(batch.column(text).take(pa.array(own)))
             for part, edges, offset in in_pieces(data, bounds, length):
                 doc, first, n, place, owner, content = segments(part, edges, length)
                 if len(doc):
-                    yield told(owner, content, home, own[doc] + at, first + offset, n, place + offset, owner, np.zeros(len(doc), bool))
+                    found.append((owner, content, own[doc] + at, first + offset, n, place + offset))
             at += batch.num_rows
-
-    by_home = lambda df, *order: df.repartitionByRange("home").sortWithinPartitions("home", *order)
+        if not found:
+            return
+        # equal segments of one home go on as one, so a hot one is a row of each home at most
+        owner, content, row, first, n, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((content, owner))
+        owner, content, row, first, n, place = (x[order] for x in (owner, content, row, first, n, place))
+        heads = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (content[1:] != content[:-1])))
+        sizes = np.diff(np.append(heads, len(owner)))
+        pairs = np.stack([row, first], axis=1).astype(np.int64)
+        for k in range(0, len(heads), 50_000):
+            h, m = heads[k : k + 50_000], sizes[k : k + 50_000]
+            others = [pairs[a + 1 : a + c].tobytes() if c > 1 else None for a, c in zip(h.tolist(), m.tolist(), strict=True)]
+            yield told(owner[h], content[h], home, row[h], first[h], n[h], place[h], owner[h], np.zeros(len(h), bool), others)
+
+    homes = (rows.agg(F.max("home")).first()[0] or 0) + 1
+    # a task for each home: rows are few, but each stands for a text to read
+    by_home = lambda df, *order: df.repartitionByRange(homes, "home").sortWithinPartitions("home", *order)
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, (part_back, all_back), (part_fore, all_fore) in _neighbours(batches, ["part", "content"]):
             old = x.column("whole").to_numpy(zero_copy_only=False)
-            whole = all_back | all_fore
+            whole = all_back | all_fore | np.asarray(x.column("others").is_valid())
             beside = (part_back & ~all_back) | (part_fore & ~all_fore)
             kept = pa.array((whole & ~old) | beside)
-            columns = [x.column(c) for c in ("home", "row", "first", "n", "place", "owner")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(whole | old), pa.array(whole & ~old), pa.array(beside)], ["home", "row", "first", "n", "place", "owner", "whole", "marked", "beside"]).filter(kept)
+            names = ["home", "row", "first", "n", "place", "owner", "others"]
+            yield pa.RecordBatch.from_arrays([*(x.column(c) for c in names), pa.array(whole | old), pa.array(whole & ~old), pa.array(beside)], [*names, "whole", "marked", "beside"]).filter(kept)
 
     def judged(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-        schema = "home int, row long, first long, n long, place long, owner long, whole boolean, marked boolean, beside boolean"
+        schema = "home int, row long, first long, n long, place long, owner long, others binary, whole boolean, marked boolean, beside boolean"
         return written(df.repartition(*keys).sortWithinPartitions("part", "content", "home", "row", "first").mapInArrow(judge, schema), folder, name)
 
     def finer(tell: Callable) -> Callable:
@@ -256,18 +276,27 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
         s = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
         return i, owner[i], spans.hashes(begin[i] + s, begin[i] + s + length).view(np.int64), s, np.ones(len(i), np.int64)
 
-    schema = "part long, content long, home int, row long, first long, n long, place long, owner long, whole boolean"
+    schema = "part long, content long, home int, row long, first long, n long, place long, owner long, whole boolean, others binary"
     one = judged(by_home(rows, "row").mapInArrow(lambda it: _home_rows(root, it, tell_segments), schema), ["part"], "segments")
     two = judged(by_home(one.where("beside"), "row", "first").mapInArrow(lambda it: _home_rows(root, it, finer(groups)), schema), ["part"], "groups")
     three = judged(by_home(two.where("beside"), "row", "first").mapInArrow(lambda it: _home_rows(root, it, finer(windows)), schema), ["part", "content"], "windows")
-    marks = one.union(two).union(three).where("marked").select("home", "row", "first", "n")
-    marks = marks.union(rows.select("home", "row", F.lit(-1).cast("long"), F.col("copied").cast("long")))  # at least one row for each text
+    marks = one.union(two).union(three).where("marked").select("home", "row", "first", "n", "others")
+    marks = marks.union(rows.select("home", "row", F.lit(-1).cast("long"), F.col("copied").cast("long"), F.lit(None).cast("binary")))  # at least one row for each text
     schema = T.StructType([*docs.schema, T.StructField("__n_bytes", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__n_spans", T.LongType())])
     names, column = docs.columns, docs.columns.index(text)
 
     def cut(home: int, stored: Iterator[pa.RecordBatch], wanted: pa.Table) -> Iterator[pa.RecordBatch]:
         at = 0
         row, first, n = (wanted[c].to_numpy() for c in ("row", "first", "n"))
+        more = wanted["others"].combine_chunks() if wanted.num_rows else wanted["others"]
+        with_more = np.flatnonzero(np.asarray(more.is_valid()))
+        if len(with_more):
+            packed = [np.frombuffer(more[int(i)].as_buffer(), np.int64).reshape(-1, 2) for i in with_more]
+            rest = np.concatenate(packed)
+            row, first = np.append(row, rest[:, 0]), np.append(first, rest[:, 1])
+            n = np.append(n, np.repeat(n[with_more], [len(x) for x in packed]))
+            order = np.argsort(row, kind="stable")
+            row, first, n = row[order], first[order], n[order]
         all_ = np.zeros(int(row[-1]) + 1, bool)
         all_[row[(first < 0) & (n > 0)]] = True
         real = first >= 0
