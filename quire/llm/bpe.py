@@ -35,8 +35,8 @@ from .common import slices
 from .hashing import Spans, text_buffer
 
 #: Slots of a worker's table of pieces, a power of two, and pieces after which it starts anew.
-SLOT_BITS = 21
-CACHE = 1_200_000
+SLOT_BITS = 20
+CACHE = 600_000
 _PROBES = 8
 
 _BYTES = np.arange(256)

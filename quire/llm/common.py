@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,6 +44,18 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, n: int):
+    """Jobs that run inside send n rows at most to Python at once; for rows of several kilobytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system of a URI or absolute path, and the path in it."""
     return pafs.FileSystem.from_uri(uri)

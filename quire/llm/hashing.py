@@ -19,9 +19,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 BYTE_HASH = mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * ODD)
 
 
-@lru_cache(maxsize=3)
-def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """2 ** bits powers of an odd number modulo 2 ** 64, and of its inverse."""
+@lru_cache(maxsize=1)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     base = 0x5851F42D4C957F2D
     out = []
     for x in (base, pow(base, -1, 1 << 64)):
@@ -31,11 +30,21 @@ def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(out)
 
 
+_bits = 16
+
+
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """2 ** bits powers of an odd number modulo 2 ** 64, and of its inverse, or more: a worker keeps its largest table."""
+    global _bits
+    _bits = max(_bits, bits)
+    return _powers(_bits)
+
+
 class Spans:
     """Polynomial hashes of any spans data[a:b] of a buffer, equal for equal bytes."""
 
     def __init__(self, data: np.ndarray):
-        self.up, self.down = powers(max(16, int(len(data)).bit_length()))
+        self.up, self.down = powers(int(len(data)).bit_length())
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTE_HASH[data] * self.up[: len(data)], out=self.sums[1:])
 

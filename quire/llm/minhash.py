@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, slices, written
+from .common import batch_rows, shared_folder, slices, written
 from .components import connected_components
 from .hashing import ODD, mixed, text_buffer, word_hashes
 
@@ -240,6 +240,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, folder: s
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept."""
+    with batch_rows(docs.sparkSession, 1000):
+        return _near_duplicates(docs, id, text, k, percent)
+
+
+def _near_duplicates(docs: DataFrame, id: str, text: str, k: int, percent: int) -> DataFrame:
     folder = shared_folder(docs.sparkSession, "minhash")
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     all_ = written(features(docs, k), folder, "features")
