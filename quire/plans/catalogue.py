@@ -430,7 +430,7 @@ def book_paragraphs(spark, d):
     return n.groupBy("book_id").agg(F.count_if(F.col("kind") == "p").alias("paragraphs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
 
 
-@query(f"SELECT book_id, md5(array_to_string(list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, '{W}+', ' ', 'g'))), x -> x <> ''), chr(10) || chr(10))) AS digest FROM ({LINES})")
+@query(f"SELECT book_id, md5(array_to_string(list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, '{W}+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10))) AS digest FROM ({LINES})")
 def book_text(spark, d):
     n = book_source.nodes(book_source.from_texts(table(spark, d, "documents"), "doc_id", "text"))
     return render.plain_text(n).select("book_id", F.md5(F.col("content").cast("binary")).alias("digest"))
