@@ -84,13 +84,28 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tupl
 
 
 def in_pieces(data: np.ndarray, bounds: np.ndarray, length: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Buffers no longer than needed: texts together, or a long text in pieces that share length - 1 bytes. With each its offset in the text."""
-    if len(data) <= piece + length:
-        yield data, bounds, 0
-        return
-    for k in range(0, len(data), piece):
-        part = data[k : k + piece + length - 1]
-        yield part, np.array([0, len(part)]), k
+    """Buffers no longer than needed: texts together, or a text longer than a piece by itself, in pieces that share length - 1 bytes.
+
+    With each the bounds of all texts in it (those that lie elsewhere are empty) and its offset in the
+    long text. A piece ends where a segment does: one told in two parts would look like a repeated one.
+    """
+    at = 0
+    for i in [*np.flatnonzero(np.diff(bounds) > piece + length).tolist(), len(bounds) - 1]:
+        a, b = int(bounds[at]), int(bounds[i])
+        if b > a:
+            yield data[a:b], np.clip(bounds, a, b) - a, 0
+        if i + 1 == len(bounds):
+            return
+        k, end = b, int(bounds[i + 1])
+        while k < end:
+            later = end
+            if end - k > piece + length:
+                near = k + piece - 2 * length  # more windows than two segments have
+                later = near + int(segments(data[near : k + piece + length - 1], np.array([0, 3 * length - 1]), length)[1][-1])
+            stop = min(later + length - 1, end)
+            yield data[k:stop], np.clip(bounds, k, stop) - k, k - b
+            k = later
+        at = i + 1
 
 
 def told(part, content, home, row, first, n, place, owner, whole, others=None) -> pa.RecordBatch:

@@ -67,3 +67,53 @@ def test_driver_table(spark):
     docs = [tuple(x) for x in d.collect()]
     got = remove_repeats(d, digest_only=True).select("doc_id", "__n_bytes", "__n_removed", "__n_spans", "text")
     assert sorted(map(tuple, got.collect())) == sorted((i, *b) for (i, _), b in zip(docs, brute([t for _, t in docs])))
+
+
+def brute_hashed(texts, length=200):
+    """As brute, with a hash for each window instead of its bytes."""
+    import numpy as np
+
+    raw = [t.encode() for t in texts]
+    hashes = [np.fromiter((hash(x[i : i + length]) for i in range(len(x) - length + 1)), np.int64) for x in raw]
+    _, which, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    out, at = [], 0
+    for x, h in zip(raw, hashes):
+        change = np.zeros(len(x) + 1, np.int64)
+        starts = np.flatnonzero(counts[which[at : at + len(h)]] > 1)
+        change[starts] += 1
+        change[starts + length] -= 1
+        at += len(h)
+        gone = np.cumsum(change[:-1]) > 0
+        spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+        out.append((len(x), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(x, np.uint8)[~gone].tobytes()).hexdigest()))
+    return out
+
+
+def test_long_text_before_short_ones(spark):
+    r = random.Random(12)
+    noise = lambda n: r.randbytes(n * 3 // 4).hex()[:n]
+    shared, other, third = noise(700), noise(400), noise(450)
+    # borders of pieces, passages shared with the long text and among the short ones alone
+    long = noise(5_000_000) + shared + noise(3_700_000) + other
+    docs = [(0, noise(10_000)), (1, long), (2, noise(100_000) + shared[100:600] + noise(3000)), (3, noise(50_000) + other + noise(500)), (4, noise(900) + third + noise(900)), (5, third + noise(400))]
+    assert brute_hashed([t for _, t in docs[2:]]) == brute([t for _, t in docs[2:]])
+    assert run(spark, docs, parts=1) == sorted((i, *b) for (i, _), b in zip(docs, brute_hashed([t for _, t in docs])))
+
+
+def test_pieces_of_several_texts():
+    import numpy as np
+
+    from quire.llm import repeats
+
+    r = random.Random(14)
+    texts = [r.randbytes(n) for n in (0, 150, 600, 5000, 0, 300, 900, 901, 3000, 2)]
+    data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    seen = []
+    for part, edges, offset in repeats.in_pieces(data, bounds, 200, 700):
+        doc, first, n, place, owner, content = repeats.segments(part, edges)
+        seen += zip(doc.tolist(), (first + offset).tolist(), n.tolist(), (place + offset).tolist(), owner.tolist(), content.tolist())
+    want = []
+    for i, x in enumerate(texts):
+        _, *rest = repeats.segments(np.frombuffer(x, np.uint8), np.array([0, len(x)]))
+        want += zip([i] * len(rest[0]), *(y.tolist() for y in rest))
+    assert sorted(seen) == sorted(want)
