@@ -3,10 +3,10 @@
 A turn weighs its bytes / 4 plus the template's overhead. Prefix sums of these weights along a
 conversation choose the spans: a turn of more than half a span stands alone, the others go by the
 half-span in which they start, so no span of several turns exceeds its budget and every turn lies in one span.
-A window is: the conversation's first turn if it is a system turn (in windows after the first, if
-it weighs SYSTEM at most), the turns before the span that fit into HISTORY, the span. Only
-assistant turns of the span itself are under the loss mask; what is repeated is masked, so each
-assistant text is a target once. A single turn beyond the budget keeps a window to itself, whole.
+A window is: the conversation's first turn if it is a system turn, whatever it weighs, the turns
+before the span that fit into HISTORY, the span. Only assistant turns of the span itself are under
+the loss mask; what is repeated is masked, so each assistant text is a target once. A single turn
+beyond the budget is alone in its span, whole.
 
 Prefix sums have two levels, blocks of BLOCK turn numbers and turns within a block, so one
 conversation with a third of all rows spreads over many tasks; only its blocks' sums meet.
@@ -30,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SPAN, HISTORY, SYSTEM, OVERHEAD = 1024, 512, 512, 8
+from .common import slices
+
+SPAN, HISTORY, OVERHEAD = 1024, 512, 8
 BLOCK = 256
 TARGET = "assistant"
 
@@ -88,7 +90,7 @@ def placed(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     return t.select("key", "conv_id", "turn", "role", "text", "n", (F.col("base") + F.col("local")).alias("start"))
 
 
-def chat_windows(turns: DataFrame, span: int = SPAN, history: int = HISTORY, system: int = SYSTEM) -> DataFrame:
+def chat_windows(turns: DataFrame, span: int = SPAN, history: int = HISTORY) -> DataFrame:
     """Windows: key, conv_id, start, n_repeated (turns), formatted, loss (code-point spans)."""
     half = span // 2
     t = placed(turns)
@@ -107,11 +109,11 @@ def chat_windows(turns: DataFrame, span: int = SPAN, history: int = HISTORY, sys
         F.sort_array(F.collect_list("turn")).alias("turns"),  # a span and its history: bounded by their budgets
     )
     groups = groups.where("first IS NOT NULL").withColumn("turns", F.expr(f"filter(turns, x -> x.own OR (x.start >= first - {history} AND x.end <= first))"))
-    heads = t.where(F.col("is_system") & (F.col("n") <= system)).select("key", F.col("text").alias("system"))
+    heads = t.where("is_system").select("key", F.col("text").alias("system"))
     groups = groups.join(heads, "key", "left").select("key", "conv_id", "first", F.when(F.col("first") > 0, F.col("system")).alias("system"), F.expr("transform(turns, x -> struct(x.role, x.text, x.own))").alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "system"):
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 repeated, texts, loss = [], [], []

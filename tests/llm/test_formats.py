@@ -65,6 +65,17 @@ def test_chat(spark):
     assert chat_windows(df.limit(0)).collect() == []
 
 
+def test_long_system_turn_leads_each_window(spark):
+    system = "s" * 9000
+    rows = [(c, i, "user" if i % 2 else "assistant", f"{i} " * 200) for c in (1, 2) for i in range(1, 30)] + [(1, 0, "system", system), (2, 0, "system", "short")]
+    windows = chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).cache()
+    for c, head in ((1, system), (2, "short")):
+        parsed = [(w, parse_turns(w.formatted)) for w in windows.where(f"conv_id = {c}").orderBy("start").collect()]
+        assert len(parsed) > 5 and all(turns[0] == ("system", head) and turns.count(turns[0]) == 1 for _, turns in parsed)
+        assert [w.n_repeated > 0 for w, _ in parsed] == [False] + [True] * (len(parsed) - 1)
+    assert {x.conv_id: tuple(x)[1:5] for x in read_back(windows).collect()} == chat_brute(rows)
+
+
 def test_archive(spark):
     pages = [(1, "http://www.B.com/x?q=1", "x" * 100), (2, "https://a.org", "x" * 100), (3, "http://b.com:80/x?q=1#top", "x" * 99), (4, None, "x" * 99), (5, "no url\r\nat all", None), (None, "http://c.de/ü", "x" * 100)]
     pages += [(1, "http://www.B.com/x?q=1", "x" * 100)] + [(10 + i, f"http://h{i % 7}.net/p{i}", "é" * (40 + i % 40)) for i in range(300)]
