@@ -1,13 +1,14 @@
 """Operator 5, license scans.
 
 Texts and templates are lower-cased words (runs of ASCII letters, digits and other bytes from 128
-on), shingled by five. Templates of m shingles scan with overlapping windows: blocks of S >= m - 1
+on), shingled by five; fewer words than that are one shingle, the whole sequence. A template of
+fewer words matches where exactly its words stand in a row. Longer templates of m shingles scan with overlapping windows: blocks of S >= m - 1
 shingles, two neighbours a window, so each run of m shingles lies in one window whole. For each
 size class the number of bands follows from the lowest similarity that a window with a match can
 have, so that a match is missed with probability MISS at most (bands of one row). Windows that
 share a band with a template are then decided by exact containment of its shingles.
 
-Null, empty or too short text matches nothing. A null doc_id keeps its matches; repeated rows give
+Null or empty text matches nothing, nor does a template without words. A null doc_id keeps its matches; repeated rows give
 their matches each. An empty table or template list gives no rows. Other columns are not read.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices
-from .hashing import mixed, text_buffer, word_hashes
+from .hashing import ODD, mixed, text_buffer, word_hashes
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -37,17 +38,31 @@ TEMPLATES = {
         law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
         CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations
         under the License.""",
+    "BSL-1.0 notice": "Distributed under the Boost Software License, Version 1.0.",
+    "BUSL-1.1 name": "Business Source License 1.1",
     "BSD conditions": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
         following conditions are met""",
+    "CC-BY-4.0 name": "Creative Commons Attribution 4.0 International",
+    "CC-BY-4.0 notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0 name": "Creative Commons Attribution-ShareAlike 4.0 International",
+    "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
+    "CC0-1.0 name": "CC0 1.0 Universal",
+    "CC0-1.0 waiver": "has waived all copyright and related or neighboring rights to",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
         License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "ISC permission": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "MPL-2.0 header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "MIT notice": "Released under the MIT License.",
     "MIT permission": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
         documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use,
         copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
         Software is furnished to do so, subject to the following conditions""",
+    "Reserved rights": "All rights reserved.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -65,42 +80,76 @@ def bands_needed(similarity: float, miss: float = MISS) -> int:
     return 1 if similarity >= 1 else math.ceil(math.log(miss) / math.log(1 - similarity))
 
 
-def shingled(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of all texts one after the other, and the texts' bounds in them."""
+def worded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts one after the other, and the texts' bounds in them."""
     data, bounds = text_buffer(texts)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     words, at, _, _ = word_hashes(_FOLD[data], bounds, _SPACE)
-    n = len(words) - SHINGLE + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    h = sum(words[i : i + n] * _C[i] for i in range(SHINGLE))
-    counts = np.maximum(np.diff(at) - SHINGLE + 1, 0)
+    return words, at
+
+
+def runs_of(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash for each n words in a row; fewer than SHINGLE differ from any other number of words."""
+    many = max(0, len(words) - n + 1)
+    h = sum((words[i : i + many] * _C[i] for i in range(n)), np.zeros(many, np.uint64))
+    return mixed(h if n == SHINGLE else h + np.full(many, n, np.uint64) * ODD)
+
+
+def shingles_of(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of texts of these words, and the texts' bounds in them."""
+    sizes = np.diff(at)
+    counts = np.where(sizes >= SHINGLE, sizes - SHINGLE + 1, np.minimum(sizes, 1))
     keep = np.concatenate([[0], np.cumsum(counts)])
+    flat = np.zeros(keep[-1], np.uint64)
+    long = np.repeat(sizes >= SHINGLE, counts)
     own = np.repeat(at[:-1] - keep[:-1], counts) + np.arange(keep[-1])
-    return mixed(h[own]), keep
+    flat[long] = runs_of(words, SHINGLE)[own[long]]
+    for n in range(1, SHINGLE):
+        short = np.flatnonzero(sizes == n)
+        if len(short):
+            flat[keep[short]] = runs_of(words, n)[at[short]]
+    return flat, keep
+
+
+def shingled(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all texts one after the other, and the texts' bounds in them."""
+    return shingles_of(*worded(texts))
 
 
 class Scanner:
-    """Templates in size classes: block length S, minima of each template, its shingles."""
+    """Templates in size classes: block length S, minima of each template, its shingles; and those of few words by their number."""
 
     def __init__(self, templates: dict[str, str], contained: float = CONTAINED, miss: float = MISS):
         self.contained = contained
         self.classes: dict[int, list[tuple[str, np.ndarray]]] = defaultdict(list)
-        flat, bounds = shingled(pa.array(list(templates.values()), pa.string()))
-        for name, a, b in zip(templates, bounds[:-1], bounds[1:], strict=True):
-            if s := np.unique(flat[a:b]).tolist():
+        self.short: dict[int, list[tuple[str, np.uint64]]] = defaultdict(list)
+        words, at = worded(pa.array(list(templates.values()), pa.string()))
+        flat, bounds = shingles_of(words, at)
+        for name, n, a, b in zip(templates, np.diff(at).tolist(), bounds[:-1], bounds[1:], strict=True):
+            if 0 < n < SHINGLE:
+                self.short[n].append((name, flat[a]))
+            elif s := np.unique(flat[a:b]).tolist():
                 self.classes[1 << max(0, int(b - a) - 2).bit_length()].append((name, np.array(s, np.uint64)))
         self.bands = {}
         for size, members in self.classes.items():
             least = min(need / (2 * size + len(s) - need) for _, s in members for need in [math.ceil(contained * len(s))])
             self.bands[size] = min(bands_needed(least, miss), len(_A))
 
-    def scan(self, flat: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, str], tuple[float, int]]:
+    def scan(self, words: np.ndarray, at: np.ndarray) -> dict[tuple[int, str], tuple[float, int]]:
         """For each text and template that match: the highest containment in a window, and the window's first word."""
         out: dict[tuple[int, str], tuple[float, int]] = {}
+        flat, bounds = shingles_of(words, at)
         if not len(flat):
             return out
+        for n, members in self.short.items():
+            runs = runs_of(words, n)
+            for name, s in members:
+                found = np.flatnonzero(runs == s)
+                d = np.searchsorted(at, found, "right") - 1
+                inside = found + n <= at[d + 1]
+                d, which = np.unique(d[inside], return_index=True)
+                out.update({(int(i), name): (1.0, int(w - at[i])) for i, w in zip(d, found[inside][which], strict=True)})
         x, counts = flat >> _HALF, np.diff(bounds)
         for size, members in self.classes.items():
             per = -(-counts // size)
@@ -132,7 +181,7 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", templ
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, contained)
         for part in slices(batches, "text", 1 << 20):
-            found = scanner.scan(*shingled(part.column("text")))
+            found = scanner.scan(*worded(part.column("text")))
             rows = sorted(found.items())
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array([d for (d, _), _ in rows], pa.int64())), pa.array([n for (_, n), _ in rows], pa.string()), pa.array([c for _, (c, _) in rows], pa.float64()), pa.array([w for _, (_, w) in rows], pa.int64())], ["doc_id", "license", "containment", "first_word"])
 

@@ -216,6 +216,23 @@ def test_licenses(spark):
     assert (1 - 0.3) ** bands_needed(0.3) <= 1e-6 and SHINGLE == 5 and Scanner(TEMPLATES).bands
 
 
+def test_short_templates(spark):
+    docs = [(1, "A b c. All RIGHTS reserved."), (2, "all rights, reserved"), (3, "all rights are reserved"), (4, "x all rights"), (5, "reserved y"), (6, "Word. " * 40 + "CC0 1.0 Universal, all rights reserved; all rights reserved"), (None, "all rights reserved"), (7, "all"), (8, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = sorted((tuple(x) for x in scan_licenses(df).collect()), key=repr)
+    want = [(1, "Reserved rights", 1.0, 3), (2, "Reserved rights", 1.0, 0), (6, "CC0-1.0 name", 1.0, 40), (6, "Reserved rights", 1.0, 44), (None, "Reserved rights", 1.0, 0)]
+    assert got == sorted(want, key=repr)
+    got = scan_licenses(df, templates={"one": "all", "four": "x, all rights", "none": ". ."}).collect()
+    assert sorted((x.doc_id or 0, x.license) for x in got) == [(0, "one"), (1, "one"), (2, "one"), (3, "one"), (4, "four"), (4, "one"), (6, "one"), (7, "one")]
+
+
+def test_license_line_of_the_driver_table(spark):
+    lines = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0 notice", "All rights reserved.": "Reserved rights", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0 notice", "Released under the MIT License.": "MIT notice", "Licensed under the Apache License, Version 2.0.": "Apache-2.0 notice"}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = {(i, lines[last]) for i, t in docs.collect() if (last := (t or "").rstrip().split("\n")[-1]) in lines}
+    assert len(want) > 40 and want <= {(x.doc_id, x.license) for x in scan_licenses(docs).collect()}
+
+
 def test_mixing_cases(spark):
     rows = [(i, "a" if i % 3 else "b", i % 50) for i in range(3000)] + [(5, "c", 10)] * 4 + [(None, None, None), (7, None, 3)]
     df = spark.createDataFrame([(*x, "t") for x in rows], "doc_id long, source string, words int, target string")
