@@ -1,8 +1,9 @@
 """A training-data pipeline over `documents`: each stage takes and returns a table with its columns.
 
-Stages read their input once written, so each works on all that the one before kept. Rows of a null
-doc_id pass near-duplicate removal; in each stage repeated rows, nulls and empty tables behave as in
-the operator that it calls.
+Stages read their input once written, so each works on all that the one before kept. Near-duplicate
+removal goes by rows, so of repeated rows and of copies with a null doc_id one stays too; texts
+without words are no one's duplicates. In each other stage repeated rows, nulls and empty tables
+behave as in the operator that it calls.
 """
 
 from __future__ import annotations
@@ -24,9 +25,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates, that with the smallest id (null ids last), whatever ids its rows have."""
+    # a row's place is its id below: written, since it must not change between jobs
+    placed = written(docs.withColumn("__place", F.monotonically_increasing_id()), shared_folder(spark, "near-duplicates"), "placed")
+    groups = near_duplicates(placed, "__place").select(F.col("doc_id").alias("__place"), "component_id")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("__place").alias("place"))
+    stay = groups.join(placed.select("__place", "doc_id"), "__place").groupBy("component_id").agg(F.min(row).alias("row")).select(F.col("row.place").alias("__place"))
+    return placed.join(stay, "__place", "left_semi").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

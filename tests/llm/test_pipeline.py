@@ -48,3 +48,40 @@ def test_stages(spark, tmp_path):
     assert Counter(r.doc_id for r in five) == copies
     assert all(r.text == left[r.doc_id].text and r.n_tokens == len(tok.encode(r.text, add_special_tokens=False).ids) for r in five)
 
+
+def test_repeated_rows_and_null_ids(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    # without trusted documents only the base rules take out, which copies don't change
+    spark.read.parquet(f"{D}/labels.parquet").where("quality = 1").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    alone = stages["near_duplicates"](spark, stages["quality"](spark, docs, str(tmp_path)), D)
+    good = alone.where("length(text) BETWEEN 600 AND 3000").orderBy("doc_id").limit(6).collect()
+    assert len({r.text for r in good}) == 6
+    a, b, c, d, e, f = (r.doc_id for r in good)
+    copies = lambda i, n, id: docs.where(f"doc_id = {i}").withColumn("doc_id", F.lit(id).cast(docs.schema["doc_id"].dataType)).withColumn("__n", F.explode(F.sequence(F.lit(1), F.lit(n)))).drop("__n")
+    # repeated rows, repeated rows of two ids, null ids beside an id, null ids alone, an id of two texts
+    rows = copies(a, 2, a).union(copies(b, 2, b)).union(copies(b, 2, 10**6)).union(copies(c, 1, c)).union(copies(c, 2, None)).union(copies(d, 3, None)).union(copies(e, 2, e)).union(copies(f, 2, e))
+    changed = copies(d, 1, None).withColumn("text", F.concat("text", F.lit(" more")))
+    df = docs.where(~F.col("doc_id").isin(a, b, c, d, e, f)).union(rows).union(changed)
+
+    def kept_as(name, df):
+        df.repartition(3).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    one = kept_as("one", stages["quality"](spark, df, str(tmp_path)))
+    mine = [r.text for r in good]
+    assert Counter(r.text for r in one.where(F.col("text").isin(mine)).collect()) == dict(zip(mine, [2, 4, 3, 3, 2, 2]))
+    two = kept_as("two", stages["near_duplicates"](spark, one, D))
+    texts = {r.text: i for i, r in enumerate(good)}
+    got = [(texts[r.text], r.doc_id) for r in two.collect() if r.text in texts]
+    more = two.where(F.col("doc_id").isNull()).collect()
+    assert Counter(x for x in got if x[0] != 3) == Counter([(0, a), (1, b), (2, c), (4, e), (5, e)])
+    assert len(more) == 1 and more[0].text in (good[3].text, good[3].text + " more") and two.columns == docs.columns
+    assert two.groupBy("text").count().where("count > 1").isEmpty()
+    want = repeats_brute([r.text for r in two.collect()])
+    three = stages["repeats"](spark, two, D).collect()
+    assert len(three) == len(want) and sum(not r.text for r in three) == sum(n == gone for n, gone, _, _ in want)
+    assert all(r.text for r in three if r.doc_id in (a, b, c, e) or r.doc_id is None)
+    assert stages["near_duplicates"](spark, two.limit(0), D).collect() == []
