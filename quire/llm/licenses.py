@@ -5,7 +5,8 @@ on), shingled by five; fewer words than that are one shingle, the whole sequence
 fewer words matches where exactly its words stand in a row. Longer templates of m shingles scan with overlapping windows: blocks of S >= m - 1
 shingles, two neighbours a window, so each run of m shingles lies in one window whole. For each
 size class the number of bands follows from the lowest similarity that a window with a match can
-have, so that a match is missed with probability MISS at most (bands of one row). Windows that
+have, so that a match is missed with probability MISS at most (bands of one row); a class that would
+need more than MOST_BANDS counts each template's shingles in every window instead. Windows that
 share a band with a template are then decided by exact containment of its shingles.
 
 Null or empty text matches nothing, nor does a template without words. A null doc_id keeps its matches; repeated rows give
@@ -29,6 +30,7 @@ from .hashing import ODD, mixed, text_buffer, word_hashes
 SHINGLE = 5
 CONTAINED = 0.8
 MISS = 1e-6
+MOST_BANDS = 1024
 
 #: Public license notices, by name.
 TEMPLATES = {
@@ -70,8 +72,8 @@ _FOLD[65:91] += 32
 _SPACE = ~np.isin(np.arange(256), [*range(48, 58), *range(97, 123), *range(128, 256)])
 _random = np.random.Generator(np.random.PCG64(5))
 _C = _random.integers(0, 1 << 64, SHINGLE, np.uint64) | np.uint64(1)
-_A = _random.integers(0, 1 << 64, 1024, np.uint64) | np.uint64(1)
-_B = _random.integers(0, 1 << 64, 1024, np.uint64)
+_A = _random.integers(0, 1 << 64, MOST_BANDS, np.uint64) | np.uint64(1)
+_B = _random.integers(0, 1 << 64, MOST_BANDS, np.uint64)
 _HALF = np.uint64(32)
 
 
@@ -131,10 +133,11 @@ class Scanner:
                 self.short[n].append((name, flat[a]))
             elif s := np.unique(flat[a:b]).tolist():
                 self.classes[1 << max(0, int(b - a) - 2).bit_length()].append((name, np.array(s, np.uint64)))
-        self.bands = {}
+        self.bands = {}  # 0: by counting
         for size, members in self.classes.items():
             least = min(need / (2 * size + len(s) - need) for _, s in members for need in [math.ceil(contained * len(s))])
-            self.bands[size] = min(bands_needed(least, miss), len(_A))
+            bands = bands_needed(least, miss) if least > 0 else MOST_BANDS + 1
+            self.bands[size] = bands if bands <= MOST_BANDS else 0
 
     def scan(self, words: np.ndarray, at: np.ndarray) -> dict[tuple[int, str], tuple[float, int]]:
         """For each text and template that match: the highest containment in a window, and the window's first word."""
@@ -165,6 +168,12 @@ class Scanner:
                 for j, (_, s) in enumerate(members):
                     own = (((s >> _HALF) * _A[k] + _B[k]) >> _HALF).min()
                     hits.update((int(i), j) for i in np.flatnonzero(window == own))
+            if not self.bands[size]:
+                for j, (_, s) in enumerate(members):
+                    in_block = np.add.reduceat(np.isin(flat, s).astype(np.int64), starts)
+                    window = in_block.copy()
+                    window[following] += in_block[following + 1]
+                    hits.update((int(i), j) for i in np.flatnonzero(window >= max(1, math.ceil(self.contained * len(s)))))
             for i, j in sorted(hits):
                 name, s = members[j]
                 a, d = int(starts[i]), int(owner[i])

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from quire.llm.bpe import decode, encode, heap_encoder, library_encoder, tokenizer_path
 from quire.llm.chat import HISTORY, OVERHEAD, SPAN, chat_windows, format_turns, parse_turns, read_back, unescaped
 from quire.llm.common import shared_folder
-from quire.llm.licenses import SHINGLE, TEMPLATES, Scanner, bands_needed, scan_licenses, shingled
+from quire.llm.licenses import SHINGLE, TEMPLATES, Scanner, bands_needed, scan_licenses, shingled, worded
 from quire.llm.media import chunk_lists, cuts, gear, store
 from quire.llm.media import read_back as media_back
 from quire.llm.mixing import mix
@@ -226,6 +226,17 @@ def test_short_templates(spark):
     assert sorted((x.doc_id or 0, x.license) for x in got) == [(0, "one"), (1, "one"), (2, "one"), (3, "one"), (4, "four"), (4, "one"), (6, "one"), (7, "one")]
 
 
+def test_low_containment_is_exact():
+    words = [f"w{i}" for i in range(1000)]
+    template = " ".join(words)
+    texts = pa.array([" ".join([f"x{k}", *words[5 * k : 5 * k + 9], f"y{k}"]) for k in range(150)] + ["n " * 50])
+    for contained in (0.005, 0.0):
+        scanner = Scanner({"long": template}, contained)
+        assert scanner.bands == {1024: 0} and bands_needed(5 / 2048) > 1024
+        found = scanner.scan(*worded(texts))
+        assert sorted(found) == [(k, "long") for k in range(150)] and {c for c, _ in found.values()} == {5 / 996}
+
+
 def test_license_line_of_the_driver_table(spark):
     lines = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0 notice", "All rights reserved.": "Reserved rights", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0 notice", "Released under the MIT License.": "MIT notice", "Licensed under the Apache License, Version 2.0.": "Apache-2.0 notice"}
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
