@@ -2,7 +2,7 @@
 
 Documents are dealt out by ranges of doc_id and sorted. Each task encodes its range, appends the
 end id to each document, and writes one stream file: batches of fixed-size lists `ids` (unsigned 16
-bits where the vocabulary allows it, else 32) and `mask` (false where the last sequence is padded).
+bits where the tokenizer's largest id and the end id allow it, else 32) and `mask` (false where the last sequence is padded).
 All batches but the last of a file have the same number of rows, so sequence i of a mapped file is
 a slice of its buffer, without a copy. A manifest has shard, place and length of each document;
 the start over all shards is the sum of the shards before plus the place within.
@@ -39,9 +39,17 @@ def sequences(flat: np.ndarray, filled: int, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(flat), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], ["ids", "mask"])
 
 
+def id_kind(tokenizer: str, end_id: int) -> type:
+    """The unsigned type that holds all ids of a tokenizer and the end id."""
+    from tokenizers import Tokenizer
+
+    most = max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values())
+    return np.uint16 if most < 1 << 16 else np.uint32
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, length: int = SEQUENCE, rows: int = ROWS, wide: bool = False) -> DataFrame:
-    """Write the shards; returns the manifest: shard, doc_id, place, n_tokens, start."""
-    kind = np.uint32 if wide else np.uint16
+    """Write the shards; returns the manifest: shard, doc_id, place, n_tokens, start. wide: 32 bits in any case."""
+    kind = np.uint32 if wide else id_kind(tokenizer, end_id)
     root = f"{folder}/shards"
     fs, path = file_system(root)
     fs.create_dir(path, recursive=True)

@@ -183,6 +183,22 @@ def test_token_files(spark):
     assert read_documents(write_token_files(df.limit(0), f"{folder}/none", tokenizer_path()), f"{folder}/none").collect() == []
 
 
+def test_token_files_of_wide_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    tok.add_tokens([f"<|x{i}|>" for i in range(66_000 - tok.get_vocab_size())])
+    tok.save(str(tmp_path / "large.json"))
+    last = tok.id_to_token(65_999)
+    df = spark.createDataFrame([(1, f"a {last} b"), (2, None)], "doc_id long, text string")
+    for tokenizer, end in ((str(tmp_path / "large.json"), 2), (tokenizer_path(), 70_000)):
+        ids = [[*Tokenizer.from_file(tokenizer).encode(t, add_special_tokens=False).ids, end] for t in (f"a {last} b", "")]
+        assert max(ids[0]) >= 1 << 16
+        folder = shared_folder(spark, "test")
+        got = sorted(read_documents(write_token_files(df, folder, tokenizer, end_id=end), folder).collect())
+        assert [x.ids_crc32 for x in got] == [zlib.crc32(b"".join(i.to_bytes(4, "little") for i in d)) for d in ids]
+
+
 def test_licenses(spark):
     r = random.Random(11)
     noise = lambda n: " ".join(f"n{r.randrange(999)}" for _ in range(n))
