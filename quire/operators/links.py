@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import broken_link_text, link_class
 
+#: Rules are broadcast.
+MOST_RULES = 1000
+
 
 def hrefs(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
     """One row for each link in order: keys, pos, href. A generator after the scan, without a shuffle."""
@@ -78,12 +81,14 @@ def backlinks(refs: DataFrame, target: str, order: list[str]) -> DataFrame:
 
 
 def first_match(rows: DataFrame, rules: DataFrame, fields: list[str], order: str) -> DataFrame:
-    """The first rule in order whose fields all equal a row's, "*" matching anything. rules: a table of a few hundred rows."""
+    """The first rule in order whose fields all equal a row's, "*" matching anything. rules: a table of MOST_RULES rows at most, else an error."""
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     r = rules.select(*(F.col(f).alias(f"__{f}") for f in fields), *(c for c in rules.columns if c not in fields))
     hit = F.lit(True)
     for f in fields:
         hit = hit & ((F.col(f"__{f}") == "*") | (F.lower(f"__{f}") == F.lower(f)))
     keys = [c for c in rows.columns]
     rest = [c for c in rules.columns if c not in fields]
-    joined = rows.join(F.broadcast(r.limit(1000)), hit, "left")
+    joined = rows.join(F.broadcast(r), hit, "left")
     return joined.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__r")).select(*keys, "__r.*")

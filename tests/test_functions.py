@@ -95,3 +95,13 @@ def test_maps_and_lists(spark):
     r = spark.sql("SELECT map('a', 1, 'b', 2) AS m, map('b', 3, 'c', 4) AS n, array(2, 1, 2) AS x, array(3, 1) AS y, map('b', 2, 'a', 1) AS o")
     r = r.select(values.overlay(F.col("m"), F.col("n")).alias("m"), values.ordered_union(F.col("x"), F.col("y")).alias("u"), (values.signature(F.col("m")) == values.signature(F.col("o"))).alias("s")).first()
     assert r.m == {"a": 1, "b": 3, "c": 4} and r.u == [2, 1, 3] and r.s
+
+
+def test_first_match_bound(spark):
+    from quire.operators.links import first_match
+
+    rows = spark.createDataFrame([("k999",), ("none",)], "kind string")
+    rules = lambda n: spark.range(n).selectExpr("concat('k', id) AS kind", "id AS place")
+    assert sorted(map(tuple, first_match(rows, rules(1000), ["kind"], "place").collect()), key=str) == [("k999", 999), ("none", None)]
+    with pytest.raises(ValueError, match="1000 rules"):
+        first_match(rows, rules(1001), ["kind"], "place")
