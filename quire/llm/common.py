@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,23 +20,44 @@ SPACES = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+#: Bytes in a file of a written table: small tables go to few files, large ones to files of FILE bytes.
+SMALL, FILE = 4 << 20, 64 << 20
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder, under the one that the cluster names in spark.checkpoint.dir, that driver and executors see.
 
-    Only where that setting is missing (tests, local mode) a temporary folder takes its place.
+    Only where that setting is missing on a local master (tests) a temporary folder takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + _temporary()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives the loss of executors."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@lru_cache(maxsize=1)
+def _temporary() -> str:
+    return tempfile.mkdtemp(prefix="quire-")
+
+
+def plan_size(df: DataFrame) -> int:
+    """Bytes of df as the optimizer estimates them: good for what is read from files, too high after joins."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def written(df: DataFrame, folder: str, name: str, size: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage and survives the loss of executors.
+
+    size: a bound of its bytes; with it a small table is written by few tasks, not one file for each
+    shuffle partition.
+    """
+    path, spark = f"{folder}/{name}", df.sparkSession
+    if size is not None:
+        df = df.coalesce(max(min(1 + size // SMALL, 2 * spark.sparkContext.defaultParallelism), min(size // FILE, 1_000_000)))
+    df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -45,15 +67,17 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def batch_rows(spark: SparkSession, n: int):
-    """Jobs that run inside send n rows at most to Python at once; for rows of several kilobytes."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m"):
+    """Jobs that run inside send so many rows and bytes at most to Python at once."""
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:

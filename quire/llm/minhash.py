@@ -7,9 +7,10 @@ A document's set holds 64-bit hashes of its distinct word shingles. HASHES unive
 Equal sets form a class, of which only the smallest id goes on. In each bucket every member is held
 against the smallest id: sizes and signatures sort out what cannot reach the threshold, then the
 full sets decide. Components of these links come from alternating stars. Where buckets still hold
-several components, these form groups (components again, of buckets in common), and every pair of
-documents of a group from different components is decided by counting, in pairs of blocks of
-bounded size that give a forest of links. No pair of documents is ever a row of its own there.
+several components, those that have the same member with the least hash form a group (so a group is a
+member's own buckets at most, and does not grow through chains of buckets), and every pair of documents
+of a group from different components is decided by counting, in blocks of bounded size that give a
+forest of links. No pair of documents is ever a row of its own there.
 
 Null or empty text and text without words has an empty set, linked with nothing. Rows with a null
 id are kept, linked with nothing, and have a null component. Rows that repeat an id are one node
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, shared_folder, slices, written
+from .common import plan_size, shared_folder, slices, small_batches, written
 from .components import connected_components
 from .hashing import ODD, mixed, text_buffer, word_hashes
 
@@ -37,8 +38,10 @@ HASHES = BANDS * ROWS
 #: Pairs whose signatures agree in a smaller part are not held against each other in full. At the
 #: threshold the part has a standard deviation of 0.03.
 LEAST_AGREEMENT = 0.6
-#: Shingles in a block of a group.
-BLOCK = 400_000
+#: Members of a star that meet its centre in one stream, and shingles in a block of a group.
+STREAM, BLOCK = 256, 400_000
+#: Ids of documents that are broadcast, 8 bytes each.
+FEW = 500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -71,7 +74,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
         if b - a >= k:
             out.append(np.unique(mixes[a : b - k + 1]))
         elif b > a:
-            out.append(mixed((words[a:b] * _C[k : k + b - a]).sum(keepdims=True) + np.uint64(b - a) * ODD))
+            out.append(mixed((words[a:b] * _C[k : k + b - a]).sum(keepdims=True) + np.full(1, b - a, np.uint64) * ODD))
         else:
             out.append(empty)
     return out
@@ -125,8 +128,8 @@ def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return t.select("a", "b", "a_digest", "b_digest", "a_s", "b_s").mapInArrow(run, "a long, b long, a_digest binary, b_digest binary").distinct()
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, k: int, folder: str, name: str) -> DataFrame:
-    """doc_id, digest and sorted shingle hashes of the documents that `wanted` names."""
+def full_sets(docs: DataFrame, wanted: DataFrame, most: int, k: int) -> DataFrame:
+    """doc_id, digest and sorted shingle hashes of the documents that `wanted` names, `most` at most; up to FEW are broadcast."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
@@ -134,8 +137,45 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int, folder: str, name: str
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "digest", "items"])
 
-    named = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    return written(named.mapInArrow(sets, "doc_id long, digest binary, items binary"), folder, f"{name}-sets")
+    wanted = F.broadcast(wanted) if most <= FEW else wanted
+    return docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, digest binary, items binary").dropDuplicates(["doc_id", "digest"])
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, folder: str, name: str, most: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold. A row of pairs names a set by id and digest.
+
+    A star's centre meets its members in streams of STREAM members about, its set first in each; a
+    task holds one centre's set and one batch of members. most: a bound of the pairs.
+    """
+    pairs = written(pairs, folder, f"{name}-pairs", 56 * most)
+    found = pairs.count()
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    held = full_sets(docs, wanted, 2 * found, k)
+    streams = pairs.groupBy("a", "a_digest").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("n"))
+    part = F.pmod(F.xxhash64("b", "b_digest"), F.col("n")).cast("int").alias("part")
+    member = pairs.join(streams, ["a", "a_digest"]).select("a", "a_digest", part, F.col("b").alias("doc_id"), F.col("b_digest").alias("digest"))
+    centre = streams.select("a", "a_digest", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.col("a").alias("doc_id"), F.col("a_digest").alias("digest"))
+    rows = centre.withColumn("side", F.lit(0)).unionByName(member.withColumn("side", F.lit(1))).join(held, ["doc_id", "digest"])
+    key = ["a", "a_digest", "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for x in batches:
+            a, b = [], []
+            for at, node, side, items in zip(x.column("a").to_pylist(), x.column("doc_id").to_pylist(), x.column("side").to_pylist(), x.column("items"), strict=True):
+                s = np.frombuffer(items.as_buffer(), np.uint64)
+                if not side:
+                    own = s.copy()
+                    continue
+                at_ = np.searchsorted(own, s)
+                both = int((own[np.minimum(at_, len(own) - 1)] == s).sum())
+                if 100 * both >= percent * (len(s) + len(own) - both):
+                    a.append(at)
+                    b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    t = rows.repartition(*key).sortWithinPartitions(*key, "side").select("a", "doc_id", "side", "items").mapInArrow(run, "a long, b long")
+    return written(t, folder, f"{name}-links", 16 * found)
 
 
 class Block:
@@ -182,21 +222,26 @@ class Block:
         return out
 
 
-def links_across(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, folder: str) -> DataFrame:
-    """Links between components within groups. members: id, c (component), g (group).
+def links_across(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, folder: str, n: int) -> DataFrame:
+    """Links between components within groups. members: id, c (component), g (group), n rows at most.
 
-    A group is cut into blocks of about BLOCK shingles by a hash of the id; each pair of blocks is one
-    unit of work, decided by counting, and gives a forest of links. So no pair is a row of a join,
-    and a unit's size is bounded whatever the group's.
+    A group's largest component and the others are cut into blocks of about BLOCK shingles by a hash of
+    the id. Two blocks, or one, are a unit of work, decided by counting, that gives a forest of links;
+    two blocks of the largest component are none. So no pair is a row of a join, a unit's size is
+    bounded whatever the group's, and a large component with few others costs as much as its rows.
     """
     t = members.join(reps.select(F.col("doc_id").alias("id"), "digest", "n_shingles", "signature"), "id")
-    size = t.groupBy("g").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
-    t = t.join(size, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    sets = full_sets(docs, members.select(F.col("id").alias("doc_id")).distinct(), k, folder, "across").dropDuplicates(["doc_id", "digest"])
+    parts = t.groupBy("g", "c").agg(F.sum("n_shingles").alias("s"))
+    size = parts.groupBy("g").agg(F.max(F.struct("s", "c")).alias("large"), F.sum("s").alias("s"))
+    blocks = lambda s: F.ceil(s / BLOCK).cast("int")
+    size = size.select("g", F.col("large.c").alias("large"), blocks(F.col("large.s")).alias("n_large"), blocks(F.col("s") - F.col("large.s")).alias("n_small"))
+    # blocks of the others are numbered first
+    small = F.col("c") != F.col("large")
+    t = t.join(size, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.when(small, F.col("n_small")).otherwise(F.col("n_large"))).cast("int") + F.when(small, 0).otherwise(F.col("n_small")))
+    sets = full_sets(docs, members.select(F.col("id").alias("doc_id")).distinct(), n, k)
     t = t.join(sets.select(F.col("doc_id").alias("id"), "digest", "items"), ["id", "digest"])
-    t = t.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("o"))
+    t = t.select("*", F.explode(F.when(small, F.sequence(F.lit(0), F.col("n_small") + F.col("n_large") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_small") - 1))).alias("o"))
     t = t.select("g", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), (F.col("b") <= F.col("o")).alias("first"), "id", "c", "signature", "items")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, block = None, None
 
@@ -218,42 +263,23 @@ def links_across(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, p
     return t.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, folder: str, name: str) -> DataFrame:
-    """Pairs whose full sets reach the threshold. A row of pairs names a set by id and digest."""
-    pairs = written(pairs, folder, f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    held = full_sets(docs, wanted, k, folder, name)
-    held = held.dropDuplicates(["doc_id", "digest"])
-    side = lambda x: held.select(F.col("doc_id").alias(x), F.col("digest").alias(f"{x}_digest"), F.col("items").alias(f"{x}_items"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            good = []
-            for s, t in zip(x.column("a_items"), x.column("b_items"), strict=True):
-                s, t = (np.frombuffer(y.as_buffer(), np.uint64) for y in (s, t))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield x.filter(pa.array(good, pa.bool_())).select(["a", "b"])
-
-    return pairs.join(side("b"), ["b", "b_digest"]).join(side("a"), ["a", "a_digest"]).select("a", "b", "a_items", "b_items").mapInArrow(run, "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept."""
-    with batch_rows(docs.sparkSession, 1000):
+    with small_batches(docs.sparkSession):
         return _near_duplicates(docs, id, text, k, percent)
 
 
 def _near_duplicates(docs: DataFrame, id: str, text: str, k: int, percent: int) -> DataFrame:
     folder = shared_folder(docs.sparkSession, "minhash")
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    all_ = written(features(docs, k), folder, "features")
+    all_ = written(features(docs, k), folder, "features", plan_size(docs))
+    n = all_.count()
     known = all_.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = written(known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep").distinct(), folder, "members")
+    member = written(known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep").distinct(), folder, "members", 16 * n)
     reps = known.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    reps = written(reps, folder, "representatives")
-    rows = written(reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")).distinct(), folder, "buckets")
+    reps = written(reps, folder, "representatives", 600 * n)
+    rows = written(reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")).distinct(), folder, "buckets", 16 * BANDS * n)
 
     # several texts of one id
     several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
@@ -261,18 +287,17 @@ def _near_duplicates(docs: DataFrame, id: str, text: str, k: int, percent: int)
 
     leads = rows.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     stars = rows.join(leads, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = written(confirmed(agreeing(stars, reps, percent), docs, k, percent, folder, "stars").union(same), folder, "links")
-    found = written(connected_components(links, f"{folder}/first"), folder, "components")
+    links = confirmed(agreeing(stars, reps, percent), docs, k, percent, folder, "stars", BANDS * n).union(written(same, folder, "same", 16 * n))
+    found = written(connected_components(links, f"{folder}/first", rows=links.count()), folder, "components", 16 * n)
 
     placed = rows.join(leads.where("n > 2").select("key"), "key").join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    placed = written(placed, folder, "placed")
-    several_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    left = written(placed.join(several_, "key").select("id", "c", "low").distinct(), folder, "left")
-    if not left.isEmpty():
-        near = connected_components(left.select(F.col("c").alias("a"), F.col("low").alias("b")), f"{folder}/groups")
-        members = written(left.select("id", "c").distinct().join(near, F.col("c") == F.col("node")).select("id", "c", F.col("component").alias("g")), folder, "group-members")
-        more = written(links_across(members, reps, docs, k, percent, folder), folder, "more")
-        found = written(connected_components(links.union(more), f"{folder}/second"), folder, "all-components")
+    placed = written(placed, folder, "placed", 24 * BANDS * n)
+    several_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.xxhash64("id")).alias("g")).where("low < high")
+    left = written(placed.join(several_, "key").select("id", "c", "g").distinct(), folder, "left", 24 * placed.count())
+    if m := left.count():
+        more = written(links_across(left, reps, docs, k, percent, folder, m), folder, "more", 16 * m)
+        links = links.union(more)
+        found = written(connected_components(links, f"{folder}/second", rows=links.count()), folder, "all-components", 16 * n)
     whole = member.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(found, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = all_.select("doc_id", "n_shingles").join(whole, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
