@@ -5,13 +5,14 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +86,98 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def new_folder(uri: str) -> str:
+    """The folder, made if it isn't there."""
+    fs, path = file_system(uri)
+    fs.create_dir(path, recursive=True)
+    return uri
+
+
+@contextlib.contextmanager
+def attempt(folder: str, name: str):
+    """A stream to a file that appears, under its name, when all is written: a task that runs again replaces it. Nothing written, no file."""
+    fs, path = file_system(folder)
+    part = f"{path}/.{name}-{TaskContext.get().taskAttemptId()}"
+
+    class Out:
+        """Opens the file with the first bytes."""
+
+        stream = None
+
+        @classmethod
+        def write(cls, data) -> None:
+            if cls.stream is None:
+                cls.stream = fs.open_output_stream(part)
+            cls.stream.write(data)
+
+    try:
+        yield Out
+    except BaseException:
+        if Out.stream is not None:
+            Out.stream.close()
+            fs.delete_file(part)
+        raise
+    if Out.stream is not None:
+        Out.stream.close()
+        fs.move(part, f"{path}/{name}")
+
+
+class Home:
+    """A file of a task's rows, which later tasks read again: rows are known by home and place in it."""
+
+    def __init__(self, root: str):
+        task = TaskContext.get()
+        self.number, self.row, self.writer = task.partitionId(), 0, None
+        self.fs, self.path = file_system(root)
+        self.part = f"{self.path}/.{self.number:06d}-{task.taskAttemptId()}"
+
+    def write(self, batch: pa.RecordBatch) -> int:
+        """Returns the place of the batch's first row."""
+        if self.writer is None:
+            self.out = self.fs.open_output_stream(self.part)
+            self.writer = pa.ipc.new_stream(self.out, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3)))
+        self.writer.write_batch(batch)
+        row, self.row = self.row, self.row + batch.num_rows
+        return row
+
+    def __enter__(self) -> Home:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if self.writer is not None:
+            self.writer.close()
+            self.out.close()
+            if kind is None:
+                self.fs.move(self.part, f"{self.path}/{self.number:06d}")
+            else:
+                self.fs.delete_file(self.part)
+
+
+def home_rows(root: str, batches: Iterator[pa.RecordBatch], work: Callable[[int, Iterator[pa.RecordBatch], pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """For sorted rows (home, ...), each home's rows together: work(home, the home file's batches, rows as a table)."""
+    held: list[pa.RecordBatch] = []
+    now = None
+
+    def out():
+        fs, path = file_system(root)
+        with fs.open_input_stream(f"{path}/{now:06d}") as f:
+            yield from work(now, pa.ipc.open_stream(f), pa.Table.from_batches(held))
+
+    for batch in batches:
+        homes = batch.column("home").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(homes)) + 1).tolist(), len(homes)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            if now is not None and homes[a] != now:
+                yield from out()
+                held = []
+            now = int(homes[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from out()
+
+
 def words_of(text: Column) -> Column:
     """Words of a text, as an array: runs of anything but space, tab, line breaks, vertical tab, form feed. Null text: none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

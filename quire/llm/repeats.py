@@ -33,17 +33,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import file_system, shared_folder, slices, written
+from .common import Home, home_rows, new_folder, shared_folder, slices, written
 from .hashing import ODD, Spans, mixed, text_buffer
 
 LENGTH, GRAM, GROUP = 200, 32, 8
 #: Texts are worked on in buffers of about so many bytes; longer texts in pieces that overlap.
-BUFFER, PIECE = 1 << 20, 8 << 20
+BUFFER, PIECE = 1 << 20, 1 << 20
 _LOW = np.uint64(24)
 
 
@@ -66,7 +65,7 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tupl
         return none
     spans = Spans(data)
     at = np.arange(len(data) - gram + 1)
-    grams = spans.hashes(at, at + gram)
+    grams = spans.rolling(gram)
     owner = (sliding_least((grams >> _LOW << _LOW) | at.astype(np.uint64), length - gram + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
     change = np.zeros(len(data) + 1, np.int64)
     long = np.diff(bounds) >= length
@@ -119,31 +118,6 @@ def told(part, content, home, row, first, n, place, owner, whole, others=None) -
     return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(whole), others], ["part", "content", "home", "row", "first", "n", "place", "owner", "whole", "others"])
 
 
-def _home_rows(root: str, homes_batches: Iterator[pa.RecordBatch], work: Callable) -> Iterator[pa.RecordBatch]:
-    """For sorted rows (home, ...), each home's rows together: work(home file's batches, rows as a table)."""
-    held: list[pa.RecordBatch] = []
-    now = None
-
-    def out():
-        fs, path = file_system(root)
-        with fs.open_input_stream(f"{path}/{now:06d}") as f:
-            yield from work(now, pa.ipc.open_stream(f), pa.Table.from_batches(held))
-
-    for batch in homes_batches:
-        homes = batch.column("home").to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(homes)) + 1).tolist(), len(homes)]
-        for a, b in zip(edges, edges[1:], strict=False):
-            if a == b:
-                continue
-            if now is not None and homes[a] != now:
-                yield from out()
-                held = []
-            now = int(homes[a])
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield from out()
-
-
 def _neighbours(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
     """Batches of sorted rows and, for each leading part of the keys, whether the row before and the row after have it too."""
     held = None
@@ -182,30 +156,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "repeats")
-    root = f"{folder}/homes"
-    fs, path = file_system(root)
-    fs.create_dir(path, recursive=True)
+    root = new_folder(f"{folder}/homes")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        fs, path = file_system(root)
-        home, row, out, writer = task.partitionId(), 0, None, None
-        part = f"{path}/.{home:06d}-{task.taskAttemptId()}"
-        for batch in slices(batches, text, BUFFER):
-            if out is None:
-                out = fs.open_output_stream(part)
-                writer = pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3)))
-            writer.write_batch(batch)
-            data, bounds = text_buffer(batch.column(text))
-            raw = data.tobytes()
-            digests = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            n = len(digests)
-            yield pa.RecordBatch.from_arrays([pa.array([home] * n, pa.int32()), pa.array(np.arange(row, row + n)), pa.array(digests, pa.binary()), pa.array(np.diff(bounds))], ["home", "row", "digest", "n"])
-            row += n
-        if out:
-            writer.close()
-            out.close()
-            fs.move(part, f"{path}/{home:06d}")
+        with Home(root) as home:
+            for batch in slices(batches, text, BUFFER):
+                row = home.write(batch)
+                data, bounds = text_buffer(batch.column(text))
+                raw = data.tobytes()
+                digests = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                n = len(digests)
+                yield pa.RecordBatch.from_arrays([pa.array([home.number] * n, pa.int32()), pa.array(np.arange(row, row + n)), pa.array(digests, pa.binary()), pa.array(np.diff(bounds))], ["home", "row", "digest", "n"])
 
     rows = written(docs.mapInArrow(settle, "home int, row long, digest binary, n long"), folder, "rows")
     classes = rows.where(f"n >= {length}").groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("home", "row")).alias("one"))
@@ -292,9 +253,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
         return i, owner[i], spans.hashes(begin[i] + s, begin[i] + s + length).view(np.int64), s, np.ones(len(i), np.int64)
 
     schema = "part long, content long, home int, row long, first long, n long, place long, owner long, whole boolean, others binary"
-    one = judged(by_home(rows, "row").mapInArrow(lambda it: _home_rows(root, it, tell_segments), schema), ["part"], "segments")
-    two = judged(by_home(one.where("beside"), "row", "first").mapInArrow(lambda it: _home_rows(root, it, finer(groups)), schema), ["part"], "groups")
-    three = judged(by_home(two.where("beside"), "row", "first").mapInArrow(lambda it: _home_rows(root, it, finer(windows)), schema), ["part", "content"], "windows")
+    one = judged(by_home(rows, "row").mapInArrow(lambda it: home_rows(root, it, tell_segments), schema), ["part"], "segments")
+    two = judged(by_home(one.where("beside"), "row", "first").mapInArrow(lambda it: home_rows(root, it, finer(groups)), schema), ["part"], "groups")
+    three = judged(by_home(two.where("beside"), "row", "first").mapInArrow(lambda it: home_rows(root, it, finer(windows)), schema), ["part", "content"], "windows")
     marks = one.union(two).union(three).where("marked").select("home", "row", "first", "n", "others")
     marks = marks.union(rows.select("home", "row", F.lit(-1).cast("long"), F.col("copied").cast("long"), F.lit(None).cast("binary")))  # at least one row for each text
     schema = T.StructType([*docs.schema, T.StructField("__n_bytes", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__n_spans", T.LongType())])
@@ -339,7 +300,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), pa.array(np.diff(removed[bounds])), pa.array(np.diff(runs[bounds]))], [*names, "__n_bytes", "__n_removed", "__n_spans"])
             at += batch.num_rows
 
-    return by_home(marks, "row", "first").mapInArrow(lambda it: _home_rows(root, it, cut), schema)
+    return by_home(marks, "row", "first").mapInArrow(lambda it: home_rows(root, it, cut), schema)
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

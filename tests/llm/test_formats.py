@@ -91,16 +91,36 @@ def test_archive(spark):
         h = h or ""
         other = first[h] if h in first and first[h] != i else None
         want.append((i, len(h.encode()), hashlib.sha256(h.encode()).hexdigest(), "revisit" if other is not None else "response", other))
-    assert sorted(map(tuple, read_archive(directory, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=repr) == sorted(want, key=repr)
-    archive = Archive(folder, [(x.first, x.file, x.place, x.length) for x in directory.collect()])
-    assert len(archive.rows) > 10
+    assert sorted(map(tuple, read_archive(df, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=repr) == sorted(want, key=repr)
+    archive = Archive(folder, [tuple(x) for x in directory.collect()])
+    assert sum(len(archive._list(f)[0]) for f in archive.files) > 10
     for i, url, h in pages:
         found = archive.lookup(url or "")
         same = sorted(str(p[0]) for p in pages if url_key(p[1]) == url_key(url))
         assert sorted(head["X-Page-Id"] or "None" for head, _ in found) == same
         assert all(body.decode() in ("", h or "") or head["X-Page-Id"] != str(i) for head, body in found)
     assert archive.lookup("http://nowhere.example/") == []
-    assert read_archive(write_archive(df.limit(0), f"{folder}/none"), f"{folder}/none").collect() == []
+    one = archive._list(archive.files[0])[0][3]
+    assert [x["page"] for x in archive.captures(one, one)] == [one[1]]
+    write_archive(df.limit(0), f"{folder}/none")
+    assert read_archive(df.limit(0), f"{folder}/none").collect() == []
+
+
+def test_archive_reads_only_the_blocks_asked_for(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"http://h{i % 5}.net/p{i}", f"<p>{i}</p>" * 20) for i in range(400)], "page_id long, url string, html string").coalesce(1)
+    folder = shared_folder(spark, "test")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        archive = Archive(folder, [tuple(x) for x in write_archive(df, folder, block=10).collect()])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(archive.files) > 1
+    read = []
+    whole = archive.index.read
+    monkeypatch.setattr(archive.index, "read", lambda *x: read.append(x) or whole(*x))
+    assert [payload for _, payload in archive.lookup("http://h3.net/p123")] == [b"<p>123</p>" * 20]
+    assert 1 <= len(read) <= 2
+    assert [x.page_id for x in read_archive(df.where("page_id = 77"), folder).collect()] == [77]
 
 
 def test_media(spark):
