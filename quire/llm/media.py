@@ -1,21 +1,22 @@
 """Operator 10, media columns in content-defined chunks.
 
 A payload (8-bit samples) is cut where a rolling gear hash of the last 64 bytes has its top bits
-at 0, between LEAST and MOST bytes. Each chunk is compressed and appended to the pack of the task
-that meets it first; a task stores a chunk that it has met again once. Digests are then joined over
-all packs: for every digest one place counts, the first, and chunk lists refer to it alone. So
-payloads with shared content share stored chunks, whichever task wrote them, and no payload is
-shuffled; copies in other packs are left unread (compacting a pack means writing the places that count).
+at 0, between LEAST and MOST bytes. Each task compresses the chunks that it meets into a pack, one
+that it has met before once. Digests are then grouped over all packs: each is owned by the first
+place that holds it. A task for each pack copies the owned frames to the pack's final form and deletes
+the first one, so every chunk is stored once, whichever tasks met it, no payload is shuffled, and the
+folder holds little more than one copy at any time. Chunk lists are joined with the final places.
 
 Reading back takes each payload's ordered chunk list, reads places by range, checks each chunk's
 digest and joins the chunks. The stored form of a payload is the list in a header, then its samples:
 `QCDC`, number of chunks (4 bytes), bytes (8), for each chunk length (4) and SHA-256 (32), samples.
 
-Packs are written under an attempt's name and renamed, so a task that runs again replaces them.
+Packs are written under an attempt's name and renamed, so a task that runs again replaces them; one
+that finds a final pack leaves it, as its places follow from the list of owned frames.
 
 Null text counts as empty: a payload of padding. A null id keeps its row; rows are told apart by
-their place, so repeated ids and texts give a row each. An empty table gives no rows. Other columns
-are not read.
+their place, so repeated ids and texts give a row each. An empty table gives no rows. A very long text is
+held whole, its chunks are not. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, shared_folder, slices, written
+from .common import attempt, file_system, new_folder, remove, shared_folder, slices, written
 from .hashing import BYTE_HASH, text_buffer
 
 FRAME = 576
@@ -72,21 +74,19 @@ def padded(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 def store(docs: DataFrame, folder: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the payloads' chunks; returns the chunk lists: row, id, n_bytes, payload_bytes, ord, digest, size, pack, place, length."""
-    root = f"{folder}/packs"
-    fs, path = file_system(root)
-    fs.create_dir(path, recursive=True)
+    """Write the chunks that each task meets; returns the chunk lists: row, id, n_bytes, payload_bytes, ord, digest, size, pack, place, length."""
+    root = new_folder(f"{folder}/met")
     names = ["row", "id", "n_bytes", "payload_bytes", "ord", "digest", "size", "pack", "place", "length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        fs, path = file_system(root)
-        pack, packer = task.partitionId(), zstandard.ZstdCompressor(level=3, write_content_size=True)
-        part = f"{path}/.{pack:06d}-{task.taskAttemptId()}"
-        out, place, row, met = None, 0, pack << 40, {}
+        pack, packer = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3, write_content_size=True)
+        with attempt(root, f"{pack:06d}") as out:
+            yield from chunked(batches, pack, packer, out)
+
+    def chunked(batches: Iterator[pa.RecordBatch], pack: int, packer, out) -> Iterator[pa.RecordBatch]:
+        place, row, met = 0, pack << 40, {}
         limit = np.uint64(1 << (64 - BITS))
         for batch in slices(batches, "text", 1 << 20):
-            out = out or fs.open_output_stream(part)
             raw, bounds, sizes = padded(batch.column("text"))
             at = np.flatnonzero(gear(np.frombuffer(raw, np.uint8)) < limit)
             rows: list[tuple] = []
@@ -111,19 +111,59 @@ def store(docs: DataFrame, folder: str, id: str = "doc_id", text: str = "text")
                 [pa.array(r, pa.int64()), batch.column("id").take(pa.array(i)), pa.array(sizes[i]), pa.array(np.diff(bounds)[i]), pa.array(o, pa.int32()), pa.array(d, pa.binary()), pa.array(s, pa.int32()), pa.array([pack] * len(r), pa.int32()), pa.array(p, pa.int64()), pa.array(n, pa.int32())],
                 names,
             )
-        if out:
-            out.close()
-            fs.move(part, f"{path}/{pack:06d}")
 
     t = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     return written(t.mapInArrow(run, "row long, id long, n_bytes long, payload_bytes long, ord int, digest binary, size int, pack int, place long, length int"), folder, "chunks")
 
 
-def chunk_lists(chunks: DataFrame) -> DataFrame:
-    """A row for each payload with its chunks in order, each at the one place that counts for its digest."""
-    places = chunks.groupBy("digest").agg(F.min(F.struct("pack", "place", "length")).alias("at"))
+def keep_one(chunks: DataFrame, folder: str) -> DataFrame:
+    """Store each chunk once; returns digest, pack, place, length."""
+    met, packs = f"{folder}/met", new_folder(f"{folder}/packs")
+    last, n = chunks.agg(F.max("pack"), F.count("*")).first()
+    owned = chunks.groupBy("digest").agg(F.min(F.struct("pack", "place", "length")).alias("at")).select("at.pack", "at.place", "at.length", "digest")
+
+    def copy(pack: int, frames: list[tuple[int, int]]) -> None:
+        name = f"{pack:06d}"
+        fs, final = file_system(f"{packs}/{name}")
+        if fs.get_file_info(final).type != pafs.FileType.NotFound:
+            return
+        first = file_system(f"{met}/{name}")[1]
+        with attempt(packs, name) as out, fs.open_input_file(first) as pack_met:
+            for place, length in frames:
+                out.write(pack_met.read_at(length, place))
+        fs.delete_file(first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            at = batch.column("pack").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if held and b > a and held[0].column("pack")[0].as_py() != at[a]:
+                    yield compacted(held)
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield compacted(held)
+
+    def compacted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        lengths = t["length"].to_numpy()
+        copy(t["pack"][0].as_py(), list(zip(t["place"].to_pylist(), lengths.tolist(), strict=True)))
+        one = t.combine_chunks().to_batches()[0]
+        return pa.RecordBatch.from_arrays([one.column("digest"), one.column("pack"), pa.array(np.cumsum(lengths, dtype=np.int64) - lengths), one.column("length")], ["digest", "pack", "place", "length"])
+
+    by_pack = owned.repartitionByRange((last or 0) + 1, "pack").sortWithinPartitions("pack", "place")
+    places = written(by_pack.mapInArrow(run, "digest binary, pack int, place long, length int"), folder, "places", 64 * n)
+    remove(chunks.sparkSession, met)
+    return places
+
+
+def chunk_lists(chunks: DataFrame, places: DataFrame) -> DataFrame:
+    """A row for each payload with its chunks in order, each at the place of its digest."""
     t = chunks.select("row", "id", "n_bytes", "payload_bytes", "ord", "digest", "size").join(places, "digest")
-    return t.groupBy("row").agg(F.first("id").alias("id"), F.first("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("ord", "at.pack", "at.place", "at.length", "size", "digest"))).alias("chunks"))
+    return t.groupBy("row").agg(F.first("id").alias("id"), F.first("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("ord", "pack", "place", "length", "size", "digest"))).alias("chunks"))
 
 
 def features(payload: np.ndarray) -> str:
@@ -176,4 +216,5 @@ def read_back(lists: DataFrame, folder: str) -> DataFrame:
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as samples, read the stored bytes back."""
     folder = shared_folder(spark, "media")
-    return read_back(chunk_lists(store(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)), folder)
+    chunks = store(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
+    return read_back(chunk_lists(chunks, keep_one(chunks, folder)), folder)

@@ -2,19 +2,23 @@
 
 import hashlib
 import random
+import struct
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quire.llm.bpe import decode, encode, heap_encoder, library_encoder, tokenizer_path
 from quire.llm.chat import HISTORY, OVERHEAD, SPAN, chat_windows, format_turns, parse_turns, read_back, unescaped
-from quire.llm.common import shared_folder
+from quire.llm.common import file_system, shared_folder
 from quire.llm.licenses import SHINGLE, TEMPLATES, Scanner, bands_needed, scan_licenses, shingled, worded
-from quire.llm.media import chunk_lists, cuts, gear, store
+from quire.llm.media import chunk_lists, cuts, features, gear, keep_one, store
 from quire.llm.media import read_back as media_back
 from quire.llm.mixing import mix
 from quire.llm.token_files import TokenFile, read_documents, write_token_files
@@ -130,7 +134,8 @@ def test_media(spark):
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] + [(0, "", "c"), (None, "n", "c")], "doc_id long, text string, pack string").repartition(3)
     folder = shared_folder(spark, "test")
     chunks = store(df, folder)
-    got = media_back(chunk_lists(chunks), folder).collect()
+    places = keep_one(chunks, folder)
+    got = media_back(chunk_lists(chunks, places), folder).collect()
     for x in got:
         raw = ("n" if x.doc_id is None else texts[x.doc_id] or "").encode()
         full = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
@@ -140,7 +145,28 @@ def test_media(spark):
     assert by[5] == by[6] and by[0] == by[1]
     sizes = {x.digest: x.size for x in chunks.collect()}
     assert sum(sizes.values()) < 2 * 60000 + 60000  # the third body shares most chunks
-    assert media_back(chunk_lists(store(df.limit(0), f"{folder}/none")), f"{folder}/none").collect() == []
+    # the packs hold each chunk once, and nothing is left of the first ones
+    fs, path = file_system(folder)
+    stored = sum(f.size for f in fs.get_file_info(pafs.FileSelector(f"{path}/packs")))
+    assert stored == places.selectExpr("sum(length)").first()[0] and places.count() == places.select("digest").distinct().count() == len(sizes)
+    assert chunks.groupBy("digest").agg(F.count_distinct("pack").alias("n")).where("n > 1").count() > 0
+    assert fs.get_file_info(f"{path}/met").type == pafs.FileType.NotFound
+    for x in got:
+        parts = [c.size for c in sorted(chunks.where("id = 7").collect(), key=lambda c: c.ord)] if x.doc_id == 7 else None
+        raw = (texts[7]).encode() if parts else b""
+        if parts:
+            full = raw + b"\xff" * (-len(raw) % 576)
+            ends = [sum(parts[: i + 1]) for i in range(len(parts))]
+            head = b"QCDC" + struct.pack("<IQ", len(parts), len(full)) + b"".join(struct.pack("<I", n) + hashlib.sha256(full[e - n : e]).digest() for n, e in zip(parts, ends))
+            assert (x.media_bytes, x.media_sha256) == (len(head) + len(full), hashlib.sha256(head + full).hexdigest())
+            assert x.feature == features(np.frombuffer(full, np.uint8))
+    none = store(df.limit(0), f"{folder}/none")
+    assert media_back(chunk_lists(none, keep_one(none, f"{folder}/none")), f"{folder}/none").collect() == []
+
+
+def test_features_of_samples():
+    x = np.array([0, 255] * 288 + [128] * 576, np.uint8)
+    assert features(x) == "frames=2;mean=127750;square=24448250;cross=575;shares=250000,0,0,0,500000,0,0,250000"
 
 
 def test_gear_against_a_rolling_one():
