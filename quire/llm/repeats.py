@@ -169,9 +169,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
                 yield pa.RecordBatch.from_arrays([pa.array([home.number] * n, pa.int32()), pa.array(np.arange(row, row + n)), pa.array(digests, pa.binary()), pa.array(np.diff(bounds))], ["home", "row", "digest", "n"])
 
     rows = written(docs.mapInArrow(settle, "home int, row long, digest binary, n long"), folder, "rows")
+    last, texts, size = rows.agg(F.max("home"), F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     classes = rows.where(f"n >= {length}").groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("home", "row")).alias("one"))
     rows = rows.join(classes, "digest", "left").select("home", "row", "n", (F.col("copies") > 1).alias("copied"), (F.struct("home", "row") == F.col("one")).alias("goes_on"))
-    rows = written(rows.select("home", "row", F.coalesce("copied", F.lit(False)).alias("copied"), F.coalesce("goes_on", F.lit(False)).alias("goes_on")), folder, "status")
+    rows = rows.select("home", "row", F.coalesce("copied", F.lit(False)).alias("copied"), F.coalesce("goes_on", F.lit(False)).alias("goes_on"))
+    rows = written(rows, folder, "status", 32 * texts)
 
     def tell_segments(home: int, stored: Iterator[pa.RecordBatch], wanted: pa.Table) -> Iterator[pa.RecordBatch]:
         at = 0
@@ -200,7 +202,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
             others = [pairs[a + 1 : a + c].tobytes() if c > 1 else None for a, c in zip(h.tolist(), m.tolist(), strict=True)]
             yield told(owner[h], content[h], home, row[h], first[h], n[h], place[h], owner[h], np.zeros(len(h), bool), others)
 
-    homes = (rows.agg(F.max("home")).first()[0] or 0) + 1
+    homes = (last or 0) + 1
     # a task for each home: rows are few, but each stands for a text to read
     by_home = lambda df, *order: df.repartitionByRange(homes, "home").sortWithinPartitions("home", *order)
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +216,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
 
     def judged(df: DataFrame, keys: list[str], name: str) -> DataFrame:
         schema = "home int, row long, first long, n long, place long, owner long, others binary, whole boolean, marked boolean, beside boolean"
-        return written(df.repartition(*keys).sortWithinPartitions("part", "content", "home", "row", "first").mapInArrow(judge, schema), folder, name)
+        return written(df.repartition(*keys).sortWithinPartitions("part", "content", "home", "row", "first").mapInArrow(judge, schema), folder, name, size)
 
     def finer(tell: Callable) -> Callable:
         """For the wanted rows of a home, what `tell` says about their texts."""
