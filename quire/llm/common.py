@@ -99,29 +99,48 @@ def attempt(folder: str, name: str):
     fs, path = file_system(folder)
     part = f"{path}/.{name}-{TaskContext.get().taskAttemptId()}"
 
-    class Out:
-        """Opens the file with the first bytes."""
-
-        stream = None
-
-        @classmethod
-        def write(cls, data) -> None:
-            if cls.stream is None:
-                cls.stream = fs.open_output_stream(part)
-            cls.stream.write(data)
-
+    out = _Lazy(lambda: fs.open_output_stream(part))
     try:
-        yield Out
+        yield out
     except BaseException:
-        if Out.stream is not None:
-            Out.stream.close()
+        if out.stream is not None:
+            out.stream.close()
             fs.delete_file(part)
         raise
-    if Out.stream is not None:
-        Out.stream.close()
+    if out.stream is not None:
+        out.stream.close()
         fs.move(part, f"{path}/{name}")
 
 
+class _Lazy:
+    """A file for writing that is made with its first bytes."""
+
+    closed = False
+
+    def __init__(self, make: Callable):
+        self.make, self.stream = make, None
+
+    def write(self, data) -> int:
+        self.stream = self.stream or self.make()
+        return self.stream.write(data)
+
+    def flush(self) -> None:
+        if self.stream is not None:
+            self.stream.flush()
+
+    def close(self) -> None:
+        """The file is closed by who opened it."""
+
+    def writable(self) -> bool:
+        return True
+
+    def readable(self) -> bool:
+        return False
+
+    def seekable(self) -> bool:
+        return False
+
+
 class Home:
     """A file of a task's rows, which later tasks read again: rows are known by home and place in it."""
 

@@ -3,15 +3,16 @@
 Documents are dealt out by ranges of doc_id and sorted. Each task encodes its range, appends the
 end id to each document, and writes one stream file: batches of fixed-size lists `ids` (unsigned 16
 bits where the tokenizer's largest id and the end id allow it, else 32) and `mask` (false where the last sequence is padded).
-All batches but the last of a file have the same number of rows, so sequence i of a mapped file is
-a slice of its buffer, without a copy. A manifest has shard, place and length of each document;
+All batches but the last of a file have the same number of rows and bytes, so any sequence is found by
+arithmetic; in a mapped file it and its mask are slices of the file, without a copy. A manifest has shard, place and length of each document;
 the start over all shards is the sum of the shards before plus the place within.
 
 A shard is written to a file named after the attempt and then renamed, so a task that runs again
 replaces it by the same bytes.
 
 Null text counts as empty (the end id alone). Null doc_id comes first, repeated doc_ids go by
-text. An empty table gives no rows. Other columns are not read.
+text. A very long text is encoded whole and spread over as many batches as it needs. An empty table
+gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import library_encoder, tokenizer_path
-from .common import file_system, shared_folder, slices, written
+from .common import attempt, file_system, new_folder, shared_folder, slices, written
 
 SEQUENCE = 2048
 #: Sequences in a batch.
 ROWS = 64
+#: Bytes of the mark that ends an Arrow stream.
+END = 8
 
 
 def sequences(flat: np.ndarray, filled: int, length: int) -> pa.RecordBatch:
@@ -50,22 +53,18 @@ def id_kind(tokenizer: str, end_id: int) -> type:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, length: int = SEQUENCE, rows: int = ROWS, wide: bool = False) -> DataFrame:
     """Write the shards; returns the manifest: shard, doc_id, place, n_tokens, start. wide: 32 bits in any case."""
     kind = np.uint32 if wide else id_kind(tokenizer, end_id)
-    root = f"{folder}/shards"
-    fs, path = file_system(root)
-    fs.create_dir(path, recursive=True)
+    root = new_folder(f"{folder}/shards")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer)
-        task = TaskContext.get()
-        shard, fs, path = task.partitionId(), *file_system(root)
-        held, room, place = [], 0, 0
-        most = length * rows
-        part = f"{path}/.{shard:06d}-{task.taskAttemptId()}"
-        out = writer = None
+        shard = TaskContext.get().partitionId()
+        with attempt(root, f"{shard:06d}.arrow") as out:
+            yield from filled(batches, shard, encoder, out)
+
+    def filled(batches: Iterator[pa.RecordBatch], shard: int, encoder, out) -> Iterator[pa.RecordBatch]:
+        held, room, place, writer, most = [], 0, 0, None, length * rows
         for batch in slices(batches, "text", 1 << 20):
-            if out is None:
-                out = fs.open_output_stream(part)
-                writer = pa.ipc.new_stream(out, sequences(np.zeros(0, kind), 0, length).schema)
+            writer = writer or pa.ipc.new_stream(out, sequences(np.zeros(0, kind), 0, length).schema)
             flat, counts = encoder.encode(batch.column("text"))
             held.append(np.insert(flat, np.cumsum(counts), end_id).astype(kind))
             sizes = counts + 1
@@ -79,14 +78,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             places = place + np.cumsum([0, *sizes], dtype=np.int64)
             place = int(places[-1])
             yield pa.RecordBatch.from_arrays([pa.array([shard] * len(sizes), pa.int32()), batch.column("doc_id"), pa.array(places[:-1]), pa.array(sizes)], ["shard", "doc_id", "place", "n_tokens"])
-        if out is not None:
+        if writer is not None:
             if room:
                 flat = np.zeros(-(-room // length) * length, kind)
                 flat[:room] = np.concatenate(held)
                 writer.write_batch(sequences(flat, room, length))
             writer.close()
-            out.close()
-            fs.move(part, f"{path}/{shard:06d}.arrow")
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     manifest = written(ordered.mapInArrow(run, "shard int, doc_id long, place long, n_tokens long"), folder, "manifest")
@@ -97,53 +94,54 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
 
 class TokenFile:
-    """One shard, mapped if it lies in a local file system, else read batch by batch as needed."""
+    """Random access to one shard: mapped if it lies in a local file system, else read by ranges.
+
+    All batches of a stream but the last have the same size in bytes, so batch k begins k strides
+    after the first; what is handed out are views of the file's bytes.
+    """
 
     def __init__(self, uri: str):
         fs, path = file_system(uri)
-        self.local = fs.type_name == "local"
-        self.reader = pa.ipc.open_stream(pa.memory_map(path) if self.local else fs.open_input_stream(path))
-        self.length = self.reader.schema.field("ids").type.list_size
-        self.batches: list[np.ndarray] = []
-        self.masks: list[pa.Array] = []
-        self.first, self.per = 0, 0
-
-    def _reach(self, batch: int) -> bool:
-        while self.first + len(self.batches) <= batch:
-            try:
-                got = self.reader.read_next_batch()
-            except StopIteration:
-                return False
-            self.batches.append(got.column("ids").flatten().to_numpy())
-            self.masks.append(got.column("mask"))
-            self.per = self.per or len(self.batches[0])
-        return True
+        self.file = pa.memory_map(path) if fs.type_name == "local" else fs.open_input_file(path)
+        self.schema = pa.ipc.read_schema(pa.ipc.read_message(self.file))
+        self.length = self.schema.field("ids").type.list_size
+        self.first, self.at, self.held = self.file.tell(), -1, None
+        self.per = self._batch(0).num_rows
+        self.stride = self.file.tell() - self.first
+
+    def _batch(self, k: int) -> pa.RecordBatch:
+        """Batch k; the last one read is kept."""
+        if k != self.at:
+            place = self.first + k * self.stride if k else self.first
+            if place >= self.file.size() - END:
+                raise EOFError("the file ends before")
+            self.file.seek(place)
+            self.at, self.held = k, pa.ipc.read_record_batch(pa.ipc.read_message(self.file), self.schema)
+        return self.held
 
     def take(self, place: int, n: int) -> np.ndarray:
-        """Ids from `place` on. In a file that isn't mapped, places must not go back."""
-        self._reach(0)
-        out = []
+        """n ids from `place` on."""
+        out, most = [], self.per * self.length
         while n > 0:
-            k, a = divmod(place, self.per)
-            if not self._reach(k):
+            k, a = divmod(place, most)
+            got = self._batch(k).column("ids").flatten().to_numpy()[a : a + n]
+            if not len(got):
                 raise EOFError("the file ends before the document does")
-            if not self.local:
-                while self.first < k:
-                    self.batches.pop(0)
-                    self.masks.pop(0)
-                    self.first += 1
-            got = self.batches[k - self.first][a : a + n]
             out.append(got)
             place, n = place + len(got), n - len(got)
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint16)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence i, without a copy, and its mask."""
-        self._reach(0)
-        k, row = divmod(i, self.per // self.length)
-        if not self._reach(k):
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of sequence i, without a copy."""
+        k, row = divmod(i, self.per)
+        try:
+            batch = self._batch(k)
+        except EOFError:
+            raise IndexError(i) from None
+        if row >= batch.num_rows:
             raise IndexError(i)
-        return self.batches[k - self.first][row * self.length : (row + 1) * self.length], np.array(self.masks[k - self.first][row].as_py())
+        a, n = row * self.length, self.length
+        return batch.column("ids").flatten().to_numpy()[a : a + n], batch.column("mask").flatten().slice(a, n)
 
 
 def read_documents(manifest: DataFrame, folder: str) -> DataFrame:

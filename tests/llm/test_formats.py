@@ -14,9 +14,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quire.llm import hashing
 from quire.llm.bpe import decode, encode, heap_encoder, library_encoder, tokenizer_path
 from quire.llm.chat import HISTORY, OVERHEAD, SPAN, chat_windows, format_turns, parse_turns, read_back, unescaped
 from quire.llm.common import file_system, shared_folder
+from quire.llm.hashing import Spans
 from quire.llm.licenses import SHINGLE, TEMPLATES, Scanner, bands_needed, scan_licenses, shingled, worded
 from quire.llm.media import chunk_lists, cuts, features, gear, keep_one, store
 from quire.llm.media import read_back as media_back
@@ -202,7 +204,48 @@ def test_bpe(spark):
         heap_encoder(tokenizer_path())[0].decode(__import__("numpy").array([10**6]), __import__("numpy").array([1]))
 
 
-def test_token_files(spark):
+def test_ids_of_texts_that_weak_hashes_confuse():
+    """Thue-Morse words and their complements agree in polynomial hashes modulo powers of two."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    for n in (1024, 2048, 4096):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        texts = [word, word.translate(str.maketrans("ab", "ba")), word]
+        want = [x for t in texts for x in tok.encode(t, add_special_tokens=False).ids]
+        for e in (library_encoder(tokenizer_path()), heap_encoder(tokenizer_path())[1]):
+            assert e.encode(pa.array(texts))[0].tolist() == want
+    data = np.frombuffer(word.encode(), np.uint8)
+    starts = np.arange(0, 4096 - 200)
+    seen = {}
+    for a, h in zip(starts.tolist(), Spans(data).hashes(starts, starts + 200).tolist()):
+        assert seen.setdefault(h, word[a : a + 200]) == word[a : a + 200]
+
+
+def test_spans_of_long_buffers(monkeypatch):
+    r = np.random.default_rng(3)
+    data = r.integers(0, 256, 5000).astype(np.uint8)
+    starts = r.integers(0, 5000, 300)
+    ends = np.minimum(starts + r.integers(0, 3000, 300), 5000)
+    want, rolled = Spans(data).hashes(starts, ends), Spans(data).rolling(32)
+    plain = [sum((int(x) + 1) * pow(hashing._BASE, i, hashing._P) for i, x in enumerate(data[a:b])) % hashing._P for a, b in zip(starts[:20], ends[:20])]
+    assert want[:20].tolist() == hashing.mixed(np.array(plain, np.uint64) + (ends - starts)[:20].astype(np.uint64) * hashing.ODD).tolist()
+    monkeypatch.setattr(hashing, "MOST", 512)
+    assert Spans(data).hashes(starts, ends).tolist() == want.tolist() and Spans(data).rolling(32).tolist() == rolled.tolist()
+
+
+def test_very_long_texts():
+    from tokenizers import Tokenizer
+
+    tok, r = Tokenizer.from_file(tokenizer_path()), random.Random(12)
+    text = " ".join(r.choice(["alpha", "beta", "gamma-ray", "é", "\n\n", "x1"]) for _ in range(700_000))
+    assert len(text.encode()) > 2 * hashing.MOST // 2 and len(text) > 1 << 21
+    want = tok.encode(text, add_special_tokens=False).ids
+    flat, counts = heap_encoder(tokenizer_path())[1].encode(pa.array(["a", text, None, "b"]))
+    assert flat[counts[0] : counts[0] + counts[1]].tolist() == want
+
+
+def test_token_files(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
@@ -223,9 +266,21 @@ def test_token_files(spark):
     file = TokenFile(f"{folder}/shards/{shard:06d}.arrow")
     n = sum(x.n_tokens for x in m if x.shard == shard)
     ids, mask = file.sequence(n // 16)
-    assert len(ids) == 16 and mask.sum() == (n % 16 or 16) and file.sequence(0)[1].all()
+    assert len(ids) == 16 and mask.true_count == (n % 16 or 16) and file.sequence(0)[1].true_count == 16
     with pytest.raises(IndexError):
         file.sequence(n // 16 + 1)
+    with pytest.raises(IndexError):
+        file.sequence(n)
+    # in any order, and the same by ranges; ids and masks are views of the mapped file
+    remote = TokenFile.__new__(TokenFile)
+    monkeypatch.setattr("quire.llm.token_files.pa.memory_map", lambda path: pafs.LocalFileSystem().open_input_file(path))
+    remote.__init__(f"{folder}/shards/{shard:06d}.arrow")
+    for i in (n // 16 - 1, 0, 9, 3, 9):
+        ids, mask = file.sequence(i)
+        assert remote.sequence(i)[0].tolist() == ids.tolist() and remote.sequence(i)[1] == mask
+        begin = file.held.column("ids").flatten().buffers()[1].address
+        assert begin <= ids.ctypes.data < begin + file.held.column("ids").flatten().buffers()[1].size
+        assert mask.buffers()[1].address == file.held.column("mask").flatten().buffers()[1].address
     assert read_documents(write_token_files(df.limit(0), f"{folder}/none", tokenizer_path()), f"{folder}/none").collect() == []
 
 
