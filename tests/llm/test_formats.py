@@ -19,7 +19,7 @@ from quire.llm.bpe import decode, encode, heap_encoder, library_encoder, tokeniz
 from quire.llm.chat import HISTORY, OVERHEAD, SPAN, chat_windows, format_turns, parse_turns, read_back, unescaped
 from quire.llm.common import file_system, shared_folder
 from quire.llm.hashing import Spans
-from quire.llm.licenses import SHINGLE, TEMPLATES, Scanner, bands_needed, scan_licenses, shingled, worded
+from quire.llm.licenses import SHINGLE, TEMPLATES, Scanner, bands_needed, read_templates, scan_licenses, shingled, worded
 from quire.llm.media import chunk_lists, cuts, features, gear, keep_one, store
 from quire.llm.media import read_back as media_back
 from quire.llm.mixing import mix
@@ -327,6 +327,12 @@ def test_licenses(spark):
                 exact.add((i, n))
     assert exact <= {(x.doc_id, x.license) for x in got}
     assert {(i, n) for i, n in want.items()} <= {(x.doc_id, x.license) for x in got}
+    # nothing else: each row's window, two blocks of the template's size class, holds that much of it
+    texts = dict(docs)
+    for x in got:
+        flat = shingled(pa.array([texts[x.doc_id]]))[0].tolist()
+        window = set(flat[x.first_word : x.first_word + 4 * max(1, len(sets[x.license]))])
+        assert len(sets[x.license] & window) >= 0.8 * len(sets[x.license])
     assert not {500, 501, 502, 503} & {x.doc_id for x in got}
     assert all(x.containment >= 0.8 for x in got)
     assert scan_licenses(df.limit(0)).collect() == [] and scan_licenses(df, templates={}).collect() == []
@@ -354,6 +360,33 @@ def test_low_containment_is_exact():
         assert sorted(found) == [(k, "long") for k in range(150)] and {c for c, _ in found.values()} == {5 / 996}
 
 
+def test_many_templates_through_the_band_index():
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    templates = {f"t{k}": " ".join(r.choice(words) for _ in range(r.randrange(5, 200))) for k in range(300)}
+    templates |= {"twin": templates["t0"], "pair": templates["t1"].replace("w1", "v1")}
+    scanner = Scanner(templates)
+    assert all(len(i) == scanner.bands[size] for size, i in scanner.index.items())
+    texts = []
+    for k in r.sample(range(300), 60):
+        t = templates[f"t{k}"].split()
+        if len(t) > 60:
+            t[r.randrange(len(t))] = "other"
+        texts.append(" ".join([*r.choices(words, k=50), *t, *r.choices(words, k=50)]))
+    texts.append("a " + templates["t0"] + " b")
+    found = set(scanner.scan(*worded(pa.array(texts))))
+    sets = {n: set(shingled(pa.array([t]))[0].tolist()) for n, t in templates.items()}
+    want = {(d, n) for d, t in enumerate(texts) for s in [set(shingled(pa.array([t]))[0].tolist())] for n, m in sets.items() if len(s & m) >= 0.8 * len(m)}
+    assert found == want and {(60, "t0"), (60, "twin")} <= found
+
+
+def test_templates_from_a_folder(tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "One.txt").write_text("do as you like with this")
+    (tmp_path / "Two").write_text("ask first")
+    assert read_templates(str(tmp_path)) == {"Two": "ask first", "One": "do as you like with this"}
+
+
 def test_license_line_of_the_driver_table(spark):
     lines = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0 notice", "All rights reserved.": "Reserved rights", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0 notice", "Released under the MIT License.": "MIT notice", "Licensed under the Apache License, Version 2.0.": "Apache-2.0 notice"}
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
