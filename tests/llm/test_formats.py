@@ -330,6 +330,9 @@ def test_licenses(spark):
     # nothing else: each row's window, two blocks of the template's size class, holds that much of it
     texts = dict(docs)
     for x in got:
+        if len(TEMPLATES[x.license].split()) < SHINGLE:
+            assert TEMPLATES[x.license].lower().strip(".") in texts[x.doc_id].lower().replace(",", "")
+            continue
         flat = shingled(pa.array([texts[x.doc_id]]))[0].tolist()
         window = set(flat[x.first_word : x.first_word + 4 * max(1, len(sets[x.license]))])
         assert len(sets[x.license] & window) >= 0.8 * len(sets[x.license])
