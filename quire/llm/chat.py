@@ -1,6 +1,6 @@
 """Operator 1, chat formatting in budgeted windows with a loss mask.
 
-A turn weighs its bytes / 4 plus the template's overhead. Prefix sums of these weights along a
+A turn weighs the tokens of its formatted text. Prefix sums of these weights along a
 conversation choose the spans: a turn of more than half a span stands alone, the others go by the
 half-span in which they start, so no span of several turns exceeds its budget and every turn lies in one span.
 A window is: the conversation's first turn if it is a system turn, whatever it weighs, the turns
@@ -16,8 +16,10 @@ each backslash, `###` and `</turn>` (in roles also each colon), so parsing gives
 formatted.
 
 Null role or text counts as empty. A null conv_id is a conversation of its own, null turns come
-first, turns of one number go by role and text, repeated rows are repeated turns. An empty table
-gives no windows. Other columns are not read.
+first, turns of one number go by role and text, repeated rows are repeated turns. A system turn that
+isn't first is an ordinary turn. Turns that share a block of numbers (all null ones do) are put in order
+by one task, which spills. A very long turn is formatted whole. An empty table gives no windows. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -30,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .bpe import library_encoder, tokenizer_path
+from .common import plan_size, shared_folder, slices, written
 
-SPAN, HISTORY, OVERHEAD = 1024, 512, 8
+SPAN, HISTORY = 1024, 512
 BLOCK = 256
 TARGET = "assistant"
 
@@ -73,8 +76,8 @@ def parse_turns(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def placed(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    """key, conv_id, turn, role, text, n (weight) and start (weights before it in its conversation)."""
+def weighed(turns: DataFrame, tokenizer: str) -> DataFrame:
+    """key, conv_id, turn, role, text and n, the tokens of each formatted turn."""
     t = turns.select(
         F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("n")).alias("key"),
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -82,7 +85,20 @@ def placed(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    t = t.withColumn("n", F.ceil(F.octet_length("text") / 4) + OVERHEAD).withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 20):
+            formatted = [format_turns([(role, text, False)])[0] for role, text in zip(part.column("role").to_pylist(), part.column("text").to_pylist(), strict=True)]
+            _, counts = library_encoder(tokenizer).encode(pa.array(formatted, pa.string()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts)], [*part.schema.names, "n"])
+
+    return t.mapInArrow(run, "key string, conv_id long, turn long, role string, text string, n long")
+
+
+def placed(turns: DataFrame, tokenizer: str, folder: str, block: int = BLOCK) -> DataFrame:
+    """key, conv_id, turn, role, text, n (weight) and start (weights before it in its conversation)."""
+    t = written(weighed(turns, tokenizer), folder, "weighed", plan_size(turns))
+    t = t.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))))
     along = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = t.groupBy("key", "block").agg(F.sum("n").alias("s")).select("key", "block", F.coalesce(F.sum("s").over(along), F.lit(0)).alias("base"))
     within = Window.partitionBy("key", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,10 +106,10 @@ def placed(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     return t.select("key", "conv_id", "turn", "role", "text", "n", (F.col("base") + F.col("local")).alias("start"))
 
 
-def chat_windows(turns: DataFrame, span: int = SPAN, history: int = HISTORY) -> DataFrame:
+def chat_windows(turns: DataFrame, span: int = SPAN, history: int = HISTORY, tokenizer: str | None = None) -> DataFrame:
     """Windows: key, conv_id, start, n_repeated (turns), formatted, loss (code-point spans)."""
     half = span // 2
-    t = placed(turns)
+    t = placed(turns, tokenizer or tokenizer_path(), shared_folder(turns.sparkSession, "chat"))
     end = F.col("start") + F.col("n")
     own = 2 * F.floor(F.col("start") / half) + (F.col("n") > half).cast("long")
     is_system = (F.col("start") == 0) & (F.col("role") == "system")

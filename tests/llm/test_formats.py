@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import hashing
 from quire.llm.bpe import decode, encode, heap_encoder, library_encoder, tokenizer_path
-from quire.llm.chat import HISTORY, OVERHEAD, SPAN, chat_windows, format_turns, parse_turns, read_back, unescaped
+from quire.llm.chat import HISTORY, SPAN, chat_windows, format_turns, parse_turns, read_back, unescaped
 from quire.llm.common import file_system, shared_folder
 from quire.llm.hashing import Spans
 from quire.llm.licenses import SHINGLE, TEMPLATES, Scanner, bands_needed, read_templates, scan_licenses, shingled, worded
@@ -58,12 +58,15 @@ def test_chat(spark):
         rows += [(c, i, ["system", "user", "assistant"][0 if i == 0 and c % 2 else 1 + i % 2], r.choice(ODD) * r.randrange(400)) for i in range(r.randrange(1, 40))]
     rows += [(20, i // 3, "assistant", "same" * 30) for i in range(900)] + [(None, None, None, None), (None, 1, "assistant", "x"), (21, 0, "system", "s" * 9000), (21, 1, "user", "u" * 20000), (21, 2, "assistant", "t")]
     df = spark.createDataFrame([(*x, "k") for x in rows], "conv_id long, turn long, role string, text string, key string")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
     windows = chat_windows(df).cache()
     got = {x.conv_id: tuple(x)[1:5] for x in read_back(windows).collect()}
     assert got == chat_brute(rows)
     for w in windows.collect():
         turns = parse_turns(w.formatted)
-        weigh = lambda ts: sum(-(-len(t.encode()) // 4) + OVERHEAD for _, t in ts)
+        weigh = lambda ts: len(tok.encode(format_turns([(r, t, False) for r, t in ts])[0], add_special_tokens=False).ids)
         assert len(turns) == w.n_repeated + 1 or weigh(turns[w.n_repeated :]) <= SPAN
         history = turns[: w.n_repeated]
         assert weigh([h for h in history if h[0] != "system"]) <= HISTORY
