@@ -12,12 +12,14 @@ have changed since is stale and skipped. Decoding concatenates vocabulary string
 characters back to bytes.
 
 Null text counts as empty and gives no ids. Repeated rows, ties and empty tables need no special
-case: each row stands alone, and rows out are rows in. Other columns pass through untouched; an
-input column that has the name of an output column is replaced.
+case: each row stands alone, and rows out are rows in. A very long text is encoded whole, its pieces and
+ids as arrays. Other columns travel in one struct, whatever their names; an input column that has the
+name of an output column is replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import os
@@ -224,6 +226,7 @@ class HeapBpe:
         self.sizes = np.array([*map(len, self.strings)], np.int64)
         self.at = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(self.strings), np.uint8)
+        self.decimal = [*map(str, range(len(self.strings)))]
 
     def merged(self, token: str) -> list[int]:
         """Ids of one pre-token."""
@@ -305,41 +308,64 @@ def library_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(encode_pieces, specials)
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType, of: str, work: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """df with one more column, made from the column `of` slice by slice; one with that name already is replaced."""
-    kept = [c for c in df.columns if c != name]
+def _mapped(df: DataFrame, of: str, out: str, work: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """Struct `row` with the other columns of df, and the columns `out` (a schema) made from the column `of`, slice by slice."""
+    names = [f.name for f in T.StructType.fromDDL(out)]
     of_text = isinstance(df.schema[of].dataType, T.StringType)
+    kept = [F.col(f"`{c}`") for c in df.columns if c != of]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = slices(batches, "__in", 1 << 20) if of_text else (b.slice(i, 400) for b in batches for i in range(0, b.num_rows, 400))
+        parts = slices(batches, "of", 1 << 20) if of_text else (b.slice(i, 400) for b in batches for i in range(0, b.num_rows, 400))
         for part in parts:
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), work(part.column("__in"))], [*kept, name])
+            yield pa.RecordBatch.from_arrays([part.column("row"), *work(part.column("of"))], ["row", *names])
 
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(name, kind)])
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{of}`").alias("__in")).mapInArrow(run, schema)
+    t = df.select(F.struct(*kept).alias("row") if kept else F.struct(F.lit(0).alias("none")).alias("row"), F.col(f"`{of}`").alias("of"))
+    return t.mapInArrow(run, T.StructType([t.schema["row"], *T.StructType.fromDDL(out)]))
 
 
 def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with the ids of its texts, an array of int; null text gives an empty array."""
+    """df with the ids of its texts, an array of int, in place of the texts; null text gives an empty array."""
 
-    def work(texts: pa.Array) -> pa.Array:
+    def work(texts: pa.Array) -> list[pa.Array]:
         flat, counts = heap_encoder(tokenizer)[1].encode(texts)
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int32)))
+        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int32)))]
 
-    return _with_column(df, ids, T.ArrayType(T.IntegerType()), text, work)
+    t = _mapped(df, text, "made array<int>", work)
+    return t.select(*(F.col(f"row.`{c}`") for c in df.columns if c not in (text, ids)), F.col("made").alias(ids))
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """df with the texts of its ids; null ids give an empty text, unknown ids an error."""
+    """df with the texts of its ids in their place; null ids give an empty text, unknown ids an error."""
 
-    def work(column: pa.Array) -> pa.Array:
+    def work(column: pa.Array) -> list[pa.Array]:
         offsets = np.asarray(column.offsets)
         counts = np.where(np.asarray(column.is_valid()), np.diff(offsets), 0)
         flat = column.flatten().to_numpy(zero_copy_only=False)
-        return pa.array(heap_encoder(tokenizer)[0].decode(flat, counts), pa.string())
+        return [pa.array(heap_encoder(tokenizer)[0].decode(flat, counts), pa.string())]
 
-    return _with_column(df, text, T.StringType(), ids, work)
+    t = _mapped(df, ids, "made string", work)
+    return t.select(*(F.col(f"row.`{c}`") for c in df.columns if c not in (text, ids)), F.col("made").alias(text))
+
+
+def round_trip(df: DataFrame, tokenizer: str, text: str = "text", digest_only: bool = False) -> DataFrame:
+    """Struct `row` with the other columns of df, n_tokens, ids_sha256 and the decoded text, in one pass: ids stay in the task.
+
+    digest_only: the SHA-256 of the decoded text instead.
+    """
+
+    def work(texts: pa.Array) -> list[pa.Array]:
+        bpe, encoder = heap_encoder(tokenizer)
+        flat, counts = encoder.encode(texts)
+        decoded = bpe.decode(flat, counts)
+        ends = np.cumsum(counts).tolist()
+        joined = (",".join(map(bpe.decimal.__getitem__, flat[a:b].tolist())) for a, b in zip([0, *ends], ends, strict=False))
+        sums = [hashlib.sha256(x.encode()).hexdigest() for x in joined]
+        if digest_only:
+            decoded = [hashlib.sha256(x.encode()).hexdigest() for x in decoded]
+        return [pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(decoded, pa.string())]
+
+    return _mapped(df, text, "n_tokens long, ids_sha256 string, decoded string", work)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -352,10 +378,4 @@ def op3_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     """Encode and decode every text of documents; digests of ids and of decoded texts."""
     tokenizer = tokenizer or tokenizer_path()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs, tokenizer).drop("text"), tokenizer)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
-    )
+    return round_trip(docs, tokenizer, digest_only=True).select("row.doc_id", "n_tokens", "ids_sha256", F.col("decoded").alias("decoded_sha256"))

@@ -6,7 +6,7 @@ until none is above. That fixpoint has a closed form: with sources ordered by ca
 first ones take their caps and the rest share what is left.
 
 A document's expected copies are its source's target / words. Documents of a source stand in order
-of size class, hash bucket, size and doc_id; the prefix sum of expected copies plus one offset for
+of size class, hash bucket, size, doc_id and a hash of the row; the prefix sum of expected copies plus one offset for
 the source (from a hash of its name and the seed) crosses whole numbers, and a document is
 emitted once for each one that its own step crosses. The order by size keeps the words taken close
 to the target.
@@ -16,7 +16,7 @@ summed along the source, and within each small group documents are numbered. So
 third of the rows is spread over some thousand groups.
 
 Null text or size counts as 0 words; such documents may be taken, at 0 words. A null source is a
-source of its own. Null and repeated doc_ids are ordered like others. If no document has a word,
+source of its own. Null and repeated doc_ids are ordered like others, rows equal in all columns are alike. If no document has a word,
 targets are 0 and nothing is taken. An empty table gives no rows. Other columns travel in one
 struct, whatever their names.
 """
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, size: str, id: str = "doc_id", source: str = "source",
     known = targets(groups.groupBy("key").agg(F.sum("words").alias("source_size")), weights, cap)
     before = before.join(known, "key")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key")).cast("binary")), 1, 5), 16, 10).cast("double") / 1048576
-    within = Window.partitionBy("key", "class", "bucket").orderBy("size", F.col("id").asc_nulls_first())
+    within = Window.partitionBy("key", "class", "bucket").orderBy("size", F.col("id").asc_nulls_first(), F.xxhash64("row"))
     t = t.withColumn("n", F.row_number().over(within)).join(before, ["key", "class", "bucket"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = F.col("before") + F.col("n")

@@ -11,7 +11,8 @@ those with the lowest hashes; only their ids are broadcast. The counts, BUCKETS
 thing that goes to the driver.
 
 Null text counts as empty: no words, base_failed, not kept. A null doc_id keeps its row. Repeated
-rows are counted as often as they stand there and judged alike. Without trusted documents every
+rows are counted as often as they stand there and judged alike. A score at the threshold is kept. A very
+long text is judged whole: its words' hashes are one array in a task. Without trusted documents every
 score is 0. An empty table gives no rows. Other columns pass through `score_documents` untouched,
 whatever their names: they travel in one struct.
 """

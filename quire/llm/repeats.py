@@ -22,7 +22,7 @@ Sorting streams through tasks with a row's neighbours in hand, so no group is ev
 carry hashes and places, never texts. Equality rests on two 64-bit hashes together.
 
 Null text counts as empty. Null and repeated ids are fine: rows are told apart by their place. Rows
-out are rows in, with all columns; an empty table gives no rows.
+out are rows in; other columns travel in one struct, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -149,20 +149,22 @@ def _neighbours(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, digest_only: bool = False) -> DataFrame:
-    """docs with the repeated bytes cut out of `text`, and __n_bytes, __n_removed, __n_spans.
+    """Struct `row` with the other columns of docs, `text` with the repeated bytes cut out, n_bytes, n_removed, n_spans.
 
     A cut within a UTF-8 character drops the rest of that character. digest_only: `text` becomes the
     SHA-256 of the remaining bytes instead.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "repeats")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("none")]
+    docs = docs.select(F.struct(*others).alias("row"), F.col(f"`{text}`").alias("text"))
     root = new_folder(f"{folder}/homes")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Home(root) as home:
-            for batch in slices(batches, text, BUFFER):
+            for batch in slices(batches, "text", BUFFER):
                 row = home.write(batch)
-                data, bounds = text_buffer(batch.column(text))
+                data, bounds = text_buffer(batch.column("text"))
                 raw = data.tobytes()
                 digests = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 n = len(digests)
@@ -182,7 +184,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
         found: list[tuple[np.ndarray, ...]] = []
         for batch in stored:
             own = np.flatnonzero(goes[at : at + batch.num_rows])
-            data, bounds = text_buffer(batch.column(text).take(pa.array(own)))
+            data, bounds = text_buffer(batch.column("text").take(pa.array(own)))
             for part, edges, offset in in_pieces(data, bounds, length):
                 doc, first, n, place, owner, content = segments(part, edges, length)
                 if len(doc):
@@ -228,7 +230,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
                 a, b = np.searchsorted(row, [at, at + batch.num_rows])
                 if b > a:
                     own, which = np.unique(row[a:b] - at, return_inverse=True)
-                    data, bounds = text_buffer(batch.column(text).take(pa.array(own)))
+                    data, bounds = text_buffer(batch.column("text").take(pa.array(own)))
                     first, n, place, owner, whole = (x[a:b] for x in rest)
                     i, part, content, first, n = tell(Spans(data), bounds[which], bounds[which + 1], first, n, place, owner, mixed(np.uint64(home << 40) + row[a:b].astype(np.uint64)))
                     yield told(part, content, home, row[a:b][i], first, n, place[i], owner[i], whole[i])
@@ -260,8 +262,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
     three = judged(by_home(two.where("beside"), "row", "first").mapInArrow(lambda it: home_rows(root, it, finer(windows)), schema), ["part", "content"], "windows")
     marks = one.union(two).union(three).where("marked").select("home", "row", "first", "n", "others")
     marks = marks.union(rows.select("home", "row", F.lit(-1).cast("long"), F.col("copied").cast("long"), F.lit(None).cast("binary")))  # at least one row for each text
-    schema = T.StructType([*docs.schema, T.StructField("__n_bytes", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__n_spans", T.LongType())])
-    names, column = docs.columns, docs.columns.index(text)
+    schema = T.StructType([*docs.schema, *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans"))])
 
     def cut(home: int, stored: Iterator[pa.RecordBatch], wanted: pa.Table) -> Iterator[pa.RecordBatch]:
         at = 0
@@ -280,7 +281,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
         real = first >= 0
         row, first, n = row[real], first[real], n[real]
         for batch in stored:
-            data, bounds = text_buffer(batch.column(text))
+            data, bounds = text_buffer(batch.column("text"))
             change = np.zeros(len(data) + 1, np.int32)
             a, b = np.searchsorted(row, [at, at + batch.num_rows])
             begin = bounds[row[a:b] - at] + first[a:b]
@@ -298,8 +299,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
             kept, left = data[~out].tobytes(), bounds - removed[bounds]
             parts = [kept[x:y] for x, y in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]
             texts = [hashlib.sha256(p).hexdigest() for p in parts] if digest_only else [p.decode("utf-8", "ignore") for p in parts]
-            columns = [batch.column(i) if i != column else pa.array(texts, pa.string()) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), pa.array(np.diff(removed[bounds])), pa.array(np.diff(runs[bounds]))], [*names, "__n_bytes", "__n_removed", "__n_spans"])
+            counts = [pa.array(np.diff(x)) for x in (bounds, removed[bounds], runs[bounds])]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), *counts], ["row", "text", "n_bytes", "n_removed", "n_spans"])
             at += batch.num_rows
 
     return by_home(marks, "row", "first").mapInArrow(lambda it: home_rows(root, it, cut), schema)
@@ -309,4 +310,4 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated strings of 200 bytes in all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     t = remove_repeats(docs, digest_only=True)
-    return t.select("doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"), F.col("__n_spans").alias("n_spans"), F.col("text").alias("kept_sha256"))
+    return t.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.col("text").alias("kept_sha256"))

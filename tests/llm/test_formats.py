@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.llm import hashing
-from quire.llm.bpe import decode, encode, heap_encoder, library_encoder, tokenizer_path
+from quire.llm.bpe import decode, encode, heap_encoder, library_encoder, round_trip, tokenizer_path
 from quire.llm.chat import HISTORY, SPAN, chat_windows, format_turns, parse_turns, read_back, unescaped
 from quire.llm.common import file_system, shared_folder
 from quire.llm.hashing import Spans
@@ -195,11 +195,18 @@ def test_bpe(spark):
     r = random.Random(9)
     alphabet = [*ODD, "word", "It's", ", ", ". ", "  ", "\t", " ", "\x85", " ", "　", "1", "'ll", "!!", "x"]
     texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(30))) for _ in range(400)] + [None, "q" * 5000]
-    df = spark.createDataFrame([(i, t, "i") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
-    got = decode(encode(df, tokenizer_path()).withColumnRenamed("text", "was"), tokenizer_path()).collect()
+    df = spark.createDataFrame([(i, t, "i", "r", 7, 8) for i, t in enumerate(texts)], "doc_id long, text string, ids string, row string, of int, __in int")
     want = [e.ids for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    assert [x.ids for x in sorted(got)] == want
-    assert [x.text for x in sorted(got)] == [tok.decode(i, skip_special_tokens=False) for i in want]
+    ids = encode(df, tokenizer_path())
+    assert ids.columns == ["doc_id", "row", "of", "__in", "ids"] and [x.ids for x in sorted(ids.collect())] == want
+    back = sorted(decode(ids, tokenizer_path()).collect())
+    assert [x.text for x in back] == [tok.decode(i, skip_special_tokens=False) for i in want] and {(x.row, x.of, x["__in"]) for x in back} == {("r", 7, 8)}
+    for only in (False, True):
+        whole = sorted(round_trip(df, tokenizer_path(), digest_only=only).collect(), key=lambda x: x.row.doc_id)
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        assert [x.decoded for x in whole] == [sha(x.text) if only else x.text for x in back]
+        assert [(x.n_tokens, x.ids_sha256) for x in whole] == [(len(i), sha(",".join(map(str, i)))) for i in want]
+    assert round_trip(df.select("text").limit(0), tokenizer_path()).collect() == []
     for e in (library_encoder(tokenizer_path()), heap_encoder(tokenizer_path())[1]):
         flat, counts = e.encode(pa.array(texts))
         assert flat.tolist() == [x for w in want for x in w] and counts.tolist() == [*map(len, want)]

@@ -26,7 +26,7 @@ def brute(texts, length=200):
 
 def run(spark, docs, length=200, parts=3):
     df = spark.createDataFrame([(i, t, "e") for i, t in docs], "doc_id long, text string, home string").repartition(parts)
-    got = remove_repeats(df, length=length, digest_only=True).select("doc_id", "home", "__n_bytes", "__n_removed", "__n_spans", "text").collect()
+    got = remove_repeats(df, length=length, digest_only=True).select("row.doc_id", "row.home", "n_bytes", "n_removed", "n_spans", "text").collect()
     assert all(r.home == "e" for r in got)
     return sorted([(r[0], *r[2:]) for r in got], key=repr)
 
@@ -57,15 +57,15 @@ def test_text_and_pieces(spark, monkeypatch):
     windows = sorted(int(f) + k + j for part, b, k in parts for f, n in zip(*whole(part, b)[1:3]) for j in range(int(n)))
     assert windows == list(range(len(data) - 199))
     df = spark.createDataFrame([(1, "é" * 150, 1), (2, "x" + "é" * 150, 2)], "doc_id long, text string, n_chars int")
-    got = remove_repeats(df).orderBy("doc_id").collect()
-    assert [x.text for x in got] == ["", "x"] and [x.n_chars for x in got] == [1, 2]
+    got = remove_repeats(df).orderBy("row.doc_id").collect()
+    assert [x.text for x in got] == ["", "x"] and [x.row.n_chars for x in got] == [1, 2]
     assert remove_repeats(df.limit(0)).collect() == []
 
 
 def test_driver_table(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     docs = [tuple(x) for x in d.collect()]
-    got = remove_repeats(d, digest_only=True).select("doc_id", "__n_bytes", "__n_removed", "__n_spans", "text")
+    got = remove_repeats(d, digest_only=True).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "text")
     assert sorted(map(tuple, got.collect())) == sorted((i, *b) for (i, _), b in zip(docs, brute([t for _, t in docs])))
 
 
