@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import decode, encode, tokenizer_path
-from quire.llm.common import shared_folder, written
+from quire.llm.bpe import round_trip, tokenizer_path
+from quire.llm.common import plan_size, shared_folder, written
 from quire.llm.minhash import near_duplicates
 from quire.llm.mixing import mix, text_size
 from quire.llm.quality import keep_documents, trusted_ids
@@ -27,29 +27,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, that with the smallest id (null ids last), whatever ids its rows have."""
     # a row's place is its id below: written, since it must not change between jobs
-    placed = written(docs.withColumn("__place", F.monotonically_increasing_id()), shared_folder(spark, "near-duplicates"), "placed")
-    groups = near_duplicates(placed, "__place").select(F.col("doc_id").alias("__place"), "component_id")
-    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("__place").alias("place"))
-    stay = groups.join(placed.select("__place", "doc_id"), "__place").groupBy("component_id").agg(F.min(row).alias("row")).select(F.col("row.place").alias("__place"))
-    return placed.join(stay, "__place", "left_semi").select(*docs.columns)
+    placed = docs.select(F.struct(*_all(docs)).alias("row"), F.monotonically_increasing_id().alias("place"))
+    placed = written(placed, shared_folder(spark, "near-duplicates"), "placed", plan_size(docs))
+    groups = near_duplicates(placed.select("place", "row.text"), "place").select(F.col("doc_id").alias("place"), "component_id")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "place")
+    ids = placed.select("place", "row.doc_id")
+    stay = groups.join(ids, "place").groupBy("component_id").agg(F.min(first).alias("first")).select("first.place")
+    return placed.join(stay, "place", "left_semi").select("row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 200 bytes that repeat; n_chars counts what is left."""
     left = remove_repeats(docs)
-    return left.select(*(F.col(c) if c != "n_chars" else F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+    changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    new = {"text": F.col("text"), "n_chars": changed}
+    return left.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes."""
-    mixed = mix(docs.withColumn("__words", text_size("text")), "__words")
-    return mixed.where("copies > 0").select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("__copy")).select(*docs.columns)
+    mixed = mix(docs.select(F.struct(*_all(docs)).alias("all"), "doc_id", "source", text_size("text").alias("words")), "words")
+    return mixed.where("copies > 0").select(F.col("row.all").alias("all"), F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("all.*")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and the text that they decode to."""
-    ids = encode(docs.select("doc_id", "source", "text"), tokenizer_path()).drop("text")
-    return decode(ids, tokenizer_path()).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), "text")
+    return round_trip(docs.select("doc_id", "source", "text"), tokenizer_path()).select("row.doc_id", "row.source", "n_tokens", "ids_sha256", F.col("decoded").alias("text"))
+
+
+def _all(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicate), ("repeats", repeats), ("mixing", mixing), ("bpe", bpe)]
