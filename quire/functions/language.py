@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 #: Cyrillic letters in Latin.
 CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e e zh z i i k l m n o p r s t u f kh ts ch sh shch _ y _ e iu ia".split(), strict=True))
-_LETTERS = {k: "" if v == "_" else v for k, v in CYRILLIC.items()} | dict(zip("äöüßàáâãåçèéêëìíîïñòóôõùúûýø", "a o u ss a a a a a c e e e e i i i i n o o o o u u u y o".split(), strict=True))
+LETTERS = {k: "" if v == "_" else v for k, v in CYRILLIC.items()} | dict(zip("äöüßàáâãåçèéêëìíîïñòóôõùúûýø", "a o u ss a a a a a c e e e e i i i i n o o o o u u u y o".split(), strict=True))
 
 
 def transliterate_word(word: str) -> str:
     """ASCII letters and digits of a word, with the word's capitals; a word of which nothing is left stays."""
-    slug = re.sub("[^a-z0-9]+", "-", "".join(_LETTERS.get(c, c) for c in word.lower())).strip("-")
+    slug = re.sub("[^a-z0-9]+", "-", "".join(LETTERS.get(c, c) for c in word.lower())).strip("-")
     if not slug:
         return word
     letters = [c for c in word if c.isalpha()]

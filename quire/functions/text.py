@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .language import LETTERS
+
 #: Unicode white space, for Java's regular expressions (whose \s is ASCII only).
 WS = r"[\t-\r \x85\xA0  -     　]"
 NOT_WS = "[^" + WS[1:]
@@ -54,11 +56,11 @@ def dashes(text: Column, symbols: str, to: str) -> Column:
 def dialogue(text: Column, symbols: str, to: str) -> Column:
     """White space before a symbol, or none, becomes `to`; other runs keep their last character.
 
-    The first character of a text is never such a symbol; a white space at the end goes.
+    The first character of a text is never such a symbol; a text of one white space becomes empty.
     """
     single = F.regexp_replace(text, f"{WS}(?={WS})", "")
     marked = F.regexp_replace(single, f"(?<!^){WS}?(?<!^)({_set(symbols)})|^{WS}({_set(symbols)})", f"{_literal(to)}$1$2")
-    return F.regexp_replace(marked, f"{WS}$", "")
+    return F.when(text.rlike(f"\\A{WS}\\z"), "").otherwise(marked)
 
 
 def escape_markdown(text: Column) -> Column:
@@ -71,6 +73,11 @@ def escape_url(url: Column) -> Column:
     return F.replace(F.replace(F.replace(url, F.lit(" "), F.lit("%20")), F.lit("("), F.lit("%28")), F.lit(")"), F.lit("%29"))
 
 
+def escape_link_text(text: Column) -> Column:
+    """Text of a Markdown link that is rendered already."""
+    return F.replace(text, F.lit("|"), F.lit("\\|"))
+
+
 def escape_cell(text: Column) -> Column:
     """Text in a Markdown table cell."""
     return F.replace(F.replace(text, F.lit("\n"), F.lit("<br>")), F.lit("|"), F.lit("\\|"))
@@ -163,3 +170,180 @@ def html_text(html: Column) -> Column:
     for e, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(e), F.lit(c))
     return F.trim(F.regexp_replace(t, "[ \t\r\n]+", " "))
+
+
+def ascii_letters(text: Column) -> Column:
+    """Lower-case letters with their transliteration, the rest as it is."""
+    one = {k: v for k, v in LETTERS.items() if len(v) == 1}
+    out = F.translate(text, "".join([*one, *(k for k, v in LETTERS.items() if not v)]), "".join(one.values()))
+    for k, v in LETTERS.items():
+        if len(v) > 1:
+            out = F.replace(out, F.lit(k), F.lit(v))
+    return out
+
+
+def slug(text: Column) -> Column:
+    """Lower case, transliterated, anything but letters, digits, hyphens and underscores as hyphens, none at the ends or in a row."""
+    s = ascii_letters(F.lower(F.trim(text)))
+    s = F.regexp_replace(F.replace(F.replace(s, F.lit("&"), F.lit("and")), F.lit("@"), F.lit("at")), "['\u2019\"]", "")
+    s = F.regexp_replace(F.regexp_replace(s, "[^a-z0-9_-]", "-"), "-+", "-")
+    return F.regexp_replace(s, "^[-_]+|[-_]+$", "")
+
+
+def quoted(text: Column) -> Column:
+    """A double-quoted scalar: backslashes, quotes and control characters escaped."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for c, e in (("\n", "n"), ("\t", "t"), ("\r", "r"), ("\x0b", "v"), ("\x0c", "f"), ("\x08", "b"), ("\x07", "a")):
+        out = F.replace(out, F.lit(c), F.lit("\\" + e))
+    for n in (*range(7), *range(14, 32), 127):
+        out = F.replace(out, F.lit(chr(n)), F.lit(f"\\x{n:02x}"))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
+def series_text(series: Column) -> Column:
+    """`name #number` of an array of struct(name, number), with commas; blank names are left out."""
+    named = F.filter(series, lambda x: F.trim(F.coalesce(x["name"], F.lit(""))) != "")
+    return F.array_join(F.transform(named, lambda x: F.concat(F.trim(x["name"]), F.when(x["number"].isNotNull(), F.concat(F.lit(" #"), x["number"].cast("string"))).otherwise(""))), ", ")
+
+
+def joined_title(pieces: Column) -> Column:
+    """Pieces of a title, with ". " between, or a space after one that ends in a period."""
+    used = F.filter(pieces, lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
+    step = lambda out, x: F.when(out == "", x).otherwise(F.concat(out, F.when(F.endswith(out, F.lit(".")), F.lit(" ")).otherwise(". "), x))
+    return F.aggregate(used, F.lit("").cast("string"), step)
+
+
+def toc_title(pieces: Column, alts: Column, fallback: Column) -> Column:
+    """The pieces of a title, else the alternative texts of its pictures, else the fallback."""
+    none = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(none(joined_title(pieces)), none(F.trim(F.array_join(F.filter(alts, lambda x: F.coalesce(x, F.lit("")) != ""), " "))), fallback)
+
+
+def title_or_none(text: Column) -> Column:
+    return F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit("[No Title]"))
+
+
+def id_title(id: Column) -> Column:
+    """What stands for the title of something that has only an id."""
+    return F.concat(F.lit("~ "), id, F.lit(" ~"))
+
+
+def resource_filename(url: Column) -> Column:
+    """The last part of a path without a leading #, ".." and slash; empty if there is none."""
+    s = F.regexp_replace(F.replace(F.regexp_replace(url, "^#", ""), F.lit("..")), "^/", "")
+    base = F.regexp_extract(F.regexp_replace(s, "/+$", ""), "([^/]*)$", 1)
+    return F.when(F.trim(s).isin("", "."), "").when(base == "", F.when(s.rlike("^/+$"), "/").otherwise("")).otherwise(base)
+
+
+#: MIME types of fonts and pictures, and their endings.
+FONT_ENDINGS = {"font/woff": ".woff", "font/woff2": ".woff2", "font/ttf": ".ttf", "application/x-font-ttf": ".ttf", "application/font-sfnt": ".ttf", "font/otf": ".otf", "application/x-font-otf": ".otf", "application/font-woff": ".woff", "application/font-woff2": ".woff2", "image/svg+xml": ".svg", "application/vnd.ms-fontobject": ".eot"}
+ENDING_TYPES = {".woff": "font/woff", ".woff2": "font/woff2", ".ttf": "font/ttf", ".otf": "font/otf", ".eot": "application/vnd.ms-fontobject", ".svg": "image/svg+xml"}
+IMAGE_ENDINGS = {"image/jpeg": "jpg", "image/png": "png", "image/gif": "gif", "image/svg+xml": "svg", "image/webp": "webp", "image/bmp": "bmp", "image/tiff": "tiff"}
+
+
+def _looked_up(key: Column, table: dict[str, str], default: str = "") -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key), F.lit(default))
+
+
+def resource_ending(mime: Column) -> Column:
+    """The file ending of a style sheet's resource; empty if its type isn't known."""
+    return _looked_up(mime, FONT_ENDINGS)
+
+
+def ending_type(ending: Column) -> Column:
+    """The MIME type of a file ending, whatever its case."""
+    return _looked_up(F.lower(ending), ENDING_TYPES)
+
+
+def image_ending(mime: Column) -> Column:
+    """The ending of a picture's file, by its type."""
+    return _looked_up(F.lower(mime), IMAGE_ENDINGS, "img")
+
+
+def is_image_type(mime: Column) -> Column:
+    return F.startswith(mime, F.lit("image/"))
+
+
+def is_font_type(mime: Column) -> Column:
+    return F.startswith(mime, F.lit("font/")) | F.startswith(mime, F.lit("application/font-")) | F.startswith(mime, F.lit("application/x-font-")) | (mime == "application/vnd.ms-fontobject")
+
+
+#: The alphabet of hashed names.
+NAME_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def hashed_name(text: Column, length: int) -> Column:
+    """`length` letters and digits from the bytes of the text's SHA-256, used again from the first after the last; null for an empty text."""
+    h = F.sha2(text, 256)
+    letter = lambda i: F.substring(F.lit(NAME_ALPHABET), F.conv(F.substring(h, 2 * (i % 32) + 1, 2), 16, 10).cast("int") % len(NAME_ALPHABET) + 1, 1)
+    return F.when(text != "", F.concat(*(letter(i) for i in range(length))))
+
+
+_URL = r"""url\s*\(\s*(?:["']([^"']*)["']|([^)"]*))\s*\)"""
+
+
+def css_urls(value: Column) -> Column:
+    """Trimmed addresses of url() in a style value, in order, each once."""
+    both = F.arrays_zip(F.regexp_extract_all(value, F.lit(_URL), 1).alias("a"), F.regexp_extract_all(value, F.lit(_URL), 2).alias("b"))
+    found = F.transform(both, lambda x: F.trim(F.when(x.a != "", x.a).otherwise(x.b)))
+    return F.array_distinct(F.filter(found, lambda x: x != ""))
+
+
+def rewritten_urls(value: Column, change) -> Column:
+    """A style value with every url() replaced by what `change` (Column to Column) makes of its address, in double quotes."""
+    begins = F.regexp_extract_all(value, F.lit(f"(?s)(.*?){_URL}"), 1)
+    quoted_, plain = (F.regexp_extract_all(value, F.lit(_URL), i) for i in (1, 2))
+    rest = F.regexp_replace(value, f"(?s)^.*{_URL}", "")
+    made = F.zip_with(begins, F.zip_with(quoted_, plain, lambda a, b: F.trim(F.when(a != "", a).otherwise(b))), lambda x, u: F.concat(x, F.lit('url("'), F.replace(F.replace(change(u), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('")')))
+    return F.when(F.size(begins) == 0, value).otherwise(F.concat(F.array_join(made, ""), rest))
+
+
+def clean_file_name(name: Column) -> Column:
+    """A name without separators and NUL, and without periods at its start; a fixed name if nothing is left."""
+    out = F.regexp_replace(F.regexp_replace(name, r"[\x00/:]", ""), r"^[.]+", "")
+    return F.when(out == "", "_bad_file_name_").otherwise(out)
+
+
+def output_path(folder: Column, name: Column, ending: str, slugs: bool = False) -> Column:
+    """folder/name.ending; slashes in the name make folders, and each part is cleaned."""
+    parts = F.filter(F.split(name, "/"), lambda x: x != "")
+    clean = (lambda x: clean_file_name(slug(x))) if slugs else clean_file_name
+    path = F.array_join(F.transform(parts, clean), "/")
+    return F.when(F.size(parts) == 0, folder).otherwise(F.concat(F.when(folder != "", F.concat(folder, F.lit("/"))).otherwise(""), path, F.lit(ending)))
+
+
+def default_file_name(source: Column, ending: str, slugs: bool = False) -> Column:
+    """The source's name with another ending."""
+    base = F.regexp_replace(F.regexp_extract(source, "([^/]*)$", 1), r"[.][^.]*$", "")
+    return F.concat(clean_file_name(slug(base) if slugs else base), F.lit(ending))
+
+
+def image_label(href: Column, filename: Column) -> Column:
+    """The file of a picture, else the id that refers to it."""
+    id = F.regexp_replace(F.trim(href), "^#", "")
+    return F.when(id == "", "").otherwise(F.coalesce(F.nullif(F.trim(filename), F.lit("")), id))
+
+
+def _once(values: Column) -> Column:
+    """Values in order, each once whatever its case."""
+    keys = F.transform(values, F.lower)
+    return F.filter(values, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+
+
+def keywords(text: Column) -> Column:
+    """Trimmed parts between commas and semicolons, each once whatever its case; blank ones are left out."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "[,;]"), lambda x: F.regexp_replace(x, f"^{WS}+|{WS}+$", ""))
+    return _once(F.filter(parts, lambda x: x != ""))
+
+
+def subjects(genres: Column, words: Column) -> Column:
+    """Genres, then keywords: array of struct(value, kind), each value once whatever its case."""
+    trimmed = F.filter(F.transform(F.coalesce(genres, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    all_ = F.concat(trimmed, keywords(words))
+    n = F.size(_once(trimmed))
+    return F.transform(_once(all_), lambda x, i: F.struct(x.alias("value"), F.when(i < n, "genre").otherwise("keyword").alias("kind")))
+
+
+def is_upper(text: Column) -> Column:
+    """Whether a text has letters, and all are capitals."""
+    return text.rlike(r"\p{L}") & ~text.rlike(r"[\p{L}&&[^\p{Lu}]]")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import WS
+
 #: Fixed values of the style model.
 FONT_COMPRESSION = 160.0
 SIGNIFICANT = 6
@@ -16,12 +18,12 @@ COLORS = {"black": "000000", "white": "ffffff", "red": "ff0000", "green": "00800
 
 def metadata_date(text: Column) -> Column:
     """YYYY, YYYY-MM, YYYY-MM-DD or DD.MM.YYYY as an ISO date of that precision, null else."""
-    s = F.trim(text)
-    iso = F.when(s.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(s, "yyyy-MM-dd").isNotNull(), s)
-    dotted = F.when(s.rlike("^[0-9]{2}[.][0-9]{2}[.][0-9]{4}$"), F.date_format(F.try_to_date(s, "dd.MM.yyyy"), "yyyy-MM-dd"))
+    s = F.regexp_replace(text, f"\\A{WS}+|{WS}+\\z", "")
+    iso = F.when(s.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}\\z") & F.try_to_date(s, "yyyy-MM-dd").isNotNull(), s)
+    dotted = F.when(s.rlike("^[0-9]{2}[.][0-9]{2}[.][0-9]{4}\\z"), F.date_format(F.try_to_date(s, "dd.MM.yyyy"), "yyyy-MM-dd"))
     return (
-        F.when(s.rlike("^[0-9]{4}$"), s)
-        .when(s.rlike("^[0-9]{4}-(0[1-9]|1[0-2])$"), s)
+        F.when(s.rlike("^[0-9]{4}\\z"), s)
+        .when(s.rlike("^[0-9]{4}-(0[1-9]|1[0-2])\\z"), s)
         .when(F.length(s) == 10, F.coalesce(iso, dotted))
     )
 
@@ -97,3 +99,131 @@ def overlay(a: Column, b: Column) -> Column:
 def signature(m: Column) -> Column:
     """A map as a string that is equal for equal maps."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
+
+
+def date_text(machine: Column, display: Column) -> Column:
+    """The date as a form would show it: the machine's, else the display text; empty without both."""
+    return F.coalesce(F.date_format(machine, "yyyy-MM-dd"), F.trim(display), F.lit(""))
+
+
+#: CSS units and the style model's.
+MODEL_UNITS = {"em": "em", "ex": "em", "%": "percent", "px": "px", "pt": "pt", "cm": "cm", "mm": "mm", "in": "in", "rem": "rem", "lh": "lh", "": "lh"}
+
+
+def model_unit(unit: Column) -> Column:
+    """The style model's unit of a CSS unit, null for an unknown one."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in MODEL_UNITS.items() for x in kv)), unit)
+
+
+def page_points(width: Column, height: Column, dpi: Column) -> Column:
+    """struct(width, height, error): a screen of pixels in points."""
+    error = None
+    for name, c in (("width", width), ("height", height), ("dpi", dpi)):
+        message = F.concat(F.lit(f"invalid {name}: "), c.cast("string"))
+        error = F.when(c <= 0, message) if error is None else error.when(c <= 0, message)
+    size = lambda c: F.when(error.isNull(), c * 72.0 / dpi)
+    return F.struct(size(width).alias("width"), size(height).alias("height"), error.alias("error"))
+
+
+def jpeg_density(dpi: Column, default: int = 300) -> Column:
+    """Density in a picture's header: 15 bits, the default for none."""
+    return F.when(dpi <= 0, default).otherwise(F.least(dpi, F.lit(32767))).cast("int")
+
+
+#: A style value: a measure (value and unit), a plain number (value), a word, or a list of words.
+STYLE_VALUE = "struct<value:double,unit:string,word:string,list:array<string>>"
+
+
+def measure(value: Column, unit: Column) -> Column:
+    return F.struct(value.cast("double").alias("value"), unit.alias("unit"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<string>").alias("list"))
+
+
+def word(text: Column) -> Column:
+    return F.struct(F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"), text.alias("word"), F.lit(None).cast("array<string>").alias("list"))
+
+
+def _present(old: Column, new: Column, merged: Column) -> Column:
+    return F.when(old.isNull(), new).when(new.isNull(), old).otherwise(merged)
+
+
+def merge_override(old: Column, new: Column) -> Column:
+    """The new value."""
+    return F.coalesce(new, old)
+
+
+def merge_cumulative(old: Column, new: Column) -> Column:
+    """Lists become one, each entry once; measures of one unit and plain numbers add up; else the new value."""
+    items = lambda v: F.coalesce(v["list"], F.array().cast("array<string>"))
+    lists = F.struct(F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("word"), F.array_union(items(old), items(new)).alias("list"))
+    numbers = old["value"].isNotNull() & new["value"].isNotNull() & old["unit"].eqNullSafe(new["unit"])
+    return _present(old, new, F.when((F.size(items(old)) > 0) | (F.size(items(new)) > 0), lists).when(numbers, measure(old["value"] + new["value"], new["unit"])).otherwise(new))
+
+
+def merge_relative(old: Column, new: Column) -> Column:
+    """A new measure in percent or em scales the old measure, whose unit stays; else the new value."""
+    both = old["value"].isNotNull() & new["value"].isNotNull() & old["unit"].isNotNull() & new["unit"].isNotNull()
+    scaled = F.when(new["unit"] == "percent", measure(old["value"] * new["value"] / 100, old["unit"])).when(new["unit"] == "em", measure(old["value"] * new["value"], old["unit"]))
+    return _present(old, new, F.when(both & new["unit"].isin("percent", "em"), scaled).otherwise(new))
+
+
+def merge_maximum(old: Column, new: Column) -> Column:
+    """Of two measures of one unit, or two plain numbers, the greater, the new one of equals; else the new value."""
+    comparable = old["value"].isNotNull() & new["value"].isNotNull() & old["unit"].eqNullSafe(new["unit"])
+    return _present(old, new, F.when(comparable & (old["value"] > new["value"]), old).otherwise(new))
+
+
+def merge_baseline(old: Column, new: Column) -> Column:
+    """The new value, unless it is normal and the old one isn't."""
+    return _present(old, new, F.when((new["word"] == "normal") & ~old["word"].eqNullSafe(F.lit("normal")), old).otherwise(new))
+
+
+def merge_horizontal(old: Column, new: Column) -> Column:
+    """Two different words become `both`."""
+    words = old["word"].isNotNull() & new["word"].isNotNull()
+    return _present(old, new, F.when(words & (old["word"] != new["word"]), word(F.lit("both"))).otherwise(new))
+
+
+def merge_repeat(old: Column, new: Column) -> Column:
+    """Of two background repeats the one that repeats more, the old one of equals."""
+    rank = lambda v: F.when(v["word"] == "repeat", 3).when(v["word"].isin("repeat_x", "repeat_y"), 2).when(v["word"] == "no_repeat", 1).when(v["word"].isNotNull(), 0).otherwise(-1)
+    return _present(old, new, F.when(rank(old) >= rank(new), old).otherwise(new))
+
+
+MERGES = {"override": merge_override, "cumulative": merge_cumulative, "relative": merge_relative, "override-maximum": merge_maximum, "baseline-style": merge_baseline, "horizontal-position": merge_horizontal, "background-repeat": merge_repeat}
+
+
+def merged_value(rule: Column, old: Column, new: Column) -> Column:
+    """What the named rule makes of two values; an unknown rule overrides."""
+    out = None
+    for name, merge in MERGES.items():
+        out = F.when(rule == name, merge(old, new)) if out is None else out.when(rule == name, merge(old, new))
+    return out.otherwise(merge_override(old, new))
+
+
+#: Words of a border's line.
+BORDER_LINES = ("solid", "dashed", "dotted", "double", "groove", "ridge", "inset", "outset", "none", "hidden")
+
+
+def border_parts(value: Column) -> Column:
+    """struct(line, color, width) of a border: of several parts of a kind the last one counts."""
+    parts = F.filter(F.split(F.lower(F.trim(value)), "[ \t\r\n]+"), lambda x: x != "")
+    last = lambda test: F.try_element_at(F.filter(parts, test), F.lit(-1))
+    is_line, is_color = (lambda x: x.isin(*BORDER_LINES)), (lambda x: color(x).isNotNull())
+    is_width = lambda x: ~is_line(x) & ~is_color(x) & x.rlike("^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)[a-z%]*$") & ~x.rlike("^[+-]?0*[.]?0*$")
+    return F.struct(last(is_line).alias("line"), last(is_color).alias("color"), last(is_width).alias("width"))
+
+
+def box_sides(value: Column) -> Column:
+    """struct(top, right, bottom, left) of a margin or padding of one to four parts."""
+    p = F.filter(F.split(F.trim(value), "[ \t\r\n]+"), lambda x: x != "")
+    at = lambda *order: F.coalesce(*(F.try_element_at(p, F.lit(i)) for i in order))
+    return F.struct(at(1).alias("top"), at(2, 1).alias("right"), at(3, 1).alias("bottom"), at(4, 2, 1).alias("left"))
+
+
+def auto_margins(sides: Column, align: Column) -> Column:
+    """struct(top, right, bottom, left, align): automatic margins above and below are none, at the sides they align the box unless something else does."""
+    left, right = sides["left"] == "auto", sides["right"] == "auto"
+    none = lambda c: F.when(c == "auto", "0em").otherwise(c)
+    gone = lambda c: F.when(c != "auto", c)
+    box = F.coalesce(align, F.when(left & right, "center").when(left, "right").when(right, "left"))
+    return F.struct(none(sides["top"]).alias("top"), gone(sides["right"]).alias("right"), none(sides["bottom"]).alias("bottom"), gone(sides["left"]).alias("left"), box.alias("align"))

@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import broken_link_text, link_class
-
-#: Rules are broadcast.
-MOST_RULES = 1000
-
+from ..functions.text import broken_link_text, image_ending, is_image_type, link_class
+from .sequences import as_of, prefix_sum
 
 def hrefs(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
     """One row for each link in order: keys, pos, href. A generator after the scan, without a shuffle."""
@@ -81,14 +78,121 @@ def backlinks(refs: DataFrame, target: str, order: list[str]) -> DataFrame:
 
 
 def first_match(rows: DataFrame, rules: DataFrame, fields: list[str], order: str) -> DataFrame:
-    """The first rule in order whose fields all equal a row's, "*" matching anything. rules: a table of MOST_RULES rows at most, else an error."""
-    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    r = rules.select(*(F.col(f).alias(f"__{f}") for f in fields), *(c for c in rules.columns if c not in fields))
-    hit = F.lit(True)
-    for f in fields:
-        hit = hit & ((F.col(f"__{f}") == "*") | (F.lower(f"__{f}") == F.lower(f)))
-    keys = [c for c in rows.columns]
+    """rows with the other columns of the first rule in order whose fields all equal theirs, whatever their case; "*" and "" match anything.
+
+    Rules go by the fields that they leave open. For each such pattern one rule is left of those that ask for the
+    same, so each is an equi-join that keeps every row as it is; the first of what a row found counts.
+    """
     rest = [c for c in rules.columns if c not in fields]
-    joined = rows.join(F.broadcast(r), hit, "left")
-    return joined.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__r")).select(*keys, "__r.*")
+    is_open = [F.coalesce(F.col(f), F.lit("")).isin("*", "") for f in fields]
+    r = rules.select(F.array(*is_open).alias("__open"), *(F.lower(f).alias(f"__r{i}") for i, f in enumerate(fields)), F.struct(F.col(order).alias("__order"), *(F.col(c).alias(c) for c in rest)).alias("__rule"))
+    t, found = rows, []
+    for k, (pattern,) in enumerate(r.select("__open").distinct().sort("__open").collect()):  # at most 2 ** fields
+        asked = [i for i, o in enumerate(pattern) if not o]
+        keys = [f"__r{i}" for i in asked]
+        one = r.where(F.col("__open") == F.array(*map(F.lit, pattern))).groupBy(*keys).agg(F.min_by("__rule", F.col("__rule.__order")).alias(f"__m{k}"))
+        on = F.lit(True)
+        for i in asked:
+            on = on & (F.lower(rows[fields[i]]) == one[f"__r{i}"])
+        t = t.join(one if asked else F.broadcast(one), on, "left").drop(*keys)  # without keys it is one row
+        found.append(F.col(f"__m{k}"))
+    best = F.array_min(F.filter(F.array(*found), lambda x: x.isNotNull())) if len(found) > 1 else found[0] if found else None
+    if best is None:
+        return rows.select("*", *(F.lit(None).cast(rules.schema[c].dataType).alias(c) for c in rest))
+    return t.withColumn("__best", best).select(*rows.columns, *(F.col(f"__best.{c}").alias(c) for c in rest))
+
+
+def missing_images(binaries: DataFrame, ids: DataFrame, broken: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Broken picture links (book_id, ...) pointed at a stand-in, column `href`, and one stand-in for each book that needs one.
+
+    Its id is not-found-N with the first N that no id of the book has. binaries and ids: book_id, and id or xml_id.
+    """
+    number = lambda c: F.regexp_extract(F.col(c), "^not-found-(0|[1-9][0-9]{0,8})$", 1)
+    taken = ids.select("book_id", number("xml_id").alias("n")).union(binaries.select("book_id", number("id").alias("n"))).where("n <> ''").groupBy("book_id").agg(F.collect_set(F.col("n").cast("int")).alias("taken"))
+    need = broken.select("book_id").distinct().join(taken, "book_id", "left")
+    all_ = F.coalesce("taken", F.array().cast("array<int>"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(all_)), all_))
+    need = need.select("book_id", F.concat(F.lit("not-found-"), free.cast("string")).alias("id"))
+    pointed = broken.drop("href").join(need.select("book_id", F.concat(F.lit("#"), "id").alias("href")), "book_id")
+    return pointed, need.withColumn("mime", F.lit("image/svg+xml"))
+
+
+def first_file(rows: DataFrame, by: list[str], id: str, file: str, order: list[str]) -> DataFrame:
+    """The file in which each id stands first: by, id, file."""
+    return rows.where(F.coalesce(F.trim(id), F.lit("")) != "").groupBy(*by, id).agg(F.min_by(F.col(file), F.struct(*order)).alias(file))
+
+
+def filed_links(links: DataFrame, files: DataFrame, by: list[str], file: str) -> DataFrame:
+    """Links (by, file, href): #id becomes file#id where the id stands in another file; unknown ids stay."""
+    t = files.select(*by, F.concat(F.lit("#"), F.col("xml_id")).alias("href"), F.col(file).alias("__to"))
+    return links.join(t, [*by, "href"], "left").withColumn("href", F.when(F.col("__to") != F.col(file), F.concat("__to", "href")).otherwise(F.col("href"))).select(*links.columns)
+
+
+def link_targets(links: DataFrame, by: list[str]) -> DataFrame:
+    """Ids that links refer to, each once."""
+    return links.where(F.startswith("href", F.lit("#")) & (F.length("href") > 1)).select(*by, F.substring("href", 2, 1 << 30).alias("xml_id")).distinct()
+
+
+def anchors(ids: DataFrame, targets: DataFrame, by: list[str], eid: str) -> DataFrame:
+    """Ids with an element that something refers to."""
+    return ids.where(F.col(eid) > 0).join(targets, [*by, "xml_id"], "left_semi")
+
+
+def position_index(items: DataFrame, by: list[str], eid: str, length: str, order: list[str]) -> DataFrame:
+    """Start and length of each element's first item: by, eid, pid, length. Items without length take one place."""
+    t = prefix_sum(items.withColumn("__n", F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(1)).cast("long")), "__n", by, order, "pid")
+    return t.groupBy(*by, eid).agg(F.min_by(F.struct("pid", F.col("__n").alias("length")), F.struct(*order)).alias("at")).select(*by, eid, "at.pid", "at.length")
+
+
+def positions_of(refs: DataFrame, index: DataFrame, by: list[str], eid: str, offset: str) -> DataFrame:
+    """Position of each reference (by, eid, offset) in the index, its offset kept within the element; unknown elements are left out."""
+    at = F.greatest(F.lit(0), F.least(F.coalesce(F.col(offset), F.lit(0)), F.col("__length") - 1))
+    return refs.join(index.select(*by, eid, F.col("pid").alias("__start"), F.col("length").alias("__length")), [*by, eid]).select(*refs.columns, (F.col("__start") + at).cast("long").alias("pid"))
+
+
+def located(refs: DataFrame, pages: DataFrame, by: list[str], every: int = 40) -> DataFrame:
+    """References (by, pid) with their location and the page that begins last at or before them. pages: by, pid, page."""
+    return as_of(refs, pages, by, "pid", "page").withColumn("location", (F.floor(F.col("pid") / every) + 1).cast("long")).withColumnRenamed("as_of", "page")
+
+
+def shown_backlinks(refs: DataFrame, anchor_pages: DataFrame, link_pages: DataFrame, by: list[str], ref: str) -> DataFrame:
+    """Backlinks but those on the page to which they lead. Both tables: by, ref, page; the first page of each counts."""
+    first = lambda t, name: t.groupBy(*by, ref).agg(F.min("page").alias(name))
+    t = refs.join(first(anchor_pages, "__there"), [*by, ref], "left").join(first(link_pages, "__here"), [*by, ref], "left")
+    same = (F.col("__there") == F.col("__here")) & (F.col("__there") > 0)
+    return t.where(~F.coalesce(same, F.lit(False))).select(*refs.columns)
+
+
+def first_with(rows: DataFrame, known: DataFrame, list_: str, key: str, value: str) -> DataFrame:
+    """rows with the value of the first entry of a list that `known` (key, value) has, null without one."""
+    t = rows.withColumn("__row", F.monotonically_increasing_id())
+    hit = t.select("__row", F.posexplode(list_).alias("__at", key)).join(known.select(key, value), key).groupBy("__row").agg(F.min_by(F.col(value), F.col("__at")).alias(value))
+    return t.join(hit, "__row", "left").drop("__row")
+
+
+def kept_or_all(rows: DataFrame, used: DataFrame, on: list[str]) -> DataFrame:
+    """Rows that are used; all of them if nothing was told about use."""
+    some = used.limit(1).select(F.lit(True).alias("__some"))
+    t = rows.join(used.select(*on).distinct().withColumn("__used", F.lit(True)), on, "left").join(F.broadcast(some), how="left")
+    return t.where(F.col("__used") | F.col("__some").isNull()).drop("__used", "__some")
+
+
+def usage(rows: DataFrame, name: str, fragment: str, kind: str) -> DataFrame:
+    """For each name: how often it is used directly and in events, and the fragments that do, in order, by kind."""
+    t = rows.groupBy(name, kind, fragment).agg(F.count("*").alias("n"))
+    side = lambda k: F.array_sort(F.collect_list(F.when(F.col(kind) == k, F.col(fragment))))
+    total = lambda k: F.coalesce(F.sum(F.when(F.col(kind) == k, F.col("n"))), F.lit(0)).cast("long")
+    return t.groupBy(name).agg(total("direct").alias("n_direct"), total("event").alias("n_event"), side("direct").alias("direct"), side("event").alias("events"))
+
+
+def unlisted(names: DataFrame, name: str, known: DataFrame) -> DataFrame:
+    """Distinct names that no table of known ones has."""
+    return names.select(name).distinct().join(known.select(name), name, "left_anti")
+
+
+def file_numbers(rows: DataFrame, by: list[str], id: str, mime: str, order: list[str]) -> DataFrame:
+    """Pictures, the first of each id, with a file name img00001.ending in order."""
+    t = rows.where(is_image_type(F.col(mime)))
+    t = t.withColumn("__n", F.row_number().over(Window.partitionBy(*by, id).orderBy(*order))).where("__n = 1").drop("__n")
+    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return t.withColumn("file", F.concat(F.lit("images/img"), F.lpad(n.cast("string"), 5, "0"), F.lit("."), image_ending(F.col(mime))))

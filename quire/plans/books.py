@@ -6,7 +6,7 @@ and returns DataFrames keyed by book_id, so one shuffle by book serves the windo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -60,14 +60,19 @@ def transformed(nodes: DataFrame, speech: tuple[str, str] = ("«", '"'), dashes:
 
 
 def dropcaps(nodes: DataFrame, ignore: str = "\"'«„—-") -> DataFrame:
-    """The first paragraph of each main section, if it precedes nested sections and begins with a letter or digit."""
-    kids = nodes.where("body_kind = 'main' AND kind IN ('p', 'section')").select("book_id", F.col("parent_seq").alias("section"), "seq", "kind")
+    """The first letter of each main section's first paragraph with plain text, unless that begins with white space or a symbol to ignore.
+
+    Plain text is the first that stands in the paragraph itself; paragraphs without any are passed over. A
+    section's own paragraphs before its first nested section count.
+    """
+    kids = nodes.where("body_kind = 'main' AND kind IN ('p', 'section')").select("book_id", F.col("parent_seq").alias("section"), F.col("seq").alias("kid"), "kind")
     kids = kids.join(nodes.where("kind = 'section'").select("book_id", F.col("seq").alias("section")), ["book_id", "section"], "left_semi")
-    first = sequences.best_row(kids, ["book_id", "section"], ["seq"]).where("kind = 'p'").select("book_id", "section", F.col("seq").alias("p"))
-    words = nodes.where("kind = 'text'").select("book_id", F.col("parent_seq").alias("p"), "seq", "text")
-    t = sequences.best_row(first.join(words, ["book_id", "p"]), ["book_id", "p"], ["seq"])
+    nested = kids.where("kind = 'section'").groupBy("book_id", "section").agg(F.min("kid").alias("nested"))
+    p = kids.where("kind = 'p'").join(nested, ["book_id", "section"], "left").where("nested IS NULL OR kid < nested").select("book_id", "section", F.col("kid").alias("p"))
+    words = nodes.where("kind = 'text' AND text <> ''").select("book_id", F.col("parent_seq").alias("p"), "seq", "text")
+    t = sequences.best_row(p.join(words, ["book_id", "p"]), ["book_id", "section"], ["p", "seq"])
     bad = F.col("text").rlike("^" + text.WS) | F.array_contains(F.array(*map(F.lit, ignore)), F.substring("text", 1, 1))
-    return t.where(~bad & (F.col("text") != "")).select("book_id", "section", F.col("p").alias("seq"), F.substring("text", 1, 1).alias("dropcap"))
+    return t.where(~bad).select("book_id", "section", F.col("p").alias("seq"), F.substring("text", 1, 1).alias("dropcap"))
 
 
 def contents(nodes: DataFrame, levels: int = 6, shape: str = "normal") -> DataFrame:
@@ -76,10 +81,63 @@ def contents(nodes: DataFrame, levels: int = 6, shape: str = "normal") -> DataFr
     titles = nodes.where("kind = 'title'").select("book_id", F.col("seq"), "last_seq", F.col("parent_seq"))
     words = trees.subtree_text(nodes.where("kind = 'text'").select("book_id", "seq", "text"), titles, ["book_id"]).withColumnRenamed("root", "seq")
     t = s.join(titles.join(words, ["book_id", "seq"]).select("book_id", F.col("parent_seq").alias("seq"), F.col("text").alias("title")), ["book_id", "seq"])
-    return trees.toc_parents(t.select("book_id", "seq", "level", "title"), "level", list(range(1, levels + 1)), ["book_id"], "seq", shape)
+    return trees.toc_parents(t.select("book_id", "seq", "level", "title"), "level", ["book_id"], "seq", shape)
 
 
 def positions(nodes: DataFrame) -> DataFrame:
     """Position of each text in reading order, with a sentinel for each book."""
     t = nodes.where("kind = 'text'").select("book_id", "seq", F.length("text").alias("n"))
     return sequences.position_map(t, "n", ["book_id"], ["seq"])
+
+
+def innermost(nodes: DataFrame, opens: Column, name: str) -> DataFrame:
+    """nodes with the seq of the nearest row around each for which `opens` holds."""
+    return trees.enclosing(nodes, ["book_id"], opens, name=name)
+
+
+def subtree_of(nodes: DataFrame, kinds: list[str], value: str = "text", separator: str = " ") -> DataFrame:
+    """Text (or another column, such as alt) in each element of some kinds: book_id, seq, text."""
+    t = nodes.where(F.col(value).isNotNull()).select("book_id", "seq", F.col(value).alias("text"))
+    return trees.subtree_text(t, nodes.where(F.col("kind").isin(kinds)).select("book_id", "seq", "last_seq"), ["book_id"], separator).withColumnRenamed("root", "seq")
+
+
+def titles(nodes: DataFrame) -> DataFrame:
+    """Titles of bodies and sections: book_id, seq (of the body or section), title, toc_title; null where there's nothing but pictures.
+
+    toc_title joins the title's paragraphs with ". ", else the alternative texts of its pictures.
+    """
+    t = nodes.where("kind = 'title'").select("book_id", F.col("seq").alias("title_seq"), F.col("parent_seq").alias("seq"))
+    p = subtree_of(nodes, ["p"], separator="").join(nodes.where("kind = 'p'").select("book_id", "seq", F.col("parent_seq").alias("title_seq")), ["book_id", "seq"])
+    p = p.join(t.select("book_id", "title_seq"), ["book_id", "title_seq"], "left_semi")
+    pieces = p.groupBy("book_id", "title_seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.trim(text.collapse_whitespace(F.col("text"))).alias("t")))), lambda x: x.t).alias("pieces"))
+    alts = subtree_of(nodes, ["title"], "alt").select("book_id", F.col("seq").alias("title_seq"), F.col("text").alias("alt"))
+    t = t.join(pieces, ["book_id", "title_seq"], "left").join(alts, ["book_id", "title_seq"], "left")
+    blank = F.coalesce("pieces", F.array().cast("array<string>"))
+    whole = F.nullif(F.array_join(F.filter(blank, lambda x: x != ""), " "), F.lit(""))
+    return t.select("book_id", "seq", whole.alias("title"), text.toc_title(blank, F.array("alt"), F.lit(None).cast("string")).alias("toc_title"))
+
+
+def section_content(nodes: DataFrame) -> DataFrame:
+    """Sections with whether they hold more than pictures and empty lines: a title, epigraph, annotation or anything of text."""
+    t = innermost(nodes, F.col("kind") == "section", "section").where("section IS NOT NULL AND kind IN ('title', 'epigraph', 'annotation', 'p', 'poem', 'cite', 'subtitle', 'table')")
+    direct = t.select("book_id", F.col("section").alias("seq")).distinct().withColumn("has", F.lit("x"))
+    s = nodes.where("kind = 'section'").select("book_id", "seq", "last_seq", "xml_id")
+    found = trees.subtree_text(direct.select("book_id", "seq", F.col("has").alias("text")), s, ["book_id"]).select("book_id", F.col("root").alias("seq"))
+    return s.join(found.withColumn("nontrivial", F.lit(True)), ["book_id", "seq"], "left").select("book_id", "seq", "xml_id", F.coalesce("nontrivial", F.lit(False)).alias("nontrivial"))
+
+
+#: Kinds that count as seen in a note.
+VISIBLE = ("p", "subtitle", "v", "text-author", "image", "table")
+
+
+def note_contents(nodes: DataFrame) -> DataFrame:
+    """Sections of note bodies with an id: how many paragraphs, pictures and tables they show, and whether the first of them is a picture or table.
+
+    What stands in a title or in a table isn't counted by itself.
+    """
+    t = innermost(nodes, F.col("kind").isin("title", "table"), "within")
+    t = innermost(t, (F.col("kind") == "section") & F.col("xml_id").isNotNull(), "note")
+    shown = t.where(F.col("kind").isin(*VISIBLE) & F.col("within").isNull() & F.col("note").isNotNull() & (F.col("body_kind") == "notes"))
+    counts = shown.groupBy("book_id", F.col("note").alias("seq")).agg(F.count("*").alias("n"), F.min_by(F.col("kind").isin("image", "table"), F.col("seq")).alias("block_first"))
+    notes_ = nodes.where("kind = 'section' AND body_kind = 'notes' AND xml_id IS NOT NULL").select("book_id", "seq", "xml_id")
+    return notes_.join(counts, ["book_id", "seq"], "left").select("book_id", "xml_id", F.coalesce("n", F.lit(0)).alias("n_visible"), F.coalesce("block_first", F.lit(False)).alias("block_first"))

@@ -190,19 +190,37 @@ def page_lookup_asof(spark, d):
     return sequences.as_of(buys, views, ["user_id"], "ts", "page").select("event_id", "as_of")
 
 
-LEVELS = "CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END"
+LEVELS = "CAST(CASE role WHEN 'system' THEN 0 WHEN 'user' THEN turn % 3 ELSE 1 + turn % 4 END AS INT)"
 
 
-@query(f"WITH t AS (SELECT conv_id, turn, {LEVELS} AS level FROM conversations) SELECT conv_id, turn, level, (SELECT max(b.turn) FROM t b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND b.level < a.level) AS parent FROM t a")
-def toc_shape(spark, d):
+def shape_sql(pops: str) -> str:
+    """Entries one by one past a stack; pops: when an entry of a higher level replaces the last one."""
+    return f"""WITH RECURSIVE e AS (SELECT conv_id, turn, {LEVELS} AS level, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+    t AS (SELECT conv_id, turn, level, k, NULL::BIGINT AS parent, [{{'l': level, 't': turn}}] AS stack FROM e WHERE k = 1
+    UNION ALL SELECT conv_id, turn, level, k, rest[-1].t, list_append(rest, {{'l': level, 't': turn}}) FROM (
+      SELECT e.*, CASE WHEN e.level > t.level AND NOT ({pops}) THEN t.stack WHEN e.level >= t.level THEN t.stack[:len(t.stack) - 1] ELSE list_filter(t.stack, lambda x: x.l < e.level) END AS rest
+      FROM t JOIN e ON e.conv_id = t.conv_id AND e.k = t.k + 1))
+    SELECT conv_id, turn, level, parent FROM t"""
+
+
+def _shaped(spark, d, shape: str) -> DataFrame:
     t = table(spark, d, "conversations").select("conv_id", "turn", F.expr(LEVELS).alias("level"))
-    return trees.toc_parents(t, "level", [1, 2, 3], ["conv_id"], "turn")
+    return trees.toc_parents(t, "level", ["conv_id"], "turn", shape)
+
+
+@query(shape_sql("e.level < 2"))
+def toc_shape(spark, d):
+    return _shaped(spark, d, "normal")
 
 
-@query(f"WITH t AS (SELECT conv_id, turn, {LEVELS} AS level FROM conversations) SELECT conv_id, turn, CASE WHEN level > 1 THEN (SELECT max(b.turn) FROM t b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND b.level = 1) END AS parent FROM t a")
+@query(shape_sql("e.level < 2 OR len(t.stack) > 1"))
 def toc_old_kindle(spark, d):
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.expr(LEVELS).alias("level"))
-    return trees.toc_parents(t, "level", [1, 2, 3], ["conv_id"], "turn", "old_kindle").select("conv_id", "turn", "parent")
+    return _shaped(spark, d, "old_kindle")
+
+
+@query(f"SELECT conv_id, turn, {LEVELS} AS level, NULL::BIGINT AS parent FROM conversations")
+def toc_flat(spark, d):
+    return _shaped(spark, d, "flat")
 
 
 @query(
@@ -215,13 +233,14 @@ def tree_path(spark, d):
     return trees.paths(t, "p_partkey", "parent", "p_brand")
 
 
-RULES = [(1, "Brand#11", "*", "a"), (2, "*", "PROMO", "b"), (3, "brand#23", "STANDARD", "c"), (4, "Brand#23", "*", "d"), (9, "*", "*", "z")]
+#: Over a thousand rules, of which the last ones matter; "*" and "" match anything.
+RULES = [(1, "Brand#11", "*", "a"), (2, "", "PROMO", "b"), *((100 + i, f"none{i}", "promo", f"n{i}") for i in range(1200)), (2003, "brand#23", "STANDARD", "c"), (2004, "Brand#23", "", "d"), (3000, "*", "*", "z")]
 
 
 @query(
     f"""WITH r(ord, p_brand, kind, rule) AS (VALUES {", ".join(map(str, RULES))}),
     p AS (SELECT p_partkey, p_brand, split_part(p_type, ' ', 1) AS kind FROM part),
-    m AS (SELECT p.*, r.ord, r.rule, row_number() OVER (PARTITION BY p_partkey ORDER BY r.ord) AS k FROM p JOIN r ON (r.p_brand = '*' OR lower(r.p_brand) = lower(p.p_brand)) AND (r.kind = '*' OR lower(r.kind) = lower(p.kind)))
+    m AS (SELECT p.*, r.ord, r.rule, row_number() OVER (PARTITION BY p_partkey ORDER BY r.ord) AS k FROM p JOIN r ON (r.p_brand IN ('*', '') OR lower(r.p_brand) = lower(p.p_brand)) AND (r.kind IN ('*', '') OR lower(r.kind) = lower(p.kind)))
     SELECT p_partkey, rule FROM m WHERE k = 1"""
 )
 def rule_first_match(spark, d):
@@ -237,13 +256,16 @@ def dedupe_spans(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT l_orderkey, l_linenumber, l_linenumber * 20 AS a, l_linenumber * 20 + l_quantity::BIGINT AS b FROM lineitem),
-    m AS (SELECT *, max(b) OVER (PARTITION BY l_orderkey ORDER BY a, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM s)
+    """WITH o AS (SELECT o_orderkey AS l_orderkey, (o_orderkey % 7 * 30)::BIGINT AS total FROM orders),
+    s AS (SELECT l_orderkey, l_linenumber * 20 AS a, l_linenumber * 20 + l_quantity::BIGINT AS b FROM lineitem),
+    e AS (SELECT l_orderkey, a, b, 0 AS last FROM s WHERE l_orderkey IN (SELECT l_orderkey FROM o WHERE total > 0) UNION ALL SELECT l_orderkey, total, total, 1 FROM o WHERE total > 0),
+    m AS (SELECT *, coalesce(max(b) OVER (PARTITION BY l_orderkey ORDER BY last, a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM e)
     SELECT l_orderkey, upto::BIGINT AS gap_start, a::BIGINT AS gap_end FROM m WHERE a > upto"""
 )
 def fill_gaps(spark, d):
-    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") * 20).cast("long").alias("a"), (F.col("l_linenumber") * 20 + F.col("l_quantity").cast("long")).alias("b"))
-    return sequences.gaps(t, "a", "b", ["l_orderkey"], ["l_linenumber"])
+    totals = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 7 * 30).alias("total"))
+    t = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 20).alias("a"), (F.col("l_linenumber") * 20 + F.col("l_quantity").cast("long")).alias("b"))
+    return sequences.gaps(t, totals, "a", "b", ["l_orderkey"], "total")
 
 
 @query(
@@ -292,14 +314,19 @@ def text_speech(spark, d):
     return digested(spark, d, lambda t: text.speech(t, "TIA", "~"))
 
 
+#: Texts of which some end in white space, or are nothing else.
+ENDED = "CASE doc_id % 4 WHEN 0 THEN text || '  ' WHEN 1 THEN text || ' ' WHEN 2 THEN CASE WHEN doc_id % 8 = 2 THEN ' ' ELSE '  ' END ELSE text END"
+
+
 @query(
-    TEXTS.format(
-        f"""CASE WHEN regexp_matches(text, '^{N}') THEN substr(text, 1, 1) || regexp_replace(regexp_replace(regexp_replace(substr(text, 2), '{W}*({W})', '\\1', 'g'), '{W}?([|,])', '~\\1', 'g'), '{W}$', '')
-        ELSE regexp_replace(regexp_replace(regexp_replace(text, '{W}*({W})', '\\1', 'g'), '{W}?([|,])', '~\\1', 'g'), '{W}$', '') END"""
-    )
+    f"""WITH d AS (SELECT doc_id, {ENDED} AS text FROM documents), s AS (SELECT doc_id, text, regexp_replace(text, '{W}*({W})', '\\1', 'g') AS one FROM d),
+    m AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '^{N}') THEN substr(one, 1, 1) || regexp_replace(substr(one, 2), '{W}?([|,])', '~\\1', 'g') ELSE regexp_replace(one, '{W}?([|,])', '~\\1', 'g') END AS t FROM s),
+    r AS (SELECT doc_id, CASE WHEN length(text) = 1 AND regexp_matches(text, '{W}') THEN '' ELSE t END AS t FROM m)
+    SELECT doc_id, length(t)::INT AS n, md5(t) AS digest FROM r"""
 )
 def text_dialogue(spark, d):
-    return digested(spark, d, lambda t: text.dialogue(t, "|,", "~"))
+    t = table(spark, d, "documents").select("doc_id", text.dialogue(F.expr(ENDED), "|,", "~").alias("t"))
+    return t.select("doc_id", F.length("t").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
 @query(TEXTS.format(f"regexp_replace(text, '{W}+', ' ', 'g')"))

@@ -10,6 +10,7 @@ Nodes carry pre-order numbers: a subtree is `seq BETWEEN x.seq AND x.last_seq`.
 from __future__ import annotations
 
 import base64
+import datetime
 import html.entities
 import io
 import re
@@ -23,11 +24,16 @@ from pyspark.sql import functions as F
 
 NODES = (
     "book_id string, seq long, parent_seq long, last_seq long, depth int, body_no int, body_kind string, kind string, ord int, xml_id string, lang string, "
-    "style string, href string, alt string, row int, col int, colspan int, rowspan int, header boolean, text string, error string"
+    "style string, href string, alt string, ref_type string, align string, row int, col int, colspan int, rowspan int, header boolean, text string, error string"
 )
+_FIELD, _PERSON = "struct<text:string,lang:string>", "struct<name:string,first:string,middle:string,last:string,nickname:string,home_pages:array<string>,emails:array<string>,id:string>"
 BOOKS = (
     "book_id string, title string, authors array<string>, genres array<string>, keywords string, lang string, date_value string, date_display string, "
-    "publisher string, year string, isbn string, series array<struct<name:string,number:string,parent:int>>, id string, error string"
+    "publisher string, year string, isbn string, series array<struct<name:string,number:string,parent:int>>, id string, "
+    f"people array<{_PERSON}>, translators array<{_PERSON}>, annotation string, cover array<string>, src_lang string, date date, title_field {_FIELD}, "
+    "book_name string, city string, published_series array<struct<name:string,number:string,parent:int>>, document_authors array<string>, program string, document_date string, source_urls array<string>, "
+    "source_ocr string, version string, history string, custom array<struct<kind:string,value:string>>, stylesheets array<struct<kind:string,text:string>>, "
+    "output array<struct<mode:string,include:string,price:double,currency:string>>, error string"
 )
 BINARIES = "book_id string, id string, mime string, data binary, error string"
 
@@ -36,6 +42,16 @@ NOTES = ("notes", "comments", "footnotes")
 #: Elements that become nodes under their own name.
 KINDS = frozenset("section title subtitle epigraph annotation image p empty-line poem stanza v text-author date cite table tr th td strong emphasis style a strikethrough sub sup code".split())
 DEPTH = 1024
+#: Elements of running text, and those that become paragraphs where they don't belong.
+INLINE = frozenset("strong emphasis style a strikethrough sub sup code image".split())
+TEXTUAL = frozenset("text-author date v stanza epigraph annotation".split())
+#: Elements whose children are blocks, and what may stand in them beside those.
+FLOWS = {"section": {"title", "epigraph", "image", "annotation"}, "cite": {"text-author"}, "epigraph": {"text-author"}, "annotation": set(), "history": set()}
+BLOCK_KINDS = frozenset("p poem cite subtitle empty-line table image section".split())
+#: Elements of mixed content.
+MIXED = frozenset("p v subtitle text-author td th date".split()) | (INLINE - {"image"}) | {"span"}
+#: Modes and directives of output instructions.
+SHARING, INCLUDING = ("free", "paid"), ("require", "allow", "deny")
 #: Largest decoded binary.
 BINARY = 256 << 20
 
@@ -100,23 +116,96 @@ def node_rows(book: str, raw: bytes, notes: tuple[str, ...] = NOTES) -> list[dic
         out.append(row)
         return row
 
-    def walk(e: ET.Element, parent: dict) -> None:
-        at, n = 0, 0
-        inline = local(e) in ("p", "v", "subtitle", "text-author", "td", "th", "strong", "emphasis", "style", "a", "strikethrough", "sub", "sup", "code", "date")
-        if inline and e.text:
+    def node(c: ET.Element, kind: str, parent: dict, at: int, **extra) -> dict:
+        style = attribute(c, "style") or attribute(c, "name")
+        more = {"xml_id": attribute(c, "id"), "lang": attribute(c, "lang"), "style": style, "href": attribute(c, "href"), "alt": attribute(c, "alt"), "ref_type": attribute(c, "type"), "align": attribute(c, "align")}
+        return add(kind, parent, ord=at, **more | extra)
+
+    def mixed(e: ET.Element, parent: dict, at: int = 0) -> None:
+        """Text and elements of running text in order; an element that doesn't belong there keeps its text, as a span."""
+        if e.text:
             add("text", parent, ord=at, text=e.text)
             at += 1
         for c in e:
-            kind = local(c)
-            if kind in KINDS:
-                extra = {"row": n, "col": None} if kind == "tr" else {"row": parent.get("row"), "col": n, "colspan": number(attribute(c, "colspan")), "rowspan": number(attribute(c, "rowspan")), "header": kind == "th"} if kind in ("td", "th") else {}
-                row = add(kind, parent, ord=at, xml_id=attribute(c, "id"), lang=attribute(c, "lang"), style=attribute(c, "style") or attribute(c, "name"), href=attribute(c, "href"), alt=attribute(c, "alt"), **extra)
+            if isinstance(c.tag, str):
+                at = inline(c, parent, at)
+            if c.tail:
+                add("text", parent, ord=at, text=c.tail)
+                at += 1
+
+    def inline(c: ET.Element, parent: dict, at: int) -> int:
+        row = node(c, local(c) if local(c) in INLINE else "span", parent, at)
+        if local(c) != "image":
+            mixed(c, row)
+        row["last_seq"] = len(out) - 1
+        return at + 1
+
+    def pieces(e: ET.Element, parent: dict, at: int) -> int:
+        """A paragraph with blocks inside: a paragraph for each stretch of running text, the blocks between. The first one has its id and style."""
+        held: list = []
+        named, begun = False, at
+
+        def flush() -> None:
+            nonlocal held, named, at
+            if any(not isinstance(x, str) or x.strip() for x in held):
+                row = node(e, "p", parent, at) if not named else add("p", parent, ord=at)
+                named, at, k = True, at + 1, 0
+                for x in held:
+                    if isinstance(x, str):
+                        add("text", row, ord=k, text=x)
+                        k += 1
+                    else:
+                        k = inline(x, row, k)
+                row["last_seq"] = len(out) - 1
+            held = []
+
+        held += [e.text] if e.text else []
+        for c in (c for c in e if isinstance(c.tag, str)):
+            if local(c) in INLINE:
+                held.append(c)
+            else:
+                flush()
+                at = block(c, parent, at)
+            held += [c.tail] if c.tail else []
+        flush()
+        if at == begun:
+            row = node(e, "p", parent, at)
+            mixed(e, row)
+            row["last_seq"], at = len(out) - 1, at + 1
+        return at
+
+    def block(c: ET.Element, parent: dict, at: int) -> int:
+        """A block of a flow; known elements of text become paragraphs where they don't belong, others are left out."""
+        kind = local(c)
+        if kind == "p" and any(isinstance(x.tag, str) and local(x) not in INLINE for x in c):
+            return pieces(c, parent, at)
+        if kind not in BLOCK_KINDS:
+            if kind not in TEXTUAL:
+                return at
+            row = node(c, "p", parent, at, style=f"unexpected {kind}" + (f" {attribute(c, 'style')}" if attribute(c, "style") else ""))
+            if text := "".join(c.itertext()):
+                add("text", row, ord=0, text=text)
+        else:
+            row = node(c, kind, parent, at)
+            walk(c, row)
+        row["last_seq"] = len(out) - 1
+        return at + 1
+
+    def walk(e: ET.Element, parent: dict) -> None:
+        kind, at, n = local(e), 0, 0
+        if kind in MIXED:
+            mixed(e, parent)
+            return
+        for c in (c for c in e if isinstance(c.tag, str)):
+            name = local(c)
+            if kind in FLOWS and name not in FLOWS[kind]:
+                at = block(c, parent, at)
+            elif name in KINDS:
+                extra = {"row": n} if name == "tr" else {"row": parent.get("row"), "col": n, "colspan": number(attribute(c, "colspan")), "rowspan": number(attribute(c, "rowspan")), "header": name == "th"} if name in ("td", "th") else {}
+                row = node(c, name, parent, at, **extra)
                 at, n = at + 1, n + 1
                 walk(c, row)
                 row["last_seq"] = len(out) - 1
-            if inline and c.tail:
-                add("text", parent, ord=at, text=c.tail)
-                at += 1
 
     bodies = [e for e in root_of(raw) if local(e) == "body"]
     for i, body in enumerate(bodies):
@@ -135,39 +224,85 @@ def book_rows(book: str, raw: bytes) -> list[dict]:
     desc = child(root_of(raw), "description")
     info = next((c for c in reversed(desc if desc is not None else []) if local(c) == "title-info"), None)
     info = ET.Element("none") if info is None else info
-    pub, date = child(desc, "publish-info"), child(info, "date")
-    people = []
-    for a in (c for c in info if local(c) == "author"):
-        parts = [text_of(child(a, n)) for n in ("first-name", "middle-name", "last-name")]
-        people.append(" ".join(p for p in parts if p) or text_of(child(a, "nickname")))
-    series: list[dict] = []
-
-    def sequences(e: ET.Element, parent: int | None) -> None:
-        for c in (c for c in e if local(c) == "sequence"):
-            if name := (attribute(c, "name") or "").strip():
-                series.append({"name": name, "number": attribute(c, "number"), "parent": parent})
-                sequences(c, len(series) - 1)
-
-    sequences(info, None)
+    pub, doc, date = child(desc, "publish-info"), child(desc, "document-info"), child(info, "date")
+    named = lambda e, name: [c for c in (e if e is not None else []) if isinstance(c.tag, str) and local(c) == name]
+
+    def person(a: ET.Element) -> dict:
+        parts = {k: text_of(child(a, f"{k}-name")) for k in ("first", "middle", "last")}
+        every = lambda name: [t for c in named(a, name) if (t := text_of(c))]
+        nickname = text_of(child(a, "nickname"))
+        return parts | {"name": " ".join(p for p in parts.values() if p) or nickname, "nickname": nickname, "home_pages": every("home-page"), "emails": every("email"), "id": text_of(child(a, "id"))}
+
+    def sequences(e: ET.Element | None) -> list[dict]:
+        out: list[dict] = []
+
+        def add(e: ET.Element | None, parent: int | None) -> None:
+            for c in named(e, "sequence"):
+                if name := (attribute(c, "name") or "").strip():
+                    out.append({"name": name, "number": attribute(c, "number"), "parent": parent})
+                    add(c, len(out) - 1)
+
+        add(e, None)
+        return out
+
+    def output(e: ET.Element) -> dict:
+        mode, include, price = attribute(e, "mode"), attribute(e, "include-all"), attribute(e, "price")
+        if mode not in SHARING or include not in INCLUDING:
+            raise ValueError(f"output instruction {mode}, {include}")
+        return {"mode": mode, "include": include, "price": float(price) if price else None, "currency": attribute(e, "currency")}
+
+    people = [person(a) for a in named(info, "author")]
+    cover = child(info, "coverpage")
+    title = child(info, "book-title")
+    root = root_of(raw)
     return [
         {
             "book_id": book,
-            "title": text_of(child(info, "book-title")),
-            "authors": [p for p in people if p],
-            "genres": [t for c in info if local(c) == "genre" and (t := text_of(c))],
+            "title": text_of(title),
+            "title_field": {"text": text_of(title), "lang": attribute(title, "lang")} if title is not None else None,
+            "authors": [p["name"] for p in people if p["name"]],
+            "people": people,
+            "translators": [person(a) for a in named(info, "translator")],
+            "genres": [t for c in named(info, "genre") if (t := text_of(c))],
             "keywords": text_of(child(info, "keywords")),
+            "annotation": text_of(child(info, "annotation")),
+            "cover": [h.removeprefix("#") for c in (cover if cover is not None else []) if (h := attribute(c, "href"))],
             "lang": text_of(child(info, "lang")),
+            "src_lang": text_of(child(info, "src-lang")),
             "date_value": attribute(date, "value") if date is not None else None,
+            "date": iso_date(attribute(date, "value")) if date is not None else None,
             "date_display": text_of(date),
             "publisher": text_of(child(pub, "publisher")),
+            "book_name": text_of(child(pub, "book-name")),
+            "city": text_of(child(pub, "city")),
             "year": text_of(child(pub, "year")),
             "isbn": text_of(child(pub, "isbn")),
-            "series": series,
-            "id": text_of(child(desc, "document-info", "id")),
+            "published_series": sequences(pub),
+            "series": sequences(info),
+            "id": text_of(child(doc, "id")),
+            "document_authors": [p for a in named(doc, "author") if (p := person(a)["name"])],
+            "program": text_of(child(doc, "program-used")),
+            "document_date": text_of(child(doc, "date")),
+            "source_urls": [t for c in named(doc, "src-url") if (t := text_of(c))],
+            "source_ocr": text_of(child(doc, "src-ocr")),
+            "version": text_of(child(doc, "version")),
+            "history": text_of(child(doc, "history")),
+            "custom": [{"kind": attribute(c, "info-type"), "value": text_of(c)} for c in named(desc, "custom-info")],
+            "stylesheets": [{"kind": attribute(c, "type"), "text": (c.text or "").strip()} for c in root if isinstance(c.tag, str) and local(c) == "stylesheet"],
+            "output": [output(c) for c in named(desc, "output")],
         }
     ]
 
 
+def iso_date(value: str | None) -> datetime.date | None:
+    """The date of YYYY-MM-DD, with a zone or without one; null for anything else."""
+    m = re.fullmatch(r"\s*(\d{4}-\d{2}-\d{2})(Z|[+-]\d{2}:\d{2})?\s*", value or "")
+    try:
+        return datetime.date.fromisoformat(m[1]) if m else None
+    except ValueError:
+        return None
+
+
 def binary_rows(book: str, raw: bytes) -> list[dict]:
     """Embedded files. A corrupt end keeps what was decoded before it; nothing decoded is an error."""
     out = []
