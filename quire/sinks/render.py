@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.books import titles
 from ..functions.text import collapse_whitespace, escape_markdown, path_segment
 
 #: Elements that stand in a block of their own.
@@ -49,6 +50,13 @@ def markdown(nodes: DataFrame) -> DataFrame:
     return _joined(block_texts(nodes), line, "\n\n")
 
 
+def headings(nodes: DataFrame) -> DataFrame:
+    """book_id, content: titles of bodies and sections as headings, by how many sections stand around them."""
+    t = titles(nodes).where("title IS NOT NULL").join(nodes.select("book_id", "seq", "depth"), ["book_id", "seq"])
+    line = F.concat(F.repeat(F.lit("#"), F.least(F.col("depth") + 1, F.lit(6))), F.lit(" "), F.col("title"))
+    return _joined(t.select("book_id", "seq", "title", "depth"), line, "\n\n")
+
+
 def output_paths(books: DataFrame, suffix: str) -> DataFrame:
     """book_id and a path of author and title; books of one path get -1, -2, ... in order of id."""
     author, title = path_segment(F.coalesce(F.try_element_at("authors", F.lit(1)), F.lit("unknown"))), path_segment(F.coalesce("title", F.lit("untitled")))
