@@ -42,6 +42,8 @@ NOTES = ("notes", "comments", "footnotes")
 #: Elements that become nodes under their own name.
 KINDS = frozenset("section title subtitle epigraph annotation image p empty-line poem stanza v text-author date cite table tr th td strong emphasis style a strikethrough sub sup code".split())
 DEPTH = 1024
+#: Bytes at a file's beginning that tell its encoding, and rows of an archive's books that go on together.
+PEEK, MOST_ROWS = 2048, 50_000
 #: Elements of running text, and those that become paragraphs where they don't belong.
 INLINE = frozenset("strong emphasis style a strikethrough sub sup code image".split())
 TEXTUAL = frozenset("text-author date v stanza epigraph annotation".split())
@@ -67,10 +69,28 @@ def decoded(raw: bytes) -> str:
         if raw.startswith(mark):
             return raw[len(mark) :].decode(name)
     declared = re.match(rb'\s*<\?xml[^>]*encoding=["\']([A-Za-z0-9_.\-]+)', raw)
+    name = declared[1].decode().lower() if declared else "utf-8"
+    if name in ("utf-8", "utf8"):
+        return raw.decode("utf-8", "replace")
+    # a declaration of another encoding doesn't count if the beginning is UTF-8 with more than ASCII
+    peek = complete(raw[:PEEK])
     try:
-        return raw.decode("utf-8")
+        peek.decode("utf-8")
+        is_utf8 = any(b > 127 for b in peek)
     except UnicodeDecodeError:
-        return raw.decode(declared[1].decode() if declared else "utf-8", "replace")
+        is_utf8 = False
+    return raw.decode("utf-8" if is_utf8 else name, "replace")
+
+
+def complete(raw: bytes) -> bytes:
+    """raw without a UTF-8 character that is cut at its end."""
+    for k in range(1, min(4, len(raw)) + 1):
+        b = raw[-k]
+        if b >= 0xC0:
+            return raw[:-k] if k < (2 if b < 0xE0 else 3 if b < 0xF0 else 4) else raw
+        if b < 0x80:
+            return raw
+    return raw
 
 
 def root_of(raw: bytes) -> ET.Element:
@@ -319,20 +339,61 @@ def binary_rows(book: str, raw: bytes) -> list[dict]:
     return out
 
 
-def entries(path: str, raw: bytes) -> Iterator[tuple[str, bytes]]:
-    """(id, bytes) of the books in a file: itself, or the entries of a zip archive. An unsafe entry name is an error."""
+def entry_name(info: zipfile.ZipInfo, code_page: str | None) -> str:
+    """An entry's name; names that aren't marked as UTF-8 are read in the code page, if one is given."""
+    return info.filename.encode("cp437").decode(code_page, "replace") if code_page and not info.flag_bits & 0x800 else info.filename
+
+
+def is_book(raw: bytes) -> bool:
+    """Whether the first bytes look like a book: XML with its root element."""
+    try:
+        return "<FictionBook" in decoded(complete(raw[:8192]))
+    except UnicodeDecodeError:
+        return False
+
+
+def entries(path: str, raw: bytes, prefix: str = "", code_page: str | None = None) -> Iterator[tuple[str, bytes]]:
+    """(id, bytes) of the books in a file: itself, or the entries of a zip archive below a prefix, by name or by what they hold. An unsafe entry name is an error."""
     if raw[:4] == b"PK\x03\x04":
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
             for i in z.infolist():
-                if not safe_name(i.filename):
-                    raise ValueError(f"unsafe entry name {i.filename}")
-                if i.filename.lower().endswith(".fb2"):
-                    yield f"{path}!{i.filename}", z.read(i)
+                name = entry_name(i, code_page)
+                if not safe_name(name):
+                    raise ValueError(f"unsafe entry name {name}")
+                if i.is_dir() or not name.startswith(prefix):
+                    continue
+                data = None if name.lower().endswith(".fb2") else z.read(i)
+                if data is None or is_book(data):
+                    yield f"{path}!{name}", z.read(i) if data is None else data
     else:
         yield path, raw
 
 
-def _parsed(files: DataFrame, parse: Callable[[str, bytes], list[dict]], schema: str) -> DataFrame:
+def resolved(spark: SparkSession, source: str) -> tuple[str, str]:
+    """The longest part of a path that exists, and the rest, which is a prefix in an archive. A rest behind a folder is an error."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    head, tail = source.rstrip("/"), ""
+    while head:
+        p = jvm.org.apache.hadoop.fs.Path(head)
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            if tail and fs.getFileStatus(p).isDirectory():
+                raise FileNotFoundError(source)
+            return head, tail
+        head, _, last = head.rpartition("/")
+        tail = f"{last}/{tail}" if tail else last
+    raise FileNotFoundError(source)
+
+
+def single(books: DataFrame) -> DataFrame:
+    """The one book of a source; none or several are an error."""
+    n = books.select("book_id").distinct().limit(2).count()
+    if n != 1:
+        raise ValueError("the source has no book" if not n else "the source has several books")
+    return books
+
+
+def _parsed(files: DataFrame, parse: Callable[[str, bytes], list[dict]], schema: str, prefix: str = "", code_page: str | None = None) -> DataFrame:
     """files: path, content."""
     kinds = pa.schema([(f.name, _arrow(f.dataType)) for f in files.sparkSession.createDataFrame([], schema).schema])
 
@@ -341,11 +402,14 @@ def _parsed(files: DataFrame, parse: Callable[[str, bytes], list[dict]], schema:
             for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 rows: list[dict] = []
                 try:
-                    for book, data in entries(path, raw):
+                    for book, data in entries(path, raw, prefix, code_page):
                         try:
                             rows += parse(book, data)
                         except Exception as e:  # one bad book doesn't stop the others
                             rows.append({"book_id": book, "error": str(e)})
+                        if len(rows) > MOST_ROWS:  # books of an archive go on one by one
+                            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+                            rows = []
                 except (ValueError, zipfile.BadZipFile) as e:
                     rows.append({"book_id": path, "error": str(e)})
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
@@ -364,16 +428,17 @@ def files(spark: SparkSession, path: str, pattern: str = "*.{fb2,zip,FB2,ZIP}")
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
 
-def nodes(books: DataFrame, notes: tuple[str, ...] = NOTES) -> DataFrame:
-    return _parsed(books, lambda b, raw: node_rows(b, raw, notes), NODES)
+def nodes(books: DataFrame, notes: tuple[str, ...] = NOTES, prefix: str = "", code_page: str | None = None) -> DataFrame:
+    """prefix and code_page: of the entries of archives."""
+    return _parsed(books, lambda b, raw: node_rows(b, raw, notes), NODES, prefix, code_page)
 
 
-def metadata(books: DataFrame) -> DataFrame:
-    return _parsed(books, book_rows, BOOKS)
+def metadata(books: DataFrame, prefix: str = "", code_page: str | None = None) -> DataFrame:
+    return _parsed(books, book_rows, BOOKS, prefix, code_page)
 
 
-def binaries(books: DataFrame) -> DataFrame:
-    return _parsed(books, binary_rows, BINARIES)
+def binaries(books: DataFrame, prefix: str = "", code_page: str | None = None) -> DataFrame:
+    return _parsed(books, binary_rows, BINARIES, prefix, code_page)
 
 
 def from_texts(df: DataFrame, id: str, text: str, title: str | None = None) -> DataFrame:

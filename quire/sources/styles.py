@@ -108,3 +108,176 @@ def cascade(elements: DataFrame, css: DataFrame, keys: list[str]) -> DataFrame:
     t = t.withColumn("__weight", (F.col("__c").isNotNull()).cast("int") * 10 + F.coalesce(F.col("__e") != "*", F.lit(False)).cast("int"))
     w = Window.partitionBy(*keys, "property").orderBy(F.desc("__weight"), F.desc("ord"))
     return t.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*keys, "property", "value")
+
+
+#: Shorthands of four sides, and properties that children have from their parents.
+SIDES = {"margin": "margin-{}", "padding": "padding-{}", "border-width": "border-{}-width", "border-style": "border-{}-style", "border-color": "border-{}-color"}
+INHERITED = ("color", "font-family", "font-size", "font-style", "font-variant", "font-weight", "hyphens", "letter-spacing", "line-height", "list-style-type", "orphans", "text-align", "text-indent", "text-transform", "visibility", "white-space", "widows", "word-spacing")
+#: Styles that enclose others and have nothing from them, and endings of names that tell a style's parent.
+WRAPPERS = ("epigraph", "poem", "stanza", "cite", "annotation", "footnote", "section", "image", "vignette", "emptyline", "body-title", "chapter-title", "section-title", "footnote-body", "main-body", "other-body", "poem-title", "stanza-title", "footnote-title", "toc-title")
+VARIANTS = ("-first", "-next", "-break")
+
+
+def longhands(css: DataFrame) -> DataFrame:
+    """Rules with shorthands of sides, borders and backgrounds in their parts, automatic margins resolved; other declarations as they are."""
+    keep = [c for c in css.columns if c not in ("property", "value", "number", "unit")]
+    entry = lambda k, v: F.struct(k.alias("property"), v.alias("value"))
+    value, name = F.col("value"), F.col("property")
+    sides = values.box_sides(value)
+    plan = F.when(F.lit(False), F.array(entry(name, value)))
+    for short, form in SIDES.items():
+        plan = plan.when(name == short, F.array(*(entry(F.lit(form.format(s)), sides[s]) for s in ("top", "right", "bottom", "left"))))
+    parts = values.border_parts(value)
+    border = F.filter(F.array(*(entry(F.lit(f"border-{k}"), parts[c]) for k, c in (("style", "line"), ("color", "color"), ("width", "width")))), lambda x: x.value.isNotNull())
+    colors = F.filter(F.split(value, r"\s+"), lambda x: values.color(x).isNotNull())
+    fill = F.when(F.size(colors) > 0, F.array(entry(F.lit("background-color"), F.element_at(colors, 1)))).otherwise(F.array().cast("array<struct<property:string,value:string>>"))
+    plan = plan.when(name == "border", border).when(name == "background", fill).otherwise(F.array(entry(name, value)))
+    t = css.select(*keep, F.explode(plan).alias("x")).select(*keep, "x.property", "x.value")
+    # automatic margins: none above and below; at the sides they align the box
+    return t.withColumn("value", F.when((F.col("value") == "auto") & F.col("property").isin("margin-top", "margin-bottom"), "0em").otherwise(F.col("value")))
+
+
+def aligned_boxes(styles: DataFrame, keys: list[str]) -> DataFrame:
+    """Styles (keys, property, value) with box-align in place of automatic margins at the sides; a box-align of their own stays."""
+    auto = F.col("value") == "auto"
+    side = lambda s: F.bool_or(auto & (F.col("property") == f"margin-{s}"))
+    t = styles.groupBy(*keys).agg(side("left").alias("l"), side("right").alias("r"), F.bool_or(F.col("property") == "box-align").alias("own"))
+    made = t.where("(l OR r) AND NOT own").select(*keys, F.lit("box-align").alias("property"), F.when(F.col("l") & F.col("r"), "center").when(F.col("l"), "right").otherwise("left").alias("value"))
+    return styles.where(~(auto & F.col("property").isin("margin-left", "margin-right"))).select(*keys, "property", "value").unionByName(made)
+
+
+def selected(css: DataFrame, selector: str) -> DataFrame:
+    """Rules outside media blocks with exactly this selector."""
+    return css.where((F.coalesce("media", F.lit("")) == "") & (F.col("selector") == selector))
+
+
+def page_breaks(css: DataFrame) -> DataFrame:
+    """sheet_id, depth, breaks: whether titles of sections (.section-title-h2 to h6) begin a page; depth 0: titles of bodies (.body-title). The last rule counts."""
+    depth = F.when(F.col("class") == "body-title", 0).otherwise(F.regexp_extract("class", "^section-title-h([2-6])$", 1).try_cast("int"))
+    t = css.where("class IS NOT NULL AND error IS NULL").withColumn("depth", depth).where("depth IS NOT NULL")
+    says = F.when(F.col("property") == "page-break-before", F.lower("value") == "always")
+    rules_ = t.groupBy("sheet_id", "depth", "ord").agg(F.max(says).alias("says"))
+    # a rule for sections that says nothing of breaks counts as no; one for bodies doesn't count
+    rules_ = rules_.where("depth > 0 OR says IS NOT NULL").withColumn("says", F.coalesce("says", F.lit(False)))
+    return rules_.groupBy("sheet_id", "depth").agg(F.max_by("says", "ord").alias("breaks"))
+
+
+def registered(defs: DataFrame, by: list[str], name: str, order: list[str]) -> DataFrame:
+    """Definitions (by, name, property, value) with one value for each property: the last one."""
+    return defs.groupBy(*by, name, "property").agg(F.max_by("value", F.struct(*order)).alias("value"))
+
+
+def inferred_parents(names: DataFrame, by: list[str], name: str = "name") -> DataFrame:
+    """Names with the style that they vary or end in, if there is one: chapter-header-first has chapter-header's, x-subtitle subtitle's. Wrappers have none."""
+    wraps = lambda c: c.isin(*WRAPPERS) | c.startswith("section-title-wrap-h")
+    base = F.regexp_replace(name, "(" + "|".join(VARIANTS) + ")$", "")
+    variant = F.when((base != F.col(name)) & (base != "") & ~wraps(base), base)
+    ending = F.when(F.col(name).rlike(".-subtitle$"), F.lit("subtitle"))
+    known = names.select(*by, name).distinct()
+    k = lambda c: known.select(*by, F.col(name).alias(c), F.lit(True).alias(f"has_{c}"))
+    t = names.withColumn("variant", variant).withColumn("ending", ending).join(k("variant"), [*by, "variant"], "left").join(k("ending"), [*by, "ending"], "left")
+    parent = F.when(~wraps(F.col(name)), F.when(F.col("has_variant"), F.col("variant")).when(F.col("has_ending"), F.col("ending")))
+    return t.select(*names.columns, parent.alias("parent"))
+
+
+def inherited(defs: DataFrame, parents: DataFrame, by: list[str], most: int = 20) -> DataFrame:
+    """Definitions with what their parents say and they don't: by, name, property, value. parents: by, name, parent.
+
+    Parents are followed one step a round; unknown ones end a chain, and so do circles, after `most` rounds.
+    """
+    out = defs.select(*by, "name", "property", "value", F.lit(0).alias("far"))
+    up = parents.where("parent IS NOT NULL").select(*by, "name", "parent")
+    chain = up
+    for far in range(1, most + 1):
+        if chain.isEmpty():
+            break
+        more = chain.join(defs.select(*by, F.col("name").alias("parent"), "property", "value"), [*by, "parent"]).select(*by, "name", "property", "value", F.lit(far).alias("far"))
+        out = out.unionByName(more)
+        chain = chain.join(up.select(*by, F.col("name").alias("parent"), F.col("parent").alias("__next")), [*by, "parent"]).select(*by, "name", F.col("__next").alias("parent")).where("parent <> name")
+    return out.groupBy(*by, "name", "property").agg(F.min_by("value", "far").alias("value"))
+
+
+def interned(styles: DataFrame, by: list[str], name: str, dropped: list[str] = ()) -> DataFrame:
+    """Styles (by, name, property, value) that say the same get one key: by, name, style, properties. Dropped properties and an automatic height don't count."""
+    t = styles.where(~F.col("property").isin(list(dropped)) & ~((F.col("property") == "height") & (F.col("value") == "auto")))
+    t = t.groupBy(*by, name).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property", "value")))).alias("properties"))
+    return t.withColumn("style", F.substring(F.sha2(values.signature(F.col("properties")), 256), 1, 12))
+
+
+def used(styles: DataFrame, uses: DataFrame, on: list[str]) -> DataFrame:
+    """Styles that something uses."""
+    return styles.join(uses.select(*on).distinct(), on, "left_semi")
+
+
+def resolved(elements: DataFrame, css: DataFrame, by: list[str], most: int = 10_000) -> DataFrame:
+    """elements (by, seq, last_seq, element, classes) with `properties` and `delta`, what each has beyond its parent's.
+
+    An element has its parent's inherited properties, then those of its own element, of its classes in order, of
+    rules for a child of its parent (a>b), of rules for descendants of anything around it, later rules after
+    earlier ones. A font size in em or percent multiplies the parent's. Elements stream past a stack of
+    those around them; a sheet has `most` declarations at most, else an error, so its rules travel with the task.
+    """
+    rows = css.where("error IS NULL AND pseudo IS NULL AND property IS NOT NULL AND selector NOT LIKE '@%'").select("ord", "element", "class", "ancestor", "selector", "property", "value").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} declarations")
+    table: dict[tuple[str, str], list[tuple[int, str, str]]] = {}
+    for r in sorted(rows, key=lambda r: r["ord"]):
+        own = ("." + r["class"]) if r["class"] else (r["element"] or "*").lower()
+        above = (r["ancestor"] or "").split()
+        key = (">" + above[-2] if above[-1:] == [">"] and len(above) > 1 else above[-1] if above else "", own)
+        table.setdefault(key, []).append((r["element"] or "", r["property"], r["value"]))
+    passed = frozenset(INHERITED)
+
+    def scaled(old: str | None, new: str) -> str:
+        a, b = _MEASURE.match(old or ""), _MEASURE.match(new)
+        if not a or not b or b[2].lower() not in ("em", "%"):
+            return new
+        factor = float(b[1]) * (1 if b[2].lower() == "em" else 0.01)
+        return f"{round(float(a[1]) * factor, 6):g}{a[2]}"
+
+    def make():
+        stack: list[tuple[int, str, list[str], dict[str, str]]] = []
+
+        def step(seq: int, last: int | None, tag: str | None, classes: list[str] | None):
+            while stack and stack[-1][0] < seq:
+                stack.pop()
+            tag, classes = (tag or "").lower(), classes or []
+            parent = {k: v for k, v in stack[-1][3].items() if k in passed} if stack else {}
+            now = dict(parent)
+
+            def apply(key: tuple[str, str]) -> None:
+                for only, name, value in table.get(key, ()):
+                    if not only or only == "*" or only.lower() == tag:
+                        now[name] = scaled(now.get(name), value) if name == "font-size" else value
+
+            own = [*(["*", tag] if tag else ["*"]), *(f".{c}" for c in classes)]
+            for name in own:
+                apply(("", name))
+            if stack:
+                for name in own:
+                    for around in [*(f".{c}" for c in stack[-1][2]), stack[-1][1]]:
+                        apply((f">{around}", name))
+            for _, around_tag, around_classes, _ in stack:
+                for around in [*(f".{c}" for c in around_classes), around_tag]:
+                    for name in own:
+                        apply((around, name))
+            stack.append((seq if last is None else last, tag, classes, now))
+            return [(sorted(now.items()), sorted((k, v) for k, v in now.items() if parent.get(k) != v))]
+
+        return step
+
+    pairs = "array<struct<property:string,value:string>>"
+    t = scan(elements, by, ["seq"], ["seq", "last_seq", "element", "classes"], lambda: _as_structs(make()), f"properties {pairs}, delta {pairs}")
+    return t
+
+
+def _as_structs(step):
+    named = lambda xs: [{"property": k, "value": v} for k, v in xs]
+    return lambda *x: [(named(a), named(b)) for a, b in step(*x)]
+
+
+def collapsed_blocks(blocks_: DataFrame, by: list[str], order: str, above: str, below: str) -> DataFrame:
+    """Blocks with the space between each and the one before it: their margins there collapsed; the first has its own."""
+    w = Window.partitionBy(*by).orderBy(order)
+    before = F.lag(below).over(w)
+    return blocks_.withColumn("space", F.when(before.isNull(), F.col(above)).otherwise(values.collapsed_margin(F.col(above), before)))
