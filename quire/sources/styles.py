@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import values
+from ..operators.sequences import scan
+
 RULES = "sheet_id string, ord int, media string, selector string, element string, class string, pseudo string, ancestor string, property string, value string, number double, unit string, error string"
 
 _SIMPLE = re.compile(r"^([A-Za-z][\w-]*|\*)?(?:\.([\w-]+))?(?:::?([a-z-]+))?$")
@@ -60,8 +63,8 @@ def rule_rows(sheet: str, css: str) -> list[dict]:
             n += 1
             continue
         for selector in [head] if head.startswith("@") else [s.strip() for s in head.split(",")]:
-            *above, last = selector.split() or [""]
-            m = None if selector.startswith("@") or re.search(r"[>+~\[\]#]", selector) else _SIMPLE.match(last)
+            *above, last = selector.replace(">", " > ").split() or [""]
+            m = None if selector.startswith("@") or re.search(r"[+~\[\]#]", selector) else _SIMPLE.match(last)
             known = {"sheet_id": sheet, "ord": n, "media": media, "selector": selector}
             if selector.startswith("@font-face"):
                 pass
@@ -103,8 +106,15 @@ def cascade(elements: DataFrame, css: DataFrame, keys: list[str]) -> DataFrame:
     The rules of a sheet are a small table, joined by its two kinds of simple selectors on equal names.
     """
     r = css.where("error IS NULL AND ancestor IS NULL AND pseudo IS NULL AND property IS NOT NULL AND selector NOT LIKE '@%'").select("ord", F.col("element").alias("__e"), F.col("class").alias("__c"), "property", "value")
-    e = elements.select(*keys, F.lower("element").alias("element"), F.explode(F.array_union(F.coalesce("classes", F.array().cast("array<string>")), F.array(F.lit("")))).alias("class"))
-    t = e.join(r, F.coalesce(F.col("__c"), F.lit("")) == F.col("class")).where(F.col("__e").isNull() | (F.col("__e") == "*") | (F.lower("__e") == F.col("element")))
+    # rules with a class meet elements by it, others by the element's name, so no key gathers all elements
+    e = elements.select(*keys, F.lower("element").alias("element"), F.coalesce("classes", F.array().cast("array<string>")).alias("classes"))
+    by_class = e.select(*keys, "element", F.explode("classes").alias("__c")).join(r.where("__c IS NOT NULL"), "__c").where("__e IS NULL OR __e = '*' OR lower(__e) = element")
+    plain = r.where("__c IS NULL").withColumn("__e", F.lower("__e"))
+    named = e.join(plain.where("__e <> '*'").withColumnRenamed("__e", "element"), "element").select(*keys, "element", F.lit(None).cast("string").alias("__c"), "ord", F.col("element").alias("__e"), "property", "value")
+    every = plain.where("__e IS NULL OR __e = '*'").groupBy("property").agg(F.max_by(F.struct("ord", "value"), "ord").alias("r"))  # a row for each property
+    every = every.agg(F.collect_list(F.struct("property", "r.ord", "r.value")).alias("all"))
+    every = e.join(F.broadcast(every)).select(*keys, "element", F.explode("all").alias("r")).select(*keys, "element", F.lit(None).cast("string").alias("__c"), "r.ord", F.lit("*").alias("__e"), "r.property", "r.value")
+    t = by_class.select(*keys, "element", "__c", "ord", "__e", "property", "value").unionByName(named).unionByName(every)
     t = t.withColumn("__weight", (F.col("__c").isNotNull()).cast("int") * 10 + F.coalesce(F.col("__e") != "*", F.lit(False)).cast("int"))
     w = Window.partitionBy(*keys, "property").orderBy(F.desc("__weight"), F.desc("ord"))
     return t.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*keys, "property", "value")

@@ -93,7 +93,7 @@ def test_styles(spark):
     r = styles.rules(spark.createDataFrame([("s", css)], "sheet_id string, css string")).collect()
     assert [(x.selector, x.property, x.value) for x in r if x.ord == 0] == [("p", "margin", "-1.5EM 2px"), ("p", "color", "red")]
     assert [(x.element, getattr(x, "class"), x.pseudo) for x in r if x.ord == 1][0] == ("h1", "big", "before")
-    assert {x.error for x in r if x.selector == "a > b"} == {"unsupported selector"}
+    assert {(x.element, x.ancestor, x.error) for x in r if x.selector == "a > b"} == {("b", "a >", None)}
     assert {x.media for x in r} == {"", "not print and screen"} and [x.value for x in r if x.selector == "@import"] == ["q.css"]
     assert [x.value for x in r if x.selector == "@font-face"] == ["url(a;b)"]
     m = spark.createDataFrame([("",), ("screen",), ("not print and screen",), ("print",), ("screen and wide",)], "media string")
