@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.bpe import round_trip, tokenizer_path
 from quire.llm.common import plan_size, shared_folder, written
-from quire.llm.minhash import near_duplicates
+from quire.llm.minhash import FEW, near_duplicates
 from quire.llm.mixing import mix, text_size
 from quire.llm.quality import keep_documents, trusted_ids
 from quire.llm.repeats import remove_repeats
@@ -28,12 +28,16 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """One row of each group of near-duplicates, that with the smallest id (null ids last), whatever ids its rows have."""
     # a row's place is its id below: written, since it must not change between jobs
     placed = docs.select(F.struct(*_all(docs)).alias("row"), F.monotonically_increasing_id().alias("place"))
-    placed = written(placed, shared_folder(spark, "near-duplicates"), "placed", plan_size(docs))
+    folder = shared_folder(spark, "near-duplicates")
+    placed = written(placed, folder, "placed", plan_size(docs))
     groups = near_duplicates(placed.select("place", "row.text"), "place").select(F.col("doc_id").alias("place"), "component_id")
+    groups = written(groups, folder, "groups", plan_size(docs) // 10)
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "place")
-    ids = placed.select("place", "row.doc_id")
-    stay = groups.join(ids, "place").groupBy("component_id").agg(F.min(first).alias("first")).select("first.place")
-    return placed.join(stay, "place", "left_semi").select("row.*")
+    stay = groups.join(placed.select("place", "row.doc_id"), "place").groupBy("component_id").agg(F.min(first).alias("first")).select("first.place")
+    gone = written(groups.select("place").join(stay, "place", "left_anti"), folder, "gone", plan_size(docs) // 10)
+    # what goes is named to every task if it is few, so that no text is shuffled
+    gone = F.broadcast(gone) if gone.count() <= FEW else gone
+    return placed.join(gone, "place", "left_anti").select("row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
