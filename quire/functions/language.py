@@ -94,3 +94,25 @@ def sentences(text: Column) -> Column:
         return s.map(lambda t: None if t is None else split_sentences(t))
 
     return run(text)
+
+
+#: Languages by their own names.
+OWN_NAMES = {"english": "en", "русский": "ru", "українська": "uk", "беларуская": "be", "deutsch": "de", "français": "fr", "español": "es", "italiano": "it", "português": "pt", "polski": "pl", "čeština": "cs", "slovenčina": "sk", "български": "bg", "српски": "sr", "hrvatski": "hr", "magyar": "hu", "română": "ro", "nederlands": "nl", "svenska": "sv", "dansk": "da", "norsk": "no", "suomi": "fi", "eesti": "et", "latviešu": "lv", "lietuvių": "lt", "ελληνικά": "el", "türkçe": "tr", "עברית": "he", "العربية": "ar", "中文": "zh", "日本語": "ja", "한국어": "ko"}
+_TAG = r"^[A-Za-z]{2,3}(?:[-_][A-Za-z]{4})?(?:[-_](?:[A-Za-z]{2}|[0-9]{3}))?(?:[-_][A-Za-z0-9]{4,8})*$"
+
+
+def book_language(text: Column) -> Column:
+    """A language tag with hyphens and usual case, or the tag of a language that is given by its own name; und for anything else."""
+    s = F.replace(F.trim(F.coalesce(text, F.lit(""))), F.lit("_"), F.lit("-"))
+    parts = F.split(s, "-")
+    usual = F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, F.lower(x)).when(F.length(x) == 4, F.initcap(x)).when(F.length(x) == 2, F.upper(x)).otherwise(F.lower(x))), "-")
+    named = F.try_element_at(F.create_map(*(F.lit(x) for kv in OWN_NAMES.items() for x in kv)), F.lower(F.trim(F.coalesce(text, F.lit("")))))
+    return F.coalesce(named, F.when(s.rlike(_TAG), usual), F.lit("und"))
+
+
+def model_for(tag: Column, known: list[str], mapped: dict[str, str] | None = None) -> Column:
+    """Which of the known models (dictionaries of hyphenation or sentences) serves a language: its own, that which its tag maps to, then the same for the tag without region and script. Null without one."""
+    there = lambda c: F.when(c.isin(known), c) if known else F.lit(None).cast("string")
+    to = (lambda c: F.try_element_at(F.create_map(*(F.lit(x) for kv in mapped.items() for x in kv)), c)) if mapped else (lambda c: F.lit(None).cast("string"))
+    base = F.split_part(tag, F.lit("-"), F.lit(1))
+    return F.coalesce(there(tag), there(to(tag)), there(base), there(to(base)))

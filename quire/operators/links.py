@@ -13,10 +13,17 @@ def hrefs(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.posexplode(F.regexp_extract_all(F.col(html), F.lit('<a [^>]*href="([^"]*)"'), 1)).alias("pos", "href"))
 
 
-def reverse_index(links: DataFrame, target: str, order: list[str], by: list[str] = ()) -> DataFrame:
-    """For each target: number of references and their places in order."""
+#: References in one row of an index.
+PART = 10_000
+
+
+def reverse_index(links: DataFrame, target: str, order: list[str], by: list[str] = (), most: int = PART) -> DataFrame:
+    """For each target: number of references and their places in order; a target with more than about `most` has several rows, by `part`."""
+    n = links.groupBy(*by, target).agg(F.count("*").alias("n_refs"))
     ref = F.struct(*order)
-    return links.groupBy(*by, target).agg(F.count("*").alias("n_refs"), F.array_sort(F.collect_list(ref)).alias("refs"))
+    part = F.pmod(F.xxhash64(*order), F.ceil(F.col("n_refs") / most)).cast("int")
+    t = links.join(n, [*by, target]).select(*by, target, "n_refs", part.alias("part"), ref.alias("ref"))
+    return t.groupBy(*by, target, "n_refs", "part").agg(F.array_sort(F.collect_list("ref")).alias("refs"))
 
 
 def id_index(nodes: DataFrame, id: str, order: str, by: list[str], last: bool = True) -> DataFrame:
@@ -91,10 +98,14 @@ def first_match(rows: DataFrame, rules: DataFrame, fields: list[str], order: str
         asked = [i for i, o in enumerate(pattern) if not o]
         keys = [f"__r{i}" for i in asked]
         one = r.where(F.col("__open") == F.array(*map(F.lit, pattern))).groupBy(*keys).agg(F.min_by("__rule", F.col("__rule.__order")).alias(f"__m{k}"))
-        on = F.lit(True)
-        for i in asked:
-            on = on & (F.lower(rows[fields[i]]) == one[f"__r{i}"])
-        t = t.join(one if asked else F.broadcast(one), on, "left").drop(*keys)  # without keys it is one row
+        if asked:
+            on = F.lower(rows[fields[asked[0]]]) == one[keys[0]]
+            for i in asked[1:]:
+                on = on & (F.lower(rows[fields[i]]) == one[f"__r{i}"])
+            t = t.join(one, on, "left").drop(*keys)
+        else:  # one rule, the same for every row
+            kind, rule = one.schema[f"__m{k}"].dataType, one.first()[0]
+            t = t.withColumn(f"__m{k}", F.struct(*(F.lit(rule[f.name]).cast(f.dataType).alias(f.name) for f in kind)))
         found.append(F.col(f"__m{k}"))
     best = F.array_min(F.filter(F.array(*found), lambda x: x.isNotNull())) if len(found) > 1 else found[0] if found else None
     if best is None:
@@ -172,9 +183,7 @@ def first_with(rows: DataFrame, known: DataFrame, list_: str, key: str, value: s
 
 def kept_or_all(rows: DataFrame, used: DataFrame, on: list[str]) -> DataFrame:
     """Rows that are used; all of them if nothing was told about use."""
-    some = used.limit(1).select(F.lit(True).alias("__some"))
-    t = rows.join(used.select(*on).distinct().withColumn("__used", F.lit(True)), on, "left").join(F.broadcast(some), how="left")
-    return t.where(F.col("__used") | F.col("__some").isNull()).drop("__used", "__some")
+    return rows if used.isEmpty() else rows.join(used.select(*on).distinct(), on, "left_semi")
 
 
 def usage(rows: DataFrame, name: str, fragment: str, kind: str) -> DataFrame:

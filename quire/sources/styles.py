@@ -16,6 +16,8 @@ RULES = "sheet_id string, ord int, media string, selector string, element string
 
 _SIMPLE = re.compile(r"^([A-Za-z][\w-]*|\*)?(?:\.([\w-]+))?(?:::?([a-z-]+))?$")
 _MEASURE = re.compile(r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))([A-Za-z%]*)$")
+#: Properties that rules without an element or class may set: they travel with the plan.
+MOST = 1000
 #: Pseudo-elements that selectors may have.
 PSEUDO = frozenset(("before", "after", "first-letter", "first-line"))
 
@@ -111,9 +113,11 @@ def cascade(elements: DataFrame, css: DataFrame, keys: list[str]) -> DataFrame:
     by_class = e.select(*keys, "element", F.explode("classes").alias("__c")).join(r.where("__c IS NOT NULL"), "__c").where("__e IS NULL OR __e = '*' OR lower(__e) = element")
     plain = r.where("__c IS NULL").withColumn("__e", F.lower("__e"))
     named = e.join(plain.where("__e <> '*'").withColumnRenamed("__e", "element"), "element").select(*keys, "element", F.lit(None).cast("string").alias("__c"), "ord", F.col("element").alias("__e"), "property", "value")
-    every = plain.where("__e IS NULL OR __e = '*'").groupBy("property").agg(F.max_by(F.struct("ord", "value"), "ord").alias("r"))  # a row for each property
-    every = every.agg(F.collect_list(F.struct("property", "r.ord", "r.value")).alias("all"))
-    every = e.join(F.broadcast(every)).select(*keys, "element", F.explode("all").alias("r")).select(*keys, "element", F.lit(None).cast("string").alias("__c"), "r.ord", F.lit("*").alias("__e"), "r.property", "r.value")
+    every = plain.where("__e IS NULL OR __e = '*'").groupBy("property").agg(F.max_by(F.struct("ord", "value"), "ord").alias("r")).select("property", "r.*").limit(MOST + 1).collect()
+    if len(every) > MOST:
+        raise ValueError(f"more than {MOST} properties for any element")
+    all_ = F.array(*(F.struct(F.lit(x["property"]).alias("property"), F.lit(x["ord"]).alias("ord"), F.lit(x["value"]).alias("value")) for x in every)) if every else F.array().cast("array<struct<property:string,ord:int,value:string>>")
+    every = e.select(*keys, "element", F.explode(all_).alias("r")).select(*keys, "element", F.lit(None).cast("string").alias("__c"), "r.ord", F.lit("*").alias("__e"), "r.property", "r.value")
     t = by_class.select(*keys, "element", "__c", "ord", "__e", "property", "value").unionByName(named).unionByName(every)
     t = t.withColumn("__weight", (F.col("__c").isNotNull()).cast("int") * 10 + F.coalesce(F.col("__e") != "*", F.lit(False)).cast("int"))
     w = Window.partitionBy(*keys, "property").orderBy(F.desc("__weight"), F.desc("ord"))

@@ -97,11 +97,42 @@ def test_maps_and_lists(spark):
     assert r.m == {"a": 1, "b": 3, "c": 4} and r.u == [2, 1, 3] and r.s
 
 
-def test_first_match_bound(spark):
-    from quire.operators.links import first_match
-
-    rows = spark.createDataFrame([("k999",), ("none",)], "kind string")
-    rules = lambda n: spark.range(n).selectExpr("concat('k', id) AS kind", "id AS place")
-    assert sorted(map(tuple, first_match(rows, rules(1000), ["kind"], "place").collect()), key=str) == [("k999", 999), ("none", None)]
-    with pytest.raises(ValueError, match="1000 rules"):
-        first_match(rows, rules(1001), ["kind"], "place")
+def test_first_match(spark):
+    from quire.operators import links
+
+    rules = spark.createDataFrame([*((i, f"a{i}", "*", f"r{i}") for i in range(2000)), (-1, "A7", "x", "first"), (5000, "", "y", "y"), (6000, "*", "*", "all")], "ord int, a string, b string, rule string")
+    rows = spark.createDataFrame([("a1500", "q"), ("a1500", "q"), ("a7", "X"), ("a7", "z"), (None, "y"), ("none", None)], "a string, b string")
+    got = sorted(map(tuple, links.first_match(rows, rules, ["a", "b"], "ord").select("a", "b", "rule").collect()), key=str)
+    assert got == sorted([("a1500", "q", "r1500")] * 2 + [("a7", "X", "first"), ("a7", "z", "r7"), (None, "y", "y"), ("none", None, "all")], key=str)
+    assert [r.rule for r in links.first_match(rows, rules.limit(0), ["a", "b"], "ord").collect()] == [None] * 6
+    one = links.first_match(rows, rules.where("rule = 'r7'"), ["a", "b"], "ord")
+    assert sorted(str(r.rule) for r in one.collect()) == ["None"] * 4 + ["r7"] * 2
+
+
+def test_reverse_index_in_parts(spark):
+    from quire.operators import links
+
+    t = spark.createDataFrame([(1, i, "hot") for i in range(1000)] + [(1, 5, "cold")], "b int, at int, target string")
+    got = links.reverse_index(t, "target", ["at"], ["b"], most=100).collect()
+    assert {r.n_refs for r in got if r.target == "hot"} == {1000} and len([r for r in got if r.target == "hot"]) == 10
+    assert sorted(x.at for r in got if r.target == "hot" for x in r.refs) == list(range(1000))
+    assert all([x.at for x in r.refs] == sorted(x.at for x in r.refs) for r in got)
+
+
+def test_languages(spark):
+    t = spark.createDataFrame([(x,) for x in ("en", "EN_us", "zh-hant-tw", "Русский", " Deutsch ", "klingon tongue", "", None, "be-Tarask")], "t string")
+    assert [r[0] for r in t.select(language.book_language(F.col("t"))).collect()] == ["en", "en-US", "zh-Hant-TW", "ru", "de", "und", "und", "und", "be-tarask"]
+    t = spark.createDataFrame([(x,) for x in ("en-US", "en-GB", "de-AT", "uk", "xx")], "t string")
+    assert [r[0] for r in t.select(language.model_for(F.col("t"), ["en-US", "en", "de-1996", "ru"], {"de": "de-1996", "uk": "ru"})).collect()] == ["en-US", "en", "de-1996", "ru", None]
+    assert [r[0] for r in t.select(language.model_for(F.col("t"), [])).collect()] == [None] * 5
+
+
+def test_settings():
+    from quire import config
+
+    assert config.load() == config.DEFAULTS and config.load("[pages]\nsize = 100")["pages"] == {"size": 100, "locations": 40}
+    assert config.load('{"document": {"toc": {"shape": "flat"}}}', "json")["document"]["toc"] == {"shape": "flat", "levels": 6, "untitled": False}
+    for bad in ("[pages]\nsiz = 1", "[pages]\nsize = 0", "[pages]\nsize = 'x'", "pages = 1", "[document.toc]\nshape = 'round'"):
+        with pytest.raises(ValueError):
+            config.load(bad)
+    assert config.takes("kindle", "kfx") and not config.takes("kindle", "md") and not config.takes("none", "md")
