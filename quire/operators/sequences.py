@@ -263,30 +263,32 @@ def page_flow(df: DataFrame, text: str, size: int, by: list[str], order: list[st
 
 
 def approximate_pages(df: DataFrame, text: str, length: str, new: str, size: int, by: list[str], order: list[str]) -> DataFrame:
-    """Starts of pages (by, order, offset, page) over elements; a new section begins one, others begin after `size` characters, at a boundary."""
+    """Where pages of `size` characters start: by, order, offset, page.
+
+    A page that is full ends after the last boundary behind the first character that it has of the element, else
+    where it is full. A row that begins a section ends the page before it. Elements without text count by their
+    length, one character at least.
+    """
 
     def make():
-        used, pages = 0, 0
+        page, used = 1, 0
 
         def step(t: str | None, n: int | None, begins: bool | None):
-            nonlocal used, pages
+            nonlocal page, used
+            if begins and used:
+                page, used = page + 1, 0
+            n = len(t) if t else max(n or 0, 1)
             out, at = [], 0
-            if begins or not pages:
-                used, pages = 0, pages + 1
-                out.append((0, pages))
-            n = n or 0
-            while used + n - at >= size:
-                cut = at + size - used
-                if t is not None:
-                    cut = next((i for i in range(min(cut, len(t)), at, -1) if _BOUNDARY.match(t, i - 1)), cut)
-                at, used = cut, 0
-                if at < n:
-                    pages += 1
-                    out.append((at, pages))
+            while at < n:
+                if not used:
+                    out.append((at, page))
+                end = min(n, at + size - used)
+                used += end - at
+                if used >= size:
+                    cut = next((i for i in range(end, at + 1, -1) if _BOUNDARY.match(t, i - 1)), end) if t else end
+                    at, used, page = cut, 0, page + 1
                 else:
-                    used = size
-                    break
-            used += n - at
+                    at = end
             return out
 
         return step

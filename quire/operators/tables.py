@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import escape_cell
 from .sequences import scan
@@ -51,6 +55,38 @@ def column_widths(cells: DataFrame, by: list[str], text: str, col: str = "col")
     return cells.groupBy(*by, col).agg(F.max(F.length(text)).alias("width"))
 
 
+def fitted_widths(placed: DataFrame, by: list[str], need: str, width: float, row: str = "row", colspan: str = "colspan") -> DataFrame:
+    """Widths of the columns of tables of placed cells that are `width` wide: by, widths, scale.
+
+    Cells in order: what a cell needs beyond the columns that it spans is shared among these. Columns that
+    nothing asks for get an even part. Too wide a table shrinks, what is left is shared.
+    """
+    cell = F.struct(F.col(row).alias("row"), F.col("grid_col").alias("col"), F.greatest(F.coalesce(F.col(colspan), F.lit(1)), F.lit(1)).alias("span"), F.col(need).cast("double").alias("need"))
+    t = placed.groupBy(*by).agg(F.array_sort(F.collect_list(cell)).alias("cells"))  # a table
+
+    def fit(cells: list[dict]) -> tuple[list[float], float]:
+        n = max(c["col"] + c["span"] for c in cells)
+        least = [0.0] * n
+        for c in cells:
+            spanned = range(c["col"], min(c["col"] + c["span"], n))
+            more = (c["need"] or 0.0) - sum(least[i] for i in spanned)
+            if more > 0:
+                for i in spanned:
+                    least[i] += more / c["span"]
+        least = [x if x > 0 else width / n for x in least]
+        total = sum(least)
+        scale = min(width / total, 1.0)
+        return [x * scale if scale < 1 else x + (width - total) / n for x in least], scale
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [fit(c) for c in batch.column("cells").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(b) for b in by), pa.array([m[0] for m in made], pa.list_(pa.float64())), pa.array([m[1] for m in made], pa.float64())], [*by, "widths", "scale"])
+
+    schema = T.StructType([*(t.schema[b] for b in by), *T.StructType.fromDDL("widths array<double>, scale double")])
+    return t.mapInArrow(run, schema)
+
+
 def _lines(cells: DataFrame, by: list[str], text: Column, row: str, col: str) -> DataFrame:
     """Rows of cells as arrays, ragged ones as they are, with the table's number of columns."""
     t = cells.groupBy(*by, row).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(col).alias("c"), text.alias("t")))), lambda x: x.t).alias("cells"))

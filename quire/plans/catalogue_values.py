@@ -371,3 +371,26 @@ def span_ordinals(spark, d):
 def page_flow(spark, d):
     t = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", "[^a-z]", "x").alias("s"))
     return sequences.page_flow(t, "s", 500, ["conv_id"], ["turn"]).select("conv_id", "turn", "page", "at", "n_chars", "marked")
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, length(text) AS n, sum((turn % 4 = 0)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM conversations),
+    s AS (SELECT conv_id, turn, part, n, (sum(n) OVER (PARTITION BY conv_id, part ORDER BY turn) - n)::BIGINT AS before FROM t),
+    p AS (SELECT conv_id, part, ((sum(n) + 499) // 500)::BIGINT AS pages FROM s GROUP BY ALL), b AS (SELECT conv_id, part, (sum(pages) OVER (PARTITION BY conv_id ORDER BY part) - pages)::BIGINT AS earlier FROM p),
+    e AS (SELECT conv_id, turn, part, before, unnest(range(((before + 499) // 500) * 500, before + n, 500)) AS begins FROM s)
+    SELECT conv_id, turn, (begins - before)::BIGINT AS "offset", (earlier + begins // 500 + 1)::BIGINT AS page FROM e JOIN b USING (conv_id, part)"""
+)
+def page_starts(spark, d):
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", "(?s).", "x").alias("s"), (F.col("turn") % 4 == 0).alias("new"), F.lit(None).cast("long").alias("n"))
+    return sequences.approximate_pages(t, "s", "n", "new", 500, ["conv_id"], ["turn"])
+
+
+@query(
+    f"""WITH c AS ({CELLS}), n AS (SELECT l_orderkey, max(c) + 1 AS k FROM c GROUP BY l_orderkey), w AS (SELECT l_orderkey, c, max(length(t))::DOUBLE AS w FROM c GROUP BY ALL),
+    s AS (SELECT l_orderkey, sum(w) AS total FROM w GROUP BY l_orderkey)
+    SELECT l_orderkey, round(least(5 / total, 1), 9) AS scale, list(round(CASE WHEN total > 5 THEN w * 5 / total ELSE w + (5 - total) / k END, 9) ORDER BY c) AS widths FROM w JOIN n USING (l_orderkey) JOIN s USING (l_orderkey) GROUP BY ALL"""
+)
+def fitted_widths(spark, d):
+    t = tables.placed_cells(_cells(spark, d).withColumn("colspan", F.lit(1)).withColumn("rowspan", F.lit(1)), ["l_orderkey"])
+    t = tables.fitted_widths(t.withColumn("need", F.length("t")), ["l_orderkey"], "need", 5.0)
+    return t.select("l_orderkey", F.round("scale", 9).alias("scale"), F.transform("widths", lambda x: F.round(x, 9)).alias("widths"))
