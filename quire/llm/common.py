@@ -22,7 +22,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 #: Bytes in a file of a written table: small tables go to few files, large ones to files of FILE bytes.
-SMALL, FILE = 4 << 20, 64 << 20
+SMALL, FILE = 4 << 20, 16 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
