@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cyrillic letters in Latin.
@@ -116,3 +116,15 @@ def model_for(tag: Column, known: list[str], mapped: dict[str, str] | None = Non
     to = (lambda c: F.try_element_at(F.create_map(*(F.lit(x) for kv in mapped.items() for x in kv)), c)) if mapped else (lambda c: F.lit(None).cast("string"))
     base = F.split_part(tag, F.lit("-"), F.lit(1))
     return F.coalesce(there(tag), there(to(tag)), there(base), there(to(base)))
+
+
+def anchored(words: DataFrame, word: str, patterns: DataFrame, pattern: str, value: str, most: int = 64) -> DataFrame:
+    """words with each pattern that one of their places begins: place (from 0 on), pattern, value. Patterns are `most` characters long at most.
+
+    Each word gives its short substrings, which meet the patterns by equality.
+    """
+    n = F.length(word)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1))
+    t = words.withColumn("place", F.explode(places)).withColumn("__n", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), n - F.col("place")))))
+    t = t.withColumn(pattern, F.substring(F.col(word), F.col("place") + 1, F.col("__n"))).drop("__n")
+    return t.join(patterns.select(pattern, value), pattern).select(*words.columns, "place", pattern, value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import broken_link_text, image_ending, is_image_type, link_class
+from ..functions.text import broken_link_text, image_ending, is_font_type, is_image_type, link_class, resource_filename
 from .sequences import as_of, prefix_sum
 
 def hrefs(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
@@ -205,3 +205,23 @@ def file_numbers(rows: DataFrame, by: list[str], id: str, mime: str, order: list
     t = t.withColumn("__n", F.row_number().over(Window.partitionBy(*by, id).orderBy(*order))).where("__n = 1").drop("__n")
     n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return t.withColumn("file", F.concat(F.lit("images/img"), F.lpad(n.cast("string"), 5, "0"), F.lit("."), image_ending(F.col(mime))))
+
+
+def resources(urls: DataFrame, binaries: DataFrame, by: list[str]) -> DataFrame:
+    """Addresses of style sheets (by, url) with where they lead: an embedded file (kind embedded; file under fonts/ or other/), a file beside the book (kind file), nothing.
+
+    binaries: by, id, mime. What leads out of the book's folder or to no name leads to nothing.
+    """
+    known = binaries.select(*by, F.concat(F.lit("#"), "id").alias("url"), "mime")
+    t = urls.join(known, [*by, "url"], "left")
+    name = resource_filename(F.col("url"))
+    here = F.startswith("url", F.lit("#"))
+    outside = F.col("url").rlike("^([a-zA-Z][a-zA-Z0-9+.-]*:|/)") | F.array_contains(F.split("url", "/"), "..")
+    kind = F.when(here & F.col("mime").isNotNull(), "embedded").when(~here & ~outside & (name != ""), "file")
+    file = F.when(kind == "embedded", F.concat(F.when(is_font_type(F.col("mime")), "fonts/").otherwise("other/"), name)).when(kind == "file", name)
+    return t.select(*urls.columns, "mime", kind.alias("kind"), file.alias("file"))
+
+
+def joined_media(items: DataFrame, media: DataFrame, on: str) -> DataFrame:
+    """Items with the key of the medium at their location, for those that have one."""
+    return items.join(media.select(on, F.col("id").alias("media_id")), on)

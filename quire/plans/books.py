@@ -141,3 +141,19 @@ def note_contents(nodes: DataFrame) -> DataFrame:
     counts = shown.groupBy("book_id", F.col("note").alias("seq")).agg(F.count("*").alias("n"), F.min_by(F.col("kind").isin("image", "table"), F.col("seq")).alias("block_first"))
     notes_ = nodes.where("kind = 'section' AND body_kind = 'notes' AND xml_id IS NOT NULL").select("book_id", "seq", "xml_id")
     return notes_.join(counts, ["book_id", "seq"], "left").select("book_id", "xml_id", F.coalesce("n", F.lit(0)).alias("n_visible"), F.coalesce("block_first", F.lit(False)).alias("block_first"))
+
+
+def features(nodes: DataFrame) -> DataFrame:
+    """What each book has: tables in sections, tables with links, pictures among text, notes, the ids of its pictures and of its elements, each once and in order."""
+    t = innermost(nodes.where("error IS NULL"), F.col("kind") == "table", "table")
+    t = innermost(t, F.col("kind").isin("p", "v", "subtitle", "text-author", "td", "th"), "block")
+    flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    once = lambda c: F.sort_array(F.collect_set(c))
+    return t.groupBy("book_id").agg(
+        flag(F.col("kind") == "table").alias("tables"),
+        flag((F.col("kind") == "a") & F.col("table").isNotNull()).alias("tables_with_links"),
+        flag((F.col("kind") == "image") & F.col("block").isNotNull()).alias("inline_images"),
+        flag(F.col("body_kind") == "notes").alias("notes"),
+        once(F.when((F.col("kind") == "image") & F.startswith("href", F.lit("#")), F.substring("href", 2, 1 << 30))).alias("images"),
+        once(F.nullif(F.trim("xml_id"), F.lit(""))).alias("ids"),
+    )

@@ -197,3 +197,12 @@ def output_names(spark, d):
     last = F.element_at("people", 1)["last"]
     name = F.when(F.col("book_id").cast("long") % 2 == 0, F.concat(last, F.lit("/"), F.col("title"))).otherwise(F.concat(F.lit("..:"), F.col("title")))
     return m.select("book_id", text.output_path(F.lit("out"), name, ".epub").alias("path"))
+
+
+@query(
+    f"""WITH {C} SELECT book_id, false AS tables, false AS tables_with_links, false AS inline_images, true AS notes, coalesce(list_sort(list(DISTINCT 'i' || turn) FILTER (WHERE turn % 6 = 5)), []) AS images,
+    len(list(DISTINCT turn) FILTER (WHERE turn % 3 <> 0)) + len(list(DISTINCT turn) FILTER (WHERE turn % 2 = 0)) AS n_ids FROM c GROUP BY book_id"""
+)
+def book_features(spark, d):
+    t = books.features(nodes_of(spark, d))
+    return t.select("book_id", "tables", "tables_with_links", "inline_images", "notes", "images", F.size("ids").cast("long").alias("n_ids"))

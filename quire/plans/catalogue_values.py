@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text, values
+from ..functions import language, text, values
 from ..operators import links, sequences, tables, trees
+from ..sources import styles
 from .catalogue import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -394,3 +395,47 @@ def fitted_widths(spark, d):
     t = tables.placed_cells(_cells(spark, d).withColumn("colspan", F.lit(1)).withColumn("rowspan", F.lit(1)), ["l_orderkey"])
     t = tables.fitted_widths(t.withColumn("need", F.length("t")), ["l_orderkey"], "need", 5.0)
     return t.select("l_orderkey", F.round("scale", 9).alias("scale"), F.transform("widths", lambda x: F.round(x, 9)).alias("widths"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'embedded' WHEN 1 THEN 'file' END AS kind, CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_partkey % 8 = 0 THEN 'fonts/' ELSE 'other/' END || 'r' || p_partkey WHEN 1 THEN 'a.css' END AS file FROM part"""
+)
+def style_resources(spark, d):
+    k = F.col("p_partkey")
+    own = F.concat(F.lit("#r"), k.cast("string"))
+    url = F.when(k % 4 == 0, own).when(k % 4 == 1, "x/a.css").when(k % 4 == 2, "../a.css").otherwise(own)
+    urls = _parts(spark, d).select("p_partkey", url.alias("url"))
+    binaries = _parts(spark, d).where("p_partkey % 4 = 0").select("p_partkey", F.concat(F.lit("r"), k.cast("string")).alias("id"), F.when(k % 8 == 0, "font/ttf").otherwise("image/png").alias("mime"))
+    return links.resources(urls, binaries, ["p_partkey"]).select("p_partkey", "kind", "file")
+
+
+@query(
+    """SELECT p_partkey, 'a' || CASE WHEN p_size % 2 = 0 THEN 'p' ELSE '' END AS to_property, CASE WHEN p_size % 3 = 0 THEN 'three' ELSE p_size || 'px' END AS value
+    FROM part WHERE p_size % 2 = 0 OR p_size % 3 = 0 OR p_brand <> 'Brand#11'"""
+)
+def style_conversions(spark, d):
+    css = _parts(spark, d).select("p_partkey", F.when(F.col("p_size") % 2 == 0, "p").alias("element"), F.lit("width").alias("property"), F.concat(F.col("p_size").cast("string"), F.lit("px")).alias("value"), F.when((F.col("p_size") % 2 == 0) | (F.col("p_size") % 3 == 0) | (F.col("p_brand") != "Brand#11"), "px").otherwise("q").alias("unit"))
+    three = _parts(spark, d).select("p_size").distinct().where("p_size % 3 = 0").select(F.concat(F.col("p_size").cast("string"), F.lit("px")).alias("v"))
+    entry = lambda t, tag, value, to, made: t.select(F.lit(tag).alias("tag"), F.lit("width").alias("attr"), value.alias("value"), F.lit("px").alias("unit"), F.lit(to).alias("to_property"), F.lit(made).cast("string").alias("to_value"))
+    one = spark.range(1)
+    conversions = entry(one, "", F.lit(""), "a", None).union(entry(one, "p", F.lit(""), "ap", None)).union(entry(three, "", F.col("v"), "a", "three")).union(entry(three, "p", F.col("v"), "ap", "three"))
+    return styles.mapped(css, conversions, ["p_partkey"]).select("p_partkey", "to_property", "value")
+
+
+@query(
+    """WITH w AS (SELECT p_partkey, p_brand, unnest(range(length(p_brand))) AS place FROM part), s AS (SELECT *, unnest(range(1, length(p_brand) - place + 1)) AS n FROM w), p AS (SELECT DISTINCT substr(p_brand, 6) AS pattern FROM part UNION SELECT 'Br' UNION SELECT 'ran')
+    SELECT p_partkey, place::INT AS place, pattern, length(pattern)::INT AS value FROM s JOIN p ON substr(p_brand, place + 1, n) = pattern"""
+)
+def anchored_patterns(spark, d):
+    p = _parts(spark, d)
+    patterns = p.select(F.substring("p_brand", 6, 20).alias("pattern")).union(spark.createDataFrame([("Br",), ("ran",)], "pattern string")).distinct().withColumn("value", F.length("pattern"))
+    return language.anchored(p.select("p_partkey", "p_brand"), "p_brand", patterns, "pattern", "value").select("p_partkey", "place", "pattern", "value")
+
+
+@query("SELECT p_partkey, p_type AS property FROM part WHERE NOT (p_size % 2 = 0 AND p_type LIKE '%BRASS')")
+def ignored_styles(spark, d):
+    p = _parts(spark, d)
+    css = p.select("p_partkey", F.lit(None).cast("string").alias("element"), F.col("p_type").alias("property"), (F.col("p_size") % 2).cast("string").alias("value"), F.lit(None).cast("string").alias("unit"))
+    known = [r[0] for r in p.where("p_type NOT LIKE '%BRASS'").select("p_type").distinct().collect()]
+    patterns = spark.createDataFrame([("*", "*", "0", "*")], "tag string, style string, value string, unit string")
+    return styles.ignorable(css, known, patterns).select("p_partkey", "property")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values
+from ..operators.links import first_match
 from ..operators.sequences import scan
 
 RULES = "sheet_id string, ord int, media string, selector string, element string, class string, pseudo string, ancestor string, property string, value string, number double, unit string, error string"
@@ -295,3 +296,32 @@ def collapsed_blocks(blocks_: DataFrame, by: list[str], order: str, above: str,
     w = Window.partitionBy(*by).orderBy(order)
     before = F.lag(below).over(w)
     return blocks_.withColumn("space", F.when(before.isNull(), F.col(above)).otherwise(values.collapsed_margin(F.col(above), before)))
+
+
+def candidates(css: DataFrame) -> DataFrame:
+    """Declarations with the keys under which a table of conversions may know them: row (of css, in order), tag, attr, value, unit.
+
+    With and without the element, with the value and without, with the unit itself, as any unit, and as a color if it is one.
+    """
+    units = F.concat(F.array(F.coalesce("unit", F.lit("")), F.lit("special_unit")), F.when(values.color(F.col("value")).isNotNull(), F.array(F.lit("color_unit"))).otherwise(F.array().cast("array<string>")))
+    tags = F.when(F.col("element").isNotNull(), F.array(F.lit(""), F.col("element"))).otherwise(F.array(F.lit("")))
+    t = css.where("property IS NOT NULL").withColumn("unit_key", F.explode(units)).withColumn("tag_key", F.explode(tags))
+    return t.withColumn("value_key", F.explode(F.array("value", F.lit("")))).select(*css.columns, F.col("tag_key").alias("key_tag"), F.col("property").alias("key_attr"), F.col("value_key").alias("key_value"), F.col("unit_key").alias("key_unit"))
+
+
+def mapped(css: DataFrame, conversions: DataFrame, keys: list[str]) -> DataFrame:
+    """Declarations with what the table of conversions makes of them: the most special entry that knows one. conversions: tag, attr, value, unit, to_property, to_value (null: the declaration's own)."""
+    c = conversions.select(F.col("tag").alias("key_tag"), F.col("attr").alias("key_attr"), F.col("value").alias("key_value"), F.col("unit").alias("key_unit"), "to_property", "to_value")
+    special = F.struct((F.col("key_tag") != "").cast("int"), (F.col("key_value") != "").cast("int"), (~F.col("key_unit").isin("special_unit", "color_unit")).cast("int"), F.col("to_property"))
+    t = candidates(css).join(c, ["key_tag", "key_attr", "key_value", "key_unit"])
+    best = t.groupBy(*keys, "property").agg(F.max_by(F.struct("to_property", F.coalesce("to_value", "value").alias("value")), special).alias("best"))
+    return best.select(*keys, "property", "best.to_property", "best.value")
+
+
+def ignorable(css: DataFrame, known: list[str], patterns: DataFrame) -> DataFrame:
+    """Declarations but those that a pattern (tag, style, value, unit; * for any) says to ignore; known properties and shorthands always stay."""
+    stay = F.col("property").isin([*known, *SIDES, "border", "background", "font"])
+    t = css.withColumn("__tag", F.coalesce("element", F.lit(""))).withColumn("__unit", F.coalesce("unit", F.lit("")))
+    p = patterns.select(F.col("tag").alias("__tag"), F.col("style").alias("property"), "value", F.col("unit").alias("__unit"), F.lit(1).alias("__at"), F.lit(True).alias("__hit"))
+    hit = first_match(t, p, ["__tag", "property", "value", "__unit"], "__at")
+    return hit.where(stay | F.col("__hit").isNull()).select(*css.columns)
