@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plan_size, shared_folder, slices, small_batches, written
+from .common import plan_size, remove, shared_folder, slices, small_batches, written
 from .components import connected_components
 from .hashing import ODD, mixed, text_buffer, word_hashes
 
@@ -298,6 +298,8 @@ def _near_duplicates(docs: DataFrame, id: str, text: str, k: int, percent: int)
         more = written(links_across(left, reps, docs, k, percent, folder, m), folder, "more", 16 * m)
         links = links.union(more)
         found = written(connected_components(links, f"{folder}/second", rows=links.count()), folder, "all-components", 16 * n)
+    for name in ("buckets", "representatives", "stars-pairs", "stars-links", "same", "first", "placed", "left", "more", "second"):
+        remove(docs.sparkSession, f"{folder}/{name}")  # all that is read below is written
     whole = member.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(found, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = all_.select("doc_id", "n_shingles").join(whole, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

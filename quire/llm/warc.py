@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Home, attempt, file_system, home_rows, new_folder, shared_folder, slices, written
+from .common import Home, attempt, file_system, home_rows, new_folder, remove, shared_folder, slices, written
 
 LEAST = 100
 BLOCK = 1000
@@ -156,7 +156,10 @@ def write_archive(pages: DataFrame, folder: str, least: int = LEAST, block: int
 
     order = [F.col("key"), F.col("page_id").asc_nulls_first(), F.col("line")]
     ordered = captures.repartitionByRange(*order).sortWithinPartitions(*order)
-    return written(ordered.mapInArrow(blocks, "key string, page_id long, file string"), folder, "directory")
+    top = written(ordered.mapInArrow(blocks, "key string, page_id long, file string"), folder, "directory")
+    for name in ("homes", "rows", "captures"):
+        remove(pages.sparkSession, f"{folder}/{name}")
+    return top
 
 
 def _capture(key: str, page_id: int | None) -> tuple[str, int]:

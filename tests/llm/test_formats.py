@@ -91,6 +91,8 @@ def test_archive(spark):
     df = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, digest int")
     folder = shared_folder(spark, "test")
     directory = write_archive(df, folder, block=16)
+    fs, path = file_system(folder)
+    assert sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(path))) == ["directory", "index", "records"]
     first = {}
     for i, _, h in pages:
         if h and len(h.encode()) >= 100 and i is not None:
