@@ -136,3 +136,17 @@ def test_settings():
         with pytest.raises(ValueError):
             config.load(bad)
     assert config.takes("kindle", "kfx") and not config.takes("kindle", "md") and not config.takes("none", "md")
+
+
+def test_jpeg_quality(spark):
+    from quire.functions import images
+
+    def saved(quality):
+        scale = 5000 / quality if quality < 50 else 200 - 2 * quality
+        return b"\xff\xd8\xff\xe0\x00\x04ab\xff\xdb\x00\x43\x00" + bytes(min(255, max(1, int((v * scale + 50) / 100))) for v in images.ZIGZAG) + b"\xff\xd9"
+
+    assert images.ZIGZAG[:10] == [16, 11, 12, 14, 12, 10, 16, 14, 13, 14] and sorted(images.ZIGZAG) == sorted(x for row in images.BRIGHTNESS for x in row)
+    for q in (30, 50, 75, 90, 100):
+        assert abs(images.jpeg_quality_of(saved(q)) - q) <= 1
+    df = spark.createDataFrame([(bytearray(saved(50)),), (bytearray(b"GIF89a"),), (None,), (bytearray(b"\xff\xd8\xff\xda\x00\x02"),)], "data binary")
+    assert [r[0] for r in df.select(images.jpeg_quality(F.col("data"))).collect()] == [50, None, None, None]
