@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import templates, text
 from ..operators import links, sequences, trees
 from ..sinks import render
 from ..sources import books as source
@@ -206,3 +206,31 @@ def output_names(spark, d):
 def book_features(spark, d):
     t = books.features(nodes_of(spark, d))
     return t.select("book_id", "tables", "tables_with_links", "inline_images", "notes", "images", F.size("ids").cast("long").alias("n_ids"))
+
+
+@query(
+    f"""WITH {C} SELECT book_id, '---' || chr(10) || 'title: "Talk ' || book_id || '"' || chr(10) || 'authors:' || chr(10) || '  - "Ann L' || (book_id::BIGINT % 5) || '"' || chr(10) || 'series:' || chr(10) || '  - name: "Talks"' || chr(10) || '    number: ' || book_id || chr(10)
+    || array_to_string(['language: "en"', 'genres:', '  - "sf"', '  - "talk"', 'keywords:', '  - "Talk"', '  - "one"', '  - "two"', '---'], chr(10)) AS content FROM c GROUP BY book_id"""
+)
+def book_front_matter(spark, d):
+    return render.front_matter(source.metadata(samples.conversation_books(table(spark, d, "conversations"))))
+
+
+@query(
+    f"""WITH {C}, p AS (SELECT book_id, k, turn, role, regexp_replace(trim(regexp_replace(regexp_replace(text, '{W}+', ' ', 'g'), '([\\\\`*_\\[\\]<>])', '\\\\\\1', 'g') || CASE WHEN turn % 2 = 0 THEN '[\\*](#n' || turn || ')' ELSE '' END
+      || CASE WHEN turn % 5 = 0 THEN '[lost](#gone' || turn || ')' ELSE '' END), '{W}+', ' ', 'g') AS t FROM c),
+    b AS (SELECT book_id, 0 AS pos, 0 AS part, '# Talk No. ' || book_id AS line FROM c WHERE k = 1 UNION ALL SELECT book_id, k, 0, '## ' || role || ' ' || turn FROM c WHERE turn % 4 <> 3
+      UNION ALL SELECT book_id, k, 1, t FROM p WHERE t <> '' UNION ALL SELECT book_id, k, 2, '![A' || turn || '](#i' || turn || ')' FROM c WHERE turn % 6 = 5
+      UNION ALL SELECT book_id, k, 3, '### Inner ' || turn FROM c WHERE turn % 3 = 1 UNION ALL SELECT book_id, k, 4, 'in ' || turn FROM c WHERE turn % 3 = 1)
+    SELECT book_id, count(*)::BIGINT AS n, md5(string_agg(line, chr(10) || chr(10) ORDER BY pos, part)) AS digest FROM b GROUP BY book_id"""
+)
+def book_markdown(spark, d):
+    t = render.document(nodes_of(spark, d))
+    return t.select("book_id", F.size(F.split("content", "\n\n")).cast("long").alias("n"), F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {C} SELECT book_id, 'L' || (book_id::BIGINT % 5) || ' - ' || CASE WHEN book_id::BIGINT % 7 > 0 THEN 'TALK ' || book_id ELSE 'Talks/' || lpad(book_id, greatest(3, length(book_id))::INT, '0') END AS name FROM c GROUP BY book_id")
+def template_names(spark, d):
+    m = source.metadata(samples.conversation_books(table(spark, d, "conversations"))).withColumn("id", F.when(F.col("book_id").cast("long") % 7 == 0, "seven"))
+    template = '{{- with first .Authors }}{{ .LastName }}{{ end }} - {{ if .BookID }}{{ with first .Series }}{{ .Name }}/{{ printf "%03d" .Number }}{{ end }}{{ else }}{{ .Title | upper }}{{ end -}}'
+    return templates.output_names(m, template, "epub3").select("book_id", "name")
