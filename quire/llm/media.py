@@ -161,9 +161,13 @@ def keep_one(chunks: DataFrame, folder: str) -> DataFrame:
 
 
 def chunk_lists(chunks: DataFrame, places: DataFrame) -> DataFrame:
-    """A row for each payload with its chunks in order, each at the place of its digest."""
+    """A row for each payload with its chunks in order, each at the place of its digest.
+
+    Payloads of one pack stay together, one task for each pack: rows are few, but each stands for bytes to read.
+    """
+    packs = (chunks.agg(F.max("pack")).first()[0] or 0) + 1
     t = chunks.select("row", "id", "n_bytes", "payload_bytes", "ord", "digest", "size").join(places, "digest")
-    return t.groupBy("row").agg(F.first("id").alias("id"), F.first("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("ord", "pack", "place", "length", "size", "digest"))).alias("chunks"))
+    return t.repartitionByRange(packs, "row").groupBy("row").agg(F.first("id").alias("id"), F.first("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("ord", "pack", "place", "length", "size", "digest"))).alias("chunks"))
 
 
 def features(payload: np.ndarray) -> str:
