@@ -142,7 +142,11 @@ class _Lazy:
 
 
 class Home:
-    """A file of a task's rows, which later tasks read again: rows are known by home and place in it."""
+    """A file of a task's rows, which later tasks read again: rows are known by home and place in it.
+
+    A task that runs again must get its rows in the same order, as it does from files: write what comes out of a
+    shuffle before.
+    """
 
     def __init__(self, root: str):
         task = TaskContext.get()
