@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import broken_link_text, image_ending, is_font_type, is_image_type, link_class, resource_filename
-from .sequences import as_of, prefix_sum
+from .sequences import BLOCK, as_of, prefix_sum
 
 def hrefs(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
     """One row for each link in order: keys, pos, href. A generator after the scan, without a shuffle."""
@@ -26,6 +27,22 @@ def reverse_index(links: DataFrame, target: str, order: list[str], by: list[str]
     return t.groupBy(*by, target, "n_refs", "part").agg(F.array_sort(F.collect_list("ref")).alias("refs"))
 
 
+def places(links: DataFrame, target: str, order: list[str], by: list[str] = ()) -> DataFrame:
+    """For each target one row: number of references and their places in order as one text, null if none has all of its values.
+
+    If the first order column is a whole number, blocks of BLOCK of its values become texts first, so that
+    only these meet in one task.
+    """
+    whole = isinstance(links.schema[order[0]].dataType, T.IntegralType)
+    t = links.withColumn("__block", F.floor(F.col(order[0]) / BLOCK) if whole else F.lit(0).cast("long"))
+    ref = F.when(F.concat(*order).isNotNull(), F.struct(*order))
+    text = lambda r: F.array_join(F.array(*(r[o].cast("string") for o in order)), "/")
+    t = t.groupBy(*by, target, "__block").agg(F.count("*").alias("__n"), F.array_join(F.transform(F.array_sort(F.collect_list(ref)), text), " ").alias("__text"))
+    part = F.when(F.col("__text") != "", F.struct("__block", "__text"))
+    t = t.groupBy(*by, target).agg(F.sum("__n").alias("n_refs"), F.array_sort(F.collect_list(part)).alias("__parts"))
+    return t.select(*by, target, "n_refs", F.when(F.size("__parts") > 0, F.array_join("__parts.__text", " ")).alias("places"))
+
+
 def id_index(nodes: DataFrame, id: str, order: str, by: list[str], last: bool = True) -> DataFrame:
     """The node of each id: the last one with it, or the first. Blank ids are left out."""
     t = nodes.where(F.coalesce(F.trim(id), F.lit("")) != "")

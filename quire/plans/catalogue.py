@@ -44,8 +44,7 @@ HREF_SQL = "SELECT page_id, unnest(hrefs) AS href, unnest(range(len(hrefs))) AS
 @query(f"WITH l AS ({HREF_SQL}) SELECT href, count(*)::BIGINT AS n_refs, string_agg(page_id || '/' || pos, ' ' ORDER BY page_id, pos) AS places FROM l GROUP BY href")
 def page_text_index(spark, d):
     found = links.hrefs(table(spark, d, "pages"), "html", ["page_id"])
-    t = links.reverse_index(found, "href", ["page_id", "pos"])
-    return t.select("href", "n_refs", F.array_join(F.transform("refs", lambda r: F.concat_ws("/", r.page_id.cast("string"), r.pos.cast("string"))), " ").alias("places"))
+    return links.places(found, "href", ["page_id", "pos"])
 
 
 @query(f"SELECT lang, count(*)::BIGINT AS n, sum(length(text))::BIGINT AS chars, sum(len(string_split_regex(text, '{W}')))::BIGINT AS words, max(length(text))::BIGINT AS longest FROM documents GROUP BY lang")

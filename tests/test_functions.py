@@ -119,6 +119,26 @@ def test_reverse_index_in_parts(spark):
     assert all([x.at for x in r.refs] == sorted(x.at for x in r.refs) for r in got)
 
 
+def test_places_in_one_row(spark):
+    from quire.operators import links
+
+    n = 3 * links.PART
+    t = spark.range(n).selectExpr("id * 5 AS page", "0 AS pos", "'hot' AS target").union(spark.sql("VALUES (-7L, 2, 'cold'), (-7L, 1, 'cold'), (20000L, 0, 'cold'), (NULL, 3, 'cold'), (NULL, 4, 'none'), (1L, 5, NULL)")).repartition(7)
+    got = {r.target: (r.n_refs, r.places) for r in links.places(t, "target", ["page", "pos"]).collect()}
+    assert got == {"hot": (n, " ".join(f"{5 * i}/0" for i in range(n))), "cold": (4, "-7/1 -7/2 20000/0"), "none": (1, None), None: (1, "1/5")}
+    named = spark.createDataFrame([(1, "b", "x"), (1, "a", "x"), (2, "c", "x")], "book int, at string, target string")
+    assert sorted(map(tuple, links.places(named, "target", ["at"], ["book"]).collect())) == [(1, "x", 2, "a b"), (2, "x", 1, "c")]
+
+
+def test_page_text_index_of_a_frequent_link(spark, tmp_path):
+    import __spark_entry__
+
+    n = 12_000
+    spark.range(n).selectExpr("id AS page_id", """'<a href="/hot">x</a>' AS html""").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = __spark_entry__.queries()["page_text_index"](spark, str(tmp_path)).collect()
+    assert [(r.href, r.n_refs, r.places) for r in got] == [("/hot", n, " ".join(f"{i}/0" for i in range(n)))]
+
+
 def test_languages(spark):
     t = spark.createDataFrame([(x,) for x in ("en", "EN_us", "zh-hant-tw", "Русский", " Deutsch ", "klingon tongue", "", None, "be-Tarask")], "t string")
     assert [r[0] for r in t.select(language.book_language(F.col("t"))).collect()] == ["en", "en-US", "zh-Hant-TW", "ru", "de", "und", "und", "und", "be-tarask"]
