@@ -118,13 +118,18 @@ def model_for(tag: Column, known: list[str], mapped: dict[str, str] | None = Non
     return F.coalesce(there(tag), there(to(tag)), there(base), there(to(base)))
 
 
-def anchored(words: DataFrame, word: str, patterns: DataFrame, pattern: str, value: str, most: int = 64) -> DataFrame:
-    """words with each pattern that one of their places begins: place (from 0 on), pattern, value. Patterns are `most` characters long at most.
+def anchored(words: DataFrame, word: str, patterns: DataFrame, pattern: str, value: str) -> DataFrame:
+    """words with each pattern that one of their places begins: place (from 0 on), pattern, value.
 
-    Each word gives its short substrings, which meet the patterns by equality.
+    Each distinct word gives its substrings of the lengths that patterns have, which meet the patterns by
+    equality; what was found goes back to the words.
     """
-    n = F.length(word)
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1))
-    t = words.withColumn("place", F.explode(places)).withColumn("__n", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), n - F.col("place")))))
-    t = t.withColumn(pattern, F.substring(F.col(word), F.col("place") + 1, F.col("__n"))).drop("__n")
-    return t.join(patterns.select(pattern, value), pattern).select(*words.columns, "place", pattern, value)
+    n, size = F.length(word), F.length(pattern)
+    lengths = patterns.where(size > 0).agg(F.sort_array(F.collect_set(size)).alias("__lengths"))  # one row
+    t = words.select(word).distinct().join(F.broadcast(lengths))
+    t = t.withColumn("place", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))))
+    t = t.withColumn("__n", F.explode(F.filter("__lengths", lambda x: x <= n - F.col("place"))))
+    t = t.select(word, "place", F.substring(F.col(word), F.col("place") + 1, F.col("__n")).alias(pattern))
+    # merged: estimates leave out what explode adds, so the substrings could be taken for small and be broadcast
+    found = t.hint("merge").join(patterns.select(pattern, value), pattern)
+    return words.join(found, word).select(*words.columns, "place", pattern, value)

@@ -139,6 +139,16 @@ def test_page_text_index_of_a_frequent_link(spark, tmp_path):
     assert [(r.href, r.n_refs, r.places) for r in got] == [("/hot", n, " ".join(f"{i}/0" for i in range(n)))]
 
 
+def test_anchored_patterns_of_any_length(spark):
+    long = "".join(chr(97 + i % 26) for i in range(90))
+    words = spark.createDataFrame([(1, "abcab"), (2, "abcab"), (2, "abcab"), (3, f"-{long}"), (4, ""), (5, None), (6, "ж\U0001f600ж")], "id int, word string")
+    patterns = spark.createDataFrame([("ab", 1), ("ab", 2), (long, 3), ("", 4), (None, 5), ("\U0001f600ж", 6), ("c", 7)], "pattern string, value int")
+    got = sorted((r.id, r.place, r.value) for r in language.anchored(words, "word", patterns, "pattern", "value").collect())
+    abc = [(0, 1), (0, 2), (2, 7), (3, 1), (3, 2)]
+    assert got == sorted([(i, *x) for i in (1, 2, 2) for x in abc] + [(3, 1, 3), (3, 1, 1), (3, 1, 2), (3, 3, 7), *((3, 1 + 26 * k, v) for k in (1, 2, 3) for v in (1, 2)), *((3, 3 + 26 * k, 7) for k in (1, 2, 3)), (6, 1, 6)])
+    assert language.anchored(words, "word", patterns.limit(0), "pattern", "value").count() == 0
+
+
 def test_languages(spark):
     t = spark.createDataFrame([(x,) for x in ("en", "EN_us", "zh-hant-tw", "Русский", " Deutsch ", "klingon tongue", "", None, "be-Tarask")], "t string")
     assert [r[0] for r in t.select(language.book_language(F.col("t"))).collect()] == ["en", "en-US", "zh-Hant-TW", "ru", "de", "und", "und", "und", "be-tarask"]
