@@ -103,7 +103,7 @@ def promoted(entries: DataFrame, by: list[str], order: str, parent: str, kept: s
 
 
 def paths(df: DataFrame, id: str, parent: str, name: str, separator: str = " -> ") -> DataFrame:
-    """Path of names from the root and depth of each node, level by level in one recursive query.
+    """Path of names from the root and depth of each node, level by level in one recursive query, for any number of nodes.
 
     Trees deeper than the session's spark.sql.cteRecursionLevelLimit are an error.
     """
@@ -114,7 +114,7 @@ def paths(df: DataFrame, id: str, parent: str, name: str, separator: str = " ->
         WITH RECURSIVE t(id, depth, path) AS (
           SELECT id, 0, name FROM {view} WHERE parent IS NULL
           UNION ALL SELECT c.id, t.depth + 1, concat(t.path, '{separator}', c.name) FROM {view} c JOIN t ON c.parent = t.id)
-        SELECT id AS `{id}`, depth, concat('[', path, ']') AS path FROM t""")
+        SELECT id AS `{id}`, depth, concat('[', path, ']') AS path FROM (SELECT * FROM t LIMIT ALL)""")
     finally:
         spark.catalog.dropTempView(view)
 

@@ -180,3 +180,15 @@ def test_jpeg_quality(spark):
         assert abs(images.jpeg_quality_of(saved(q)) - q) <= 1
     df = spark.createDataFrame([(bytearray(saved(50)),), (bytearray(b"GIF89a"),), (None,), (bytearray(b"\xff\xd8\xff\xda\x00\x02"),)], "data binary")
     assert [r[0] for r in df.select(images.jpeg_quality(F.col("data"))).collect()] == [50, None, None, None]
+
+
+def test_paths_of_more_nodes_than_the_row_limit(spark):
+    from quire.operators import trees
+
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        t = spark.range(1, 501).selectExpr("id", "CASE WHEN id > 1 THEN id DIV 2 END AS up", "'n' || id AS name")
+        got = {r.id: (r.depth, r.path) for r in trees.paths(t, "id", "up", "name").collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert len(got) == 500 and got[1] == (0, "[n1]") and got[500] == (8, "[n1 -> n3 -> n7 -> n15 -> n31 -> n62 -> n125 -> n250 -> n500]")
