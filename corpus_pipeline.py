@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import round_trip, tokenizer_path
-from quire.llm.common import plan_size, shared_folder, written
+from quire.llm.common import plan_size, shared_folder, small_batches, written
 from quire.llm.minhash import FEW, near_duplicates
 from quire.llm.mixing import mix, text_size
 from quire.llm.quality import keep_documents, trusted_ids
@@ -56,7 +56,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and the text that they decode to."""
-    return round_trip(docs.select("doc_id", "source", "text"), tokenizer_path()).select("row.doc_id", "row.source", "n_tokens", "ids_sha256", F.col("decoded").alias("text"))
+    t = round_trip(docs.select("doc_id", "source", "text"), tokenizer_path()).select("row.doc_id", "row.source", "n_tokens", "ids_sha256", F.col("decoded").alias("text"))
+    # written here: batches have the size that is set when the job runs, and each large one stands in the JVM and in its worker
+    with small_batches(spark):
+        return written(t, shared_folder(spark, "bpe"), "encoded")
 
 
 def _all(docs: DataFrame) -> list:

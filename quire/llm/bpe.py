@@ -33,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, trimmed
 from .hashing import Spans, text_buffer
 
+#: Bytes of text that are worked on at once; arrays over them take some hundred times as much.
+SLICE = 1 << 18
 #: Slots of a worker's table of pieces, a power of two, and pieces after which it starts anew.
 SLOT_BITS = 20
 CACHE = 600_000
@@ -315,12 +317,12 @@ def _mapped(df: DataFrame, of: str, out: str, work: Callable[[pa.Array], list[pa
     kept = [F.col(f"`{c}`") for c in df.columns if c != of]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = slices(batches, "of", 1 << 20) if of_text else (b.slice(i, 400) for b in batches for i in range(0, b.num_rows, 400))
+        parts = slices(batches, "of", SLICE) if of_text else (b.slice(i, 400) for b in batches for i in range(0, b.num_rows, 400))
         for part in parts:
             yield pa.RecordBatch.from_arrays([part.column("row"), *work(part.column("of"))], ["row", *names])
 
     t = df.select(F.struct(*kept).alias("row") if kept else F.struct(F.lit(0).alias("none")).alias("row"), F.col(f"`{of}`").alias("of"))
-    return t.mapInArrow(run, T.StructType([t.schema["row"], *T.StructType.fromDDL(out)]))
+    return t.mapInArrow(trimmed(run), T.StructType([t.schema["row"], *T.StructType.fromDDL(out)]))
 
 
 def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,21 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m"):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def trimmed(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A function of batches after which the worker gives freed memory back, as one that waits for its next task keeps it otherwise."""
+
+    @wraps(run)
+    def give_back(*args):
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries don't have it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return give_back
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system of a URI or absolute path, and the path in it."""
     return pafs.FileSystem.from_uri(uri)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plan_size, remove, shared_folder, slices, small_batches, written
+from .common import plan_size, remove, shared_folder, slices, small_batches, trimmed, written
 from .components import connected_components
 from .hashing import ODD, mixed, text_buffer, word_hashes
 
@@ -35,6 +35,8 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 18
 #: Pairs whose signatures agree in a smaller part are not held against each other in full. At the
 #: threshold the part has a standard deviation of 0.03.
 LEAST_AGREEMENT = 0.6
@@ -97,7 +99,7 @@ def features(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag = np.arange(1, BANDS + 1, dtype=np.uint64) * ODD
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text", SLICE):
             n, digests, signatures, keys = [], [], [], []
             for s in shingle_sets(part.column("text"), k):
                 n.append(len(s))
@@ -112,7 +114,7 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                 keys.append(mixed((m.reshape(BANDS, ROWS) * _C[:ROWS]).sum(axis=1) + tag).view(np.int64))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "signature", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary, keys array<long>")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n_shingles long, digest binary, signature binary, keys array<long>")
 
 
 def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -132,13 +134,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, most: int, k: int) -> DataFram
     """doc_id, digest and sorted shingle hashes of the documents that `wanted` names, `most` at most; up to FEW are broadcast."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text", SLICE):
             found = shingle_sets(part.column("text"), k)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "digest", "items"])
 
     wanted = F.broadcast(wanted) if most <= FEW else wanted
-    return docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, digest binary, items binary").dropDuplicates(["doc_id", "digest"])
+    return docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(trimmed(sets), "doc_id long, digest binary, items binary").dropDuplicates(["doc_id", "digest"])
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, folder: str, name: str, most: int) -> DataFrame:

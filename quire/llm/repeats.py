@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Home, home_rows, new_folder, shared_folder, slices, written
+from .common import Home, home_rows, new_folder, shared_folder, slices, small_batches, trimmed, written
 from .hashing import ODD, Spans, mixed, text_buffer
 
 LENGTH, GRAM, GROUP = 200, 32, 8
 #: Texts are worked on in buffers of about so many bytes; longer texts in pieces that overlap.
-BUFFER, PIECE = 1 << 20, 1 << 20
+BUFFER, PIECE = 1 << 18, 1 << 18
 _LOW = np.uint64(24)
 
 
@@ -170,7 +170,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
                 n = len(digests)
                 yield pa.RecordBatch.from_arrays([pa.array([home.number] * n, pa.int32()), pa.array(np.arange(row, row + n)), pa.array(digests, pa.binary()), pa.array(np.diff(bounds))], ["home", "row", "digest", "n"])
 
-    rows = written(docs.mapInArrow(settle, "home int, row long, digest binary, n long"), folder, "rows")
+    with small_batches(spark):
+        rows = written(docs.mapInArrow(trimmed(settle), "home int, row long, digest binary, n long"), folder, "rows")
     last, texts, size = rows.agg(F.max("home"), F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     classes = rows.where(f"n >= {length}").groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("home", "row")).alias("one"))
     rows = rows.join(classes, "digest", "left").select("home", "row", "n", (F.col("copies") > 1).alias("copied"), (F.struct("home", "row") == F.col("one")).alias("goes_on"))
@@ -207,6 +208,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
     homes = (last or 0) + 1
     # a task for each home: rows are few, but each stands for a text to read
     by_home = lambda df, *order: df.repartitionByRange(homes, "home").sortWithinPartitions("home", *order)
+    at_home = lambda work: trimmed(lambda it: home_rows(root, it, work))
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, (part_back, all_back), (part_fore, all_fore) in _neighbours(batches, ["part", "content"]):
             old = x.column("whole").to_numpy(zero_copy_only=False)
@@ -218,7 +221,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
 
     def judged(df: DataFrame, keys: list[str], name: str) -> DataFrame:
         schema = "home int, row long, first long, n long, place long, owner long, others binary, whole boolean, marked boolean, beside boolean"
-        return written(df.repartition(*keys).sortWithinPartitions("part", "content", "home", "row", "first").mapInArrow(judge, schema), folder, name, size)
+        return written(df.repartition(*keys).sortWithinPartitions("part", "content", "home", "row", "first").mapInArrow(trimmed(judge), schema), folder, name, size)
 
     def finer(tell: Callable) -> Callable:
         """For the wanted rows of a home, what `tell` says about their texts."""
@@ -257,9 +260,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
         return i, owner[i], spans.hashes(begin[i] + s, begin[i] + s + length).view(np.int64), s, np.ones(len(i), np.int64)
 
     schema = "part long, content long, home int, row long, first long, n long, place long, owner long, whole boolean, others binary"
-    one = judged(by_home(rows, "row").mapInArrow(lambda it: home_rows(root, it, tell_segments), schema), ["part"], "segments")
-    two = judged(by_home(one.where("beside"), "row", "first").mapInArrow(lambda it: home_rows(root, it, finer(groups)), schema), ["part"], "groups")
-    three = judged(by_home(two.where("beside"), "row", "first").mapInArrow(lambda it: home_rows(root, it, finer(windows)), schema), ["part", "content"], "windows")
+    one = judged(by_home(rows, "row").mapInArrow(at_home(tell_segments), schema), ["part"], "segments")
+    two = judged(by_home(one.where("beside"), "row", "first").mapInArrow(at_home(finer(groups)), schema), ["part"], "groups")
+    three = judged(by_home(two.where("beside"), "row", "first").mapInArrow(at_home(finer(windows)), schema), ["part", "content"], "windows")
     marks = one.union(two).union(three).where("marked").select("home", "row", "first", "n", "others")
     marks = marks.union(rows.select("home", "row", F.lit(-1).cast("long"), F.col("copied").cast("long"), F.lit(None).cast("binary")))  # at least one row for each text
     schema = T.StructType([*docs.schema, *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans"))])
@@ -303,7 +306,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), *counts], ["row", "text", "n_bytes", "n_removed", "n_spans"])
             at += batch.num_rows
 
-    return by_home(marks, "row", "first").mapInArrow(lambda it: home_rows(root, it, cut), schema)
+    return by_home(marks, "row", "first").mapInArrow(at_home(cut), schema)
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,9 @@
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from tests.llm.test_minhash import brute as near_brute
 from tests.llm.test_quality import brute as quality_brute
 from tests.llm.test_repeats import brute as repeats_brute
@@ -85,3 +88,22 @@ def test_repeated_rows_and_null_ids(spark, tmp_path):
     assert len(three) == len(want) and sum(not r.text for r in three) == sum(n == gone for n, gone, _, _ in want)
     assert all(r.text for r in three if r.doc_id in (a, b, c, e) or r.doc_id is None)
     assert stages["near_duplicates"](spark, two.limit(0), D).collect() == []
+
+
+def test_bpe_gets_small_batches(spark, monkeypatch):
+    """The executor's memory holds a batch twice, so whole Arrow batches of texts are too much."""
+
+    def counted(docs, tokenizer):
+        def run(batches):
+            for b in batches:
+                n = pa.array([b.num_rows] * b.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("row"), n, b.column("text").cast("string"), b.column("text").cast("string")], ["row", "n_tokens", "ids_sha256", "decoded"])
+
+        t = docs.select(F.struct("doc_id", "source").alias("row"), "text")
+        return t.mapInArrow(run, "row struct<doc_id: long, source: string>, n_tokens long, ids_sha256 string, decoded string")
+
+    monkeypatch.setattr(corpus_pipeline, "round_trip", counted)
+    docs = spark.range(4000).selectExpr("id AS doc_id", "'web' AS source", "'some words' AS text").coalesce(1)
+    got = corpus_pipeline.bpe(spark, docs, "").collect()
+    assert len(got) == 4000 and max(r.n_tokens for r in got) <= 1000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
